@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from opsloom.llm import (
+    quality_rules,
+    sharding,
     source_mixing,
 )
 
-MODULES = [source_mixing]
+MODULES = [sharding, quality_rules, source_mixing]
 
 
 def queries() -> dict:
