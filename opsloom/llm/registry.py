@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from opsloom.llm import (
+    content_archive,
     quality_rules,
     sharding,
     source_mixing,
+    token_store,
 )
 
-MODULES = [sharding, quality_rules, source_mixing]
+MODULES = [content_archive, sharding, token_store, quality_rules, source_mixing]
 
 
 def queries() -> dict:
