@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from opsloom.llm import (
     content_archive,
+    language_id,
+    line_quality,
     quality_rules,
     sharding,
     source_mixing,
     token_store,
 )
 
-MODULES = [content_archive, sharding, token_store, quality_rules, source_mixing]
+MODULES = [content_archive, sharding, token_store, quality_rules, line_quality, language_id, source_mixing]
 
 
 def queries() -> dict:
