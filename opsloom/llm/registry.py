@@ -6,13 +6,14 @@ from opsloom.llm import (
     content_archive,
     language_id,
     line_quality,
+    ngram_join,
     quality_rules,
     sharding,
     source_mixing,
     token_store,
 )
 
-MODULES = [content_archive, sharding, token_store, quality_rules, line_quality, language_id, source_mixing]
+MODULES = [content_archive, sharding, token_store, quality_rules, line_quality, language_id, source_mixing, ngram_join]
 
 
 def queries() -> dict:
