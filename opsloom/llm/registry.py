@@ -10,10 +10,11 @@ from opsloom.llm import (
     quality_rules,
     sharding,
     source_mixing,
+    substring_dedup,
     token_store,
 )
 
-MODULES = [content_archive, sharding, token_store, quality_rules, line_quality, language_id, source_mixing, ngram_join]
+MODULES = [content_archive, sharding, token_store, quality_rules, line_quality, language_id, source_mixing, ngram_join, substring_dedup]
 
 
 def queries() -> dict:
