@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from opsloom.llm import (
     content_archive,
+    decontamination,
     language_id,
     line_quality,
     ngram_join,
@@ -14,12 +16,13 @@ from opsloom.llm import (
     token_store,
 )
 
-MODULES = [content_archive, sharding, token_store, quality_rules, line_quality, language_id, source_mixing, ngram_join, substring_dedup]
+MODULES = [content_archive, sharding, token_store, decontamination, quality_rules, line_quality, language_id, source_mixing, ngram_join, substring_dedup]
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {k: f for m in MODULES for k, f in m.ORACLE.items()}
+    own = {k: f for m in MODULES for k, f in m.ORACLE.items()}
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

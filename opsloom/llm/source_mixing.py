@@ -97,16 +97,8 @@ def hash_thresholds(space: Workspace, sizes: DataFrame, budgets: DataFrame) -> D
     return space.save(state.select("source", F.rpad("prefix", HASH_DIGITS, "0").alias("threshold")), "thresholds")
 
 
-def mix_plan(docs: DataFrame, name: str = "mix", weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for every row of ``docs``."""
-    space = Workspace(docs.sparkSession, name)
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"),
-        F.col(source).alias("source"),
-        F.size(T.words(F.col(text))).cast("long").alias("size"),
-        id_hash(F.col(doc_id)).alias("hash"),
-    )
-    sizes = space.save(rows, "sizes")
+def source_plan(space: Workspace, sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
+    """t_source, source_size, target, rounds, threshold: a row a source, from (source, size, hash)."""
     targets = space.save(source_targets(sizes, weights, share, most), "targets")
     # Whole rounds are taken by all; the rest is the budget of the threshold.
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -114,18 +106,40 @@ def mix_plan(docs: DataFrame, name: str = "mix", weights=WEIGHTS, share: float =
     budgets = targets.select("source", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"))
     cut = hash_thresholds(space, sizes, budgets)
     plan = targets.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
-    plan = plan.select(F.col("t.source").alias("t_source"), "source_size", "target", "rounds", "threshold")
-    copies = F.least(F.col("rounds") + F.when(F.col("threshold").isNull() | (F.col("hash") < F.col("threshold")), F.lit(1)).otherwise(F.lit(0)), F.lit(most))
-    out = sizes.join(plan, F.col("source").eqNullSafe(F.col("t_source")))
-    out = out.withColumn("copies", copies.cast("int"))
+    return plan.select(F.col("t.source").alias("t_source"), "source_size", "target", "rounds", "threshold")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
+    """``rows`` (source, hash, ...) with the plan's columns and ``copies``, how often the mix takes the row."""
+    under = F.col("threshold").isNull() | (F.col("hash") < F.col("threshold"))
+    copies = F.least(F.col("rounds") + F.when(under, F.lit(1)).otherwise(F.lit(0)), F.lit(most))
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("copies", copies.cast("int"))
+
+
+def _sizes(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    size = F.size(T.words(F.col(text))).cast("long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), id_hash(F.col(doc_id)).alias("hash"))
+
+
+def mix_plan(docs: DataFrame, name: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken for every row of ``docs``."""
+    space = Workspace(docs.sparkSession, name)
+    sizes = space.save(_sizes(docs, doc_id, text, source), "sizes")
+    out = with_copies(sizes, source_plan(space, sizes, **options))
     return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; empty texts are left out."""
-    plan = mix_plan(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_mix_id"), "copies").dropDuplicates(["_mix_id"])
-    kept = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return kept.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mix_rows(docs: DataFrame, name: str = "mix", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; texts without words are left out.
+
+    Whole rows meet only the small table of sources, so they are not shuffled.
+    """
+    space = Workspace(docs.sparkSession, name)
+    sizes = space.save(_sizes(docs, "doc_id", "text", "source"), "sizes")
+    plan = source_plan(space, sizes, **options)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", id_hash(F.col("doc_id")).alias("hash")).filter(F.col("_row.text").rlike(r"[^\x20\x09-\x0D]"))
+    taken = with_copies(rows, plan).filter("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

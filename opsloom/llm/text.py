@@ -22,6 +22,9 @@ BASE = np.uint64(int(_rng.integers(1, 2**62)) * 4 + 3)
 BASE_INV = np.uint64(pow(int(BASE), -1, 2**64))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything below 0x80 but letters and digits: words without punctuation.
+IS_MARK = np.ones(256, bool)
+IS_MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def words(text: Column) -> Column:
@@ -96,9 +99,9 @@ def blocks(column: pa.Array, most: int = 1 << 22):
         at = end
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and for each text the index of its first word (n + 1 values)."""
-    word = ~IS_SPACE[buf]
+    word = ~separator[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     start = word.copy()
