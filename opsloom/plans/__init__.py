@@ -1,5 +1,5 @@
 """Named queries over the test tables, grouped by kind; each module has QUERIES and ORACLE."""
 
-from opsloom.plans import relational, timeseries
+from opsloom.plans import graphs, relational, timeseries
 
-MODULES = [timeseries, relational]
+MODULES = [timeseries, relational, graphs]
