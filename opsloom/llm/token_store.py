@@ -23,6 +23,8 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark.sql.window import Window
 from opsloom.llm.workspace import Workspace
 
 END = 1
-CACHE = 1_000_000  # distinct chunks a worker keeps; then it starts anew
+CACHE = 600_000  # distinct chunks a worker keeps; then it starts anew
 MARKS = ".,!?;:|"
 FORMAT = {
     "compression": "zstd",
@@ -54,7 +56,12 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    """Encodes texts by their chunks between blanks, each distinct chunk once."""
+    """Encodes texts by their chunks between blanks, each distinct piece once.
+
+    A chunk of letters and closing marks is two pieces, since the tokenizer
+    never joins them; ASCII letters count in lower case. A chunk is known by
+    the places of its two pieces in the table of ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,58 +71,52 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids = [np.zeros(0, np.int32)]
-        self.table, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chunks: dict[str, int] = {"": 0}
+        self.pieces: dict[str, int] = {"": 0}
+        self.table, self.first, self.size = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, chunks: set[str]) -> None:
-        """Letters followed by marks are two tokens' worth: only the letters may be new, and ASCII ones count in lower case."""
-        new = [c for c in chunks if c not in self.known]
-        split = {}
-        for c in new:
+        chunks.difference_update(self.chunks)
+        pairs = []
+        for c in chunks:
             stem = c.rstrip(MARKS)
-            if stem.isalpha():
-                split[c] = (stem.lower() if stem.isascii() else stem, c[len(stem) :])
-        plain = {c for c in new if c not in split} | {x for pair in split.values() for x in pair}
-        plain = [c for c in plain if c not in self.known]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            for c, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self._add(c, np.array(e.ids, np.int32))
-        for c, (stem, marks) in split.items():
-            if c not in self.known:
-                self._add(c, np.concatenate([self.ids[self.known[stem]], self.ids[self.known[marks]]]))
-
-    def _add(self, chunk: str, ids: np.ndarray) -> None:
-        self.known[chunk] = len(self.ids)
-        self.ids.append(ids)
+            pairs.append((stem.lower() if stem.isascii() else stem, c[len(stem) :]) if stem.isalpha() else (c, ""))
+        new = list({x for pair in pairs for x in pair}.difference(self.pieces))
+        ids = [e.ids for at in range(0, len(new), 4096) for e in self.model.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.pieces.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
+        self.first = np.concatenate([self.first, len(self.table) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        place = self.pieces
+        self.chunks.update((c, place[x] << 32 | place[y]) for c, (x, y) in zip(chunks, pairs, strict=True))
 
     def encode(self, texts: list[str | None], end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has; each text's last is the end id."""
         chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        flat = [c for x in chunks for c in x]
-        if len(self.known) > CACHE:
+        flat = list(chain.from_iterable(chunks))
+        if len(self.chunks) > CACHE:
             self.clear()
         self.learn(set(flat))
-        at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        fresh = self.ids[len(self.size) :]
-        if fresh:
-            size = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            self.first = np.concatenate([self.first, len(self.table) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.table = np.concatenate([self.table, *fresh])
-        table, first, n = self.table, self.first, self.size[at]
-        total = int(n.sum())
-        where = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(total)
-        out = table[where]
-        edge = np.concatenate([[0], np.cumsum([len(x) for x in chunks])])
-        upto = np.concatenate([[0], np.cumsum(n)])[edge]
-        return np.insert(out, upto[1:], end), np.diff(upto) + 1
+        both = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
+        at = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1).ravel()
+        n = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        out = self.table[np.repeat(self.first[at] - upto[:-1], n) + np.arange(upto[-1])]
+        edge = np.concatenate([[0], np.cumsum([2 * len(x) for x in chunks])])
+        ends = upto[edge]
+        return np.insert(out, ends[1:], end), np.diff(ends) + 1
+
+
+@lru_cache(1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """A worker's encoder; it keeps what it has learned for its next task."""
+    return ChunkEncoder(path)
 
 
 def _encoder(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = ChunkEncoder(path), 0
+        encoder, before = encoder_of(path), 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
