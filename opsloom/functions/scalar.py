@@ -34,7 +34,8 @@ def logit(p: Column, eps: float = 1e-9) -> Column:
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """x within [lo, hi]; an unknown x stays unknown."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:

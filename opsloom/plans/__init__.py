@@ -1,5 +1,5 @@
 """Named queries over the test tables, grouped by kind; each module has QUERIES and ORACLE."""
 
-from opsloom.plans import graphs, log_text, relational, timeseries
+from opsloom.plans import detection, graphs, log_text, relational, timeseries
 
-MODULES = [timeseries, relational, graphs, log_text]
+MODULES = [timeseries, relational, graphs, log_text, detection]
