@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +37,8 @@ from opsloom.llm.workspace import Workspace
 
 END = 1
 CACHE = 600_000  # distinct chunks a worker keeps; then it starts anew
+JOINED = 256  # words in a line
+SLICE = 1000  # documents encoded at a time
 MARKS = ".,!?;:|"
 FORMAT = {
     "compression": "zstd",
@@ -68,6 +71,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -82,29 +88,54 @@ class ChunkEncoder:
             stem = c.rstrip(MARKS)
             pairs.append((stem.lower() if stem.isascii() else stem, c[len(stem) :]) if stem.isalpha() else (c, ""))
         new = list({x for pair in pairs for x in pair}.difference(self.pieces))
-        ids = [e.ids for at in range(0, len(new), 4096) for e in self.model.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        new.sort(key=str.isalpha)  # words of letters last: they are encoded many at a time
+        split = next((i for i, x in enumerate(new) if x.isalpha()), len(new))
+        ids, size = self._ids(new[:split])
+        for at in range(split, len(new), JOINED * 64):
+            more, sizes = self._joined(new[at : at + JOINED * 64])
+            ids, size = np.concatenate([ids, more]), np.concatenate([size, sizes])
         self.pieces.update(zip(new, range(len(self.size), len(self.size) + len(new)), strict=True))
         self.first = np.concatenate([self.first, len(self.table) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.table = np.concatenate([self.table, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+        self.table = np.concatenate([self.table, ids])
         place = self.pieces
         self.chunks.update((c, place[x] << 32 | place[y]) for c, (x, y) in zip(chunks, pairs, strict=True))
 
-    def encode(self, texts: list[str | None], end: int = END) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and how many each text has; each text's last is the end id."""
-        chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        flat = list(chain.from_iterable(chunks))
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters, encoded as lines of words; each word ends with one closing id."""
+        ids, _ = self._ids([" ".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)])
+        ends = np.flatnonzero(self.closes[ids])
+        if len(ends) != len(words):  # letters that fall apart when they are normalised
+            return self._ids(words)
+        return ids, np.diff(ends, prepend=-1)
+
+    def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has; each text's last is the end id.
+
+        Arrow cuts the texts and finds the distinct chunks, so that Python
+        objects are made for these alone.
+        """
+        texts = texts.fill_null("")
+        for blank in "\n\t\r":
+            texts = pc.replace_substring(texts, blank, " ")
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.chunks) > CACHE:
             self.clear()
-        self.learn(set(flat))
-        both = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
+        self.learn(set(distinct))
+        both = np.fromiter(map(self.chunks.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         at = np.stack([both >> 32, both & 0xFFFFFFFF], axis=1).ravel()
         n = self.size[at]
         upto = np.concatenate([[0], np.cumsum(n)])
         out = self.table[np.repeat(self.first[at] - upto[:-1], n) + np.arange(upto[-1])]
-        edge = np.concatenate([[0], np.cumsum([2 * len(x) for x in chunks])])
-        ends = upto[edge]
+        edge = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        ends = upto[2 * edge]
         return np.insert(out, ends[1:], end), np.diff(ends) + 1
 
 
@@ -118,9 +149,9 @@ def _encoder(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = encoder_of(path), 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids, n = encoder.encode(part.column("text").to_pylist(), end)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
+                ids, n = encoder.encode(part.column("text"), end)
                 edge = np.concatenate([[0], np.cumsum(n)])
                 tokens = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), pa.array(before + edge[:-1]), pa.array(n), tokens], names=["doc_id", "part", "offset", "n_tokens", "tokens"])
