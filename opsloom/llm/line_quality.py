@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
 from opsloom.llm import text as T
 from opsloom.llm.language_id import held_out
@@ -226,7 +227,7 @@ def score(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= PREDICT_AT).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return docs.select(*keep, "text").mapInArrow(run, schema.add("score", "double").add("predicted", "int"))
+    return docs.select(*keep, "text").mapInArrow(run, schema.add("score", DoubleType()).add("predicted", IntegerType()))
 
 
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
