@@ -15,7 +15,7 @@ scan. A task's counts are summed before they leave it.
 Defined results: null or empty texts and items match nothing; an item with
 fewer than three words is its own seed; an item repeated under one id counts
 once for each text, the best score is kept; repeated documents are each
-reported; a null id is reported as null; empty tables give an empty result.
+reported; a row without id is reported with a null id; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -166,7 +166,7 @@ def _matcher(sent, threshold: float):
         lookup = Lookup(seeds)
         for b in batches:
             out, base = [], 0
-            doc_ids = b.column("doc_id")
+            doc_ids, versions = b.column("doc_id"), b.column("version")
             for words, first in text_words(b.column("text")):
                 doc, place, h = shingle_hits(words, first, lookup, short)
                 found = defaultdict(list)
@@ -176,10 +176,11 @@ def _matcher(sent, threshold: float):
                 for (d, i), hits in found.items():
                     got = matches(words[first[d] : first[d + 1]], hits, items[i], threshold)
                     if got:
-                        out.append((doc_ids[base + d].as_py(), ids[i], *got))
+                        out.append((doc_ids[base + d].as_py(), versions[base + d].as_py(), ids[i], *got))
                 base += len(first) - 1
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word"])
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "version", "item_id", "score", "first_word", "end_word"])
 
     return run
 
@@ -202,13 +203,17 @@ def item_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Items
         yield Items(ids, words)
 
 
-PAIR = "doc_id long, item_id long, score double, first_word long, end_word long"
+PAIR = "doc_id long, version long, item_id long, score double, first_word long, end_word long"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word: where documents hold benchmark items (places count the document's words)."""
+    """doc_id, version, item_id, score, first_word, end_word: where documents hold benchmark items.
+
+    Places count the document's words; version is a hash of its text, which
+    tells rows with one id, or without one, apart.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text")).filter("text is not null")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.lower(F.col(text)).alias("text")).filter("text is not null")
     found = spark.createDataFrame([], PAIR)
     for items in item_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")):
         short = {len(w) for w in items.words if len(w) < GRAM}
@@ -223,12 +228,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("version")
 
 
 QUERIES = {"op4_decontamination": op4_decontamination}

@@ -43,7 +43,7 @@ class Workspace:
             df.write.options(**options).parquet(self.path(name))
         finally:
             conf.set(CLEANUP, before)
-        return self.read(name)
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
