@@ -27,9 +27,9 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
-    """Scrape files named ``<job>__<instance>.jsonl`` with job and instance from the name."""
+    """Scrape files named ``<job>__<instance>.jsonl`` with job and instance from the name, in which other characters may be percent-encoded."""
     rows = spark.read.schema(schemas.SCRAPE).json(allowed(path)).withColumn("_f", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
-    parts = F.split(F.url_decode("_f"), "__")
+    parts = F.split(F.url_decode(F.url_decode("_f")), "__")  # once for the path, once for the name
     return rows.select(F.get(parts, F.lit(0)).alias("job"), F.get(parts, F.lit(1)).alias("instance"), F.try_to_timestamp("scrape_time").alias("ts"), "phase", "exposition")
 
 
