@@ -106,7 +106,7 @@ def _prefixes(size: int, percent: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
         for b in batches:
-            tokens, ids, sizes, cold = [], [], [], []
+            tokens, ids, sizes, cold, places = [], [], [], [], []
             for doc_id, s in zip(b.column("doc_id").to_pylist(), token_sets(b.column("text"), size), strict=True):
                 n = len(s)
                 if not n:
@@ -118,8 +118,9 @@ def _prefixes(size: int, percent: int, sent):
                 ids.append(np.full(p, doc_id, np.int64))
                 sizes.append(np.full(p, n, np.int64))
                 cold.append(np.full(p, int((count == 0).sum()), np.int32))
+                places.append(np.arange(p, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (ids, sizes, cold))], names=["token", "rep", "n", "cold"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (ids, sizes, cold, places))], names=["token", "rep", "n", "cold", "place"])
 
     return run
 
@@ -162,8 +163,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long")
 
 
-def _close(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _close(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Can two sets of n and m tokens be similar, whose first common token stands at i and j?
+
+    All common tokens stand there or later, and there must be
+    percent / (100 + percent) * (n + m) of them at least. A pair is met at each
+    of its common tokens, so it is enough that its first one lets it through.
+    """
+    return F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, name: str = "jaccard", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,27 +189,27 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, name:
     classes = space.save(sets.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"))
     own = docs.join(reps, "doc_id", "left_semi")
-    prefix = space.save(own.mapInArrow(_prefixes(size, percent, sent), "token long, rep long, n long, cold int"), "prefixes")
-    member = F.struct("cold", "rep", "n")
+    prefix = space.save(own.mapInArrow(_prefixes(size, percent, sent), "token long, rep long, n long, cold int, place int"), "prefixes")
+    member = F.struct("cold", "rep", "n", "place")
     buckets = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min(member).alias("lead"), F.max(member).alias("last")).filter("c > 1 and lead.rep <> last.rep")
     buckets = space.save(buckets, "buckets")
 
     large = buckets.filter("c > 2")
-    members = space.save(prefix.join(large.select("token", "lead"), "token").select("token", "rep", "n", "lead"), "members")
+    members = space.save(prefix.join(large.select("token", "lead"), "token").select("token", "rep", "n", "place", "lead"), "members")
     space.drop("prefixes")
-    two = buckets.filter("c = 2").select(F.col("lead.rep").alias("a"), F.col("last.rep").alias("b"), F.col("lead.n").alias("na"), F.col("last.n").alias("nb"))
-    star = members.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-    pairs = two.union(star).filter((F.col("a") != F.col("b")) & _close(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+    two = buckets.filter("c = 2").select(F.col("lead.rep").alias("a"), F.col("last.rep").alias("b"), F.col("lead.n").alias("na"), F.col("lead.place").alias("ia"), F.col("last.n").alias("nb"), F.col("last.place").alias("ib"))
+    star = members.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("na"), F.col("lead.place").alias("ia"), F.col("n").alias("nb"), F.col("place").alias("ib"))
+    pairs = two.union(star).filter((F.col("a") != F.col("b")) & _close(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent)).select("a", "b").distinct()
     tried = space.save(pairs, "tried")
     links = space.save(_verified(tried, docs, size, percent), "links")
     found = connected(space, links, "first")
 
-    comp = members.join(found, members.rep == found.id, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    comp = members.join(found, members.rep == found.id, "left").select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("comp"))
     comp = space.save(comp, "labelled")
     mixed = space.save(comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "mixed")
     rest = space.save(comp.join(mixed, "token"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _close(F.col("x.n"), F.col("y.n"), percent))
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _close(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent))
     more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = space.save(more.join(known, ["a", "b"], "left_anti"), "more")
