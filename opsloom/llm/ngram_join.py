@@ -224,11 +224,11 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, name:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, name: str = "near") -> DataFrame:
-    """The rows of ``docs`` whose document has the smallest id of its component; of rows that repeat an id one stays."""
+    """The rows of ``docs`` whose document has the smallest id of its component; of rows that repeat an id one stays, rows without id stay."""
     found = jaccard_components(docs, size, percent, name)
-    stay = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if "doc_id" in kept.columns else kept
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
