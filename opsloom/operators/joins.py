@@ -9,28 +9,23 @@ from pyspark.sql.window import Window
 from opsloom.functions.scalar import epoch_ms
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, before_ms: int, bucket_ms: int | None = None) -> DataFrame:
-    """Left rows with the right rows of the same keys in [left_ts - before, left_ts]; right columns but the keys follow.
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, before_ms: int, how: str = "inner") -> DataFrame:
+    """Left rows with the right rows of the same keys in [left_ts - before, left_ts]; ``how`` is inner or left.
 
-    Times are cut into buckets as wide as the interval, so a left row meets two
-    buckets and a busy key is dealt out by time.
+    Times are cut into buckets as wide as the interval. A right row is put into
+    its own bucket and the next, a left row stays in one, so that each pair
+    meets once, unmatched left rows are known where they lie, and a busy key is
+    dealt out by time.
     """
-    width = bucket_ms or before_ms
-    spans = -(-before_ms // width)
-    b = lambda c: F.floor(epoch_ms(c) / width)
-    near = left.withColumn("_b", F.explode(F.sequence(b(left_ts) - spans, b(left_ts))))
-    r = right.withColumn("_b", b(right_ts))
-    met = near.join(r, [*keys, "_b"]).filter((F.col(right_ts) <= F.col(left_ts)) & (epoch_ms(left_ts) - epoch_ms(right_ts) <= before_ms))
-    return met.drop("_b")
+    b = lambda c: F.floor(epoch_ms(c) / before_ms)
+    r = right.withColumn("_b", F.explode(F.array(b(right_ts), b(right_ts) + 1))).withColumnsRenamed({k: f"_r_{k}" for k in keys} | {"_b": "_rb"})
+    on = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_b") == F.col("_rb"), F.col(right_ts) <= F.col(left_ts), epoch_ms(left_ts) - epoch_ms(right_ts) <= before_ms]
+    return left.withColumn("_b", b(left_ts)).join(r, on, how).drop("_b", "_rb", *[f"_r_{k}" for k in keys])
 
 
 def left_interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, before_ms: int) -> DataFrame:
-    """As ``interval_join``, keeping left rows without a partner; the left rows must be distinct."""
-    met = interval_join(left, right, keys, left_ts, right_ts, before_ms)
-    cols = left.columns
-    alone = left.join(met.select(*cols).distinct(), cols, "left_anti")
-    extra = [c for c in met.columns if c not in cols]
-    return met.unionByName(alone.select(*cols, *[F.lit(None).cast(met.schema[c].dataType).alias(c) for c in extra]))
+    """As ``interval_join``, keeping left rows without a partner."""
+    return interval_join(left, right, keys, left_ts, right_ts, before_ms, "left")
 
 
 def or_key_max(left: DataFrame, row_id: str, keys: list[str], right: DataFrame, right_key: str, condition: Column, value: Column, out: str) -> DataFrame:
