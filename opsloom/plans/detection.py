@@ -27,7 +27,7 @@ def _readings(s, d):
     e = ev(s, d).groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.col("event_type").alias("feature")).agg(F.avg("value").alias("value"))
     base = ag.median_mad(e, ["feature"], "value")
     fam = F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv])
-    r = e.join(F.broadcast(base), "feature").withColumns({"family": F.element_at(fam, F.col("feature")), "direction": F.when(F.col("feature") == "purchase", -1).otherwise(1)})
+    r = e.join(base, "feature").withColumns({"family": F.element_at(fam, F.col("feature")), "direction": F.when(F.col("feature") == "purchase", -1).otherwise(1)})
     r = r.withColumn("z", robust_z(F.col("value"), F.col("median"), F.col("robust_sigma"), 0.01))
     return r.withColumn("severity", dt.severity(F.col("z"), F.col("direction")))
 

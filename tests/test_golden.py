@@ -140,3 +140,10 @@ def test_append_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/store").count() == 2
     with pytest.raises(ValueError):
         readers.append_new(df.withColumn("x", F.lit(1)), f"{tmp_path}/store", ["id"], ["id", "v"])
+
+
+def test_overlap_join_counts_each_pair_once(spark):
+    a = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-04 00:00:00'), (2, timestamp_ntz'2024-01-02 10:00:00', timestamp_ntz'2024-01-02 11:00:00') t(k, s, e)")
+    b = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2023-12-31 00:00:00', timestamp_ntz'2024-01-03 00:00:00', 'a'), (NULL, timestamp_ntz'2024-01-02 00:00:00', timestamp_ntz'2024-01-03 12:00:00', 'b'), (2, timestamp_ntz'2024-01-02 11:00:00', timestamp_ntz'2024-01-03 00:00:00', 'c') t(rk, rs, re, m)")
+    got = sorted((r.k, r.m) for r in joins.overlap_join(a, b, "k", "rk", "s", "e", "rs", "re").collect())
+    assert got == [(1, "a"), (1, "b"), (2, "b")]
