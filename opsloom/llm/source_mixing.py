@@ -106,7 +106,8 @@ def source_plan(space: Workspace, sizes: DataFrame, weights=WEIGHTS, share: floa
     budgets = targets.select("source", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"))
     cut = hash_thresholds(space, sizes, budgets)
     plan = targets.alias("t").join(cut.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
-    return plan.select(F.col("t.source").alias("t_source"), "source_size", "target", "rounds", "threshold")
+    # Written, its true size is known, and Spark sends it to the rows instead of shuffling them.
+    return space.save(plan.select(F.col("t.source").alias("t_source"), "source_size", "target", "rounds", "threshold").coalesce(1), "plan")
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
