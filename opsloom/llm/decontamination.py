@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.llm import text as T
+from opsloom.llm.workspace import Workspace
 
 GRAM = 3
 COMMON_SHARE = 0.25  # the most frequent part of an item's shingles, never seeds
@@ -229,6 +230,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
     bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    # Written, its true size is known: Spark sends it to the documents if it is small and shuffles both if it is not.
+    bad = Workspace(docs.sparkSession, "contaminated").save(bad, "rows")
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
 
 
