@@ -7,10 +7,11 @@ frequency. Weights are trained with follow-the-regularised-leader (per
 coordinate rates, L1 and L2 penalties), so most stay zero, and the scores are
 calibrated with one temperature on documents kept out of the fit.
 
-The fit uses a bounded sample of labelled rows (``FIT_DOCS`` at most, the first
-in order of a hash of their ids, and ``FIT_CHARS`` characters at most from each
-of them); the prediction reads every whole text. The model is a table of
-``2**HASH_BITS`` rows and is sent to the tasks.
+The fit uses a bounded sample of labelled rows with their whole texts
+(``FIT_PER_LANGUAGE`` of each language at most, the first in order of a hash of
+their ids). Document frequencies are counted over all labelled rows; the
+prediction reads every whole text. The model is a table of ``2**HASH_BITS`` rows
+and is sent to the tasks.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0;
 without any labelled row everything is ``und``; null languages are not learned
@@ -25,11 +26,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-FIT_DOCS = 2400
-FIT_CHARS = 4000
+FIT_PER_LANGUAGE = 600
+SAMPLE_BITS = 12
 HASH_BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -86,6 +89,23 @@ def counts(text: str | None, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndar
     return slots.astype(np.int64), (n / n.sum()).astype(np.float32)
 
 
+def slots_of(text: str | None) -> np.ndarray:
+    """The slots of a text, once each; the text is read in blocks."""
+    chars, seen = characters(text), np.zeros(1 << HASH_BITS, bool)
+    for at in range(0, len(chars), 1 << 18):
+        for slots in gram_slots(chars[at : at + (1 << 18) + 2]):
+            seen[slots] = True
+    return np.flatnonzero(seen)
+
+
+@dataclass
+class Corpus:
+    """How many texts there are, and how many of them have each slot."""
+
+    n: int
+    df: np.ndarray
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -123,17 +143,19 @@ def softmax(z: np.ndarray) -> np.ndarray:
 SCALE = 100.0  # n-gram shares are small; one common scale keeps the penalties readable
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, bits: int = HASH_BITS) -> Model:
-    """FTRL-proximal with an elastic net, then a temperature on every fifth document, kept out of the fit."""
+def fit(texts: list[str], langs: list[str], corpus: Corpus | None = None, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, bits: int = HASH_BITS) -> Model:
+    """FTRL-proximal with an elastic net, then a temperature on every fifth document, kept out of the fit.
+
+    Inverse document frequencies are those of ``corpus``, or of the texts themselves.
+    """
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0)
     y = np.array([names.index(x) for x in langs])
     rows = [counts(t, bits) for t in texts]
-    df = np.zeros(1 << bits)
-    for s, _ in rows:
-        df[s] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if corpus is None:
+        corpus = Corpus(len(rows), np.bincount(np.concatenate([s for s, _ in rows]), minlength=1 << bits))
+    idf = np.log((1 + corpus.n) / (1 + corpus.df)) + 1
     rows = [(s, v * idf[s] * SCALE) for s, v in rows]
     held = np.arange(len(rows)) % 5 == 4
     z, n = np.zeros((1 << bits, len(names))), np.zeros((1 << bits, len(names)))
@@ -166,14 +188,43 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, alpha: float = 0.5,
     return Model(names, (w * (idf * SCALE)[:, None]).astype(np.float32), bias, float(grid[int(np.argmin(loss))]))
 
 
-def fit_sample(docs: DataFrame, most: int = FIT_DOCS, chars: int = FIT_CHARS) -> tuple[list[str], list[str]]:
-    """At most ``most`` rows of (text, lang), the first in order of a hash of their ids."""
-    rows = docs.filter("lang is not null and text is not null").select("doc_id", "lang", F.substring("text", 1, chars).alias("text"))
-    order = F.xxhash64(F.lit(3), "doc_id")
-    # The ids alone are ranked; only the chosen texts go on.
-    ids = rows.select("doc_id", order.alias("o")).orderBy("o").limit(most).select("doc_id").distinct()
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id", "lang", "text").limit(most).toPandas()
-    return got["text"].tolist(), got["lang"].tolist()
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, df = 0, np.zeros(1 << HASH_BITS, np.int64)
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            n += 1
+            df[slots_of(text)] += 1
+    at = np.flatnonzero(df)
+    # Slot -1 counts the texts.
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], names=["slot", "n"])
+
+
+def document_frequencies(docs: DataFrame) -> Corpus:
+    """Counted over the whole text of every labelled row; a task sums its rows before they leave it."""
+    rows = labelled(docs).select("text").mapInArrow(_count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    n, df = dict(zip(rows["slot"], rows["n"], strict=True)), np.zeros(1 << HASH_BITS)
+    total = n.pop(-1, 0)
+    df[list(n)] = list(n.values())
+    return Corpus(int(total), df)
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+
+
+def fit_sample(docs: DataFrame, most: int = FIT_PER_LANGUAGE) -> tuple[list[str], list[str], Corpus]:
+    """Texts and languages of ``most`` rows a language at most, the first in order of a hash of their ids, and the corpus counts."""
+    rows = labelled(docs).withColumn("o", F.xxhash64(F.lit(3), "doc_id"))
+    rows = rows.withColumn("b", F.shiftrightunsigned("o", 64 - SAMPLE_BITS))
+    # A histogram of the hash says how far each language has to be read, so that only about ``most`` rows of it are ranked.
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("b"))
+    last = rows.groupBy("lang", "b").agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n")).filter(F.col("before") < most).groupBy("lang").agg(F.max("b").alias("last"))
+    rows = rows.join(F.broadcast(last), "lang").filter("b <= last")  # a row a language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id", F.xxhash64("text")))
+    got = rows.withColumn("rank", rank).filter(F.col("rank") <= most).select("o", "doc_id", "lang", "text").toPandas()
+    # The order mixes the languages, so that every fifth row is a fair share of each.
+    got = got.sort_values(["o", "doc_id", "lang", "text"])
+    return got["text"].tolist(), got["lang"].tolist(), document_frequencies(docs)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
