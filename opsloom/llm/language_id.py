@@ -13,6 +13,14 @@ their ids). Document frequencies are counted over all labelled rows; the
 prediction reads every whole text. The model is a table of ``2**HASH_BITS`` rows
 and is sent to the tasks.
 
+The score only compares the learned languages, so it cannot tell that a text is
+in none of them. For that a text's strangeness is the mean rarity of its
+3-grams, where the rarity of a 3-gram is -log of the largest share of a
+language's fitted texts that have it: a mixed text is not strange, and neither
+the number nor the sizes of the languages matter. The pipeline's cutoff lies
+midway between the held-out documents and the same documents with their letters
+shuffled (``EDGE`` of either lie beyond their side of it).
+
 Defined results: null text, and text without a letter, is ``und`` with score 0;
 without any labelled row everything is ``und``; null languages are not learned
 from; repeated rows get the same answer; extra columns are kept or ignored.
@@ -36,7 +44,7 @@ SAMPLE_BITS = 12
 HASH_BITS = 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
-MIN_SCORE = 0.3  # below it the pipeline rejects a document: hardly better than chance among four languages
+EDGE = 0.01
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -112,6 +120,8 @@ class Model:
     table: np.ndarray  # slot x language: inverse document frequency times weight
     bias: np.ndarray
     temperature: float
+    rarity: np.ndarray  # of the 3-grams of a slot
+    cutoff: float  # texts with a greater strangeness are in no learned language; infinite where the fit cannot tell
 
     def logits(self, text: str | None) -> np.ndarray | None:
         chars = characters(text)
@@ -134,6 +144,42 @@ class Model:
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
+    def strangeness(self, text: str | None) -> float:
+        return strangeness(characters(text), self.rarity)
+
+
+def strangeness(chars: np.ndarray, rarity: np.ndarray) -> float:
+    """The mean rarity of the 3-grams; 0 for a text without letters."""
+    total = 0.0
+    for at in range(0, len(chars), 1 << 18):
+        total += float(rarity[gram_slots(chars[at : at + (1 << 18) + 2])[2]].sum())
+    return total / max(len(chars) - 2, 1)
+
+
+def rarities(rows: list[np.ndarray], y: np.ndarray, k: int, size: int) -> np.ndarray:
+    """-log of the largest share of a language's rows with a slot; for a slot in none of them as if one more row had it."""
+    share = np.full(size, 1 / (1 + len(rows)))
+    for c in range(k):
+        own = [s for s, lang in zip(rows, y, strict=True) if lang == c]
+        if own:
+            share = np.maximum(share, np.bincount(np.concatenate(own), minlength=size) / len(own))
+    return -np.log(share).astype(np.float32)
+
+
+def strange_cutoff(texts: list[str], rarity: np.ndarray) -> float:
+    """Midway between the texts and the same texts with their letters shuffled; infinite if they overlap or there are none."""
+    rng, real, shuffled = np.random.default_rng(8), [], []
+    for chars in map(characters, texts):
+        if len(chars):
+            real.append(strangeness(chars, rarity))
+            mixed, at = chars.copy(), np.flatnonzero(chars != 32)
+            mixed[at] = chars[rng.permutation(at)]
+            shuffled.append(strangeness(mixed, rarity))
+    if not real:
+        return float("inf")
+    low, high = float(np.quantile(real, 1 - EDGE)), float(np.quantile(shuffled, EDGE))
+    return (low + high) / 2 if low < high else float("inf")
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
@@ -150,7 +196,7 @@ def fit(texts: list[str], langs: list[str], corpus: Corpus | None = None, epochs
     """
     names = sorted(set(langs))
     if not names:
-        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, np.zeros(1 << bits, np.float32), float("inf"))
     y = np.array([names.index(x) for x in langs])
     rows = [counts(t, bits) for t in texts]
     if corpus is None:
@@ -185,7 +231,10 @@ def fit(texts: list[str], langs: list[str], corpus: Corpus | None = None, epochs
     use = held if held.any() else ~held
     grid = np.geomspace(0.1, 10, 81)
     loss = [-np.log(softmax(logit[use] / t)[np.arange(use.sum()), y[use]] + 1e-12).mean() for t in grid]
-    return Model(names, (w * (idf * SCALE)[:, None]).astype(np.float32), bias, float(grid[int(np.argmin(loss))]))
+    learned = np.flatnonzero(~held)
+    rarity = rarities([rows[i][0] for i in learned], y[learned], len(names), 1 << bits)
+    cutoff = strange_cutoff([texts[i] for i in np.flatnonzero(held)], rarity)
+    return Model(names, (w * (idf * SCALE)[:, None]).astype(np.float32), bias, float(grid[int(np.argmin(loss))]), rarity, cutoff)
 
 
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,18 +276,23 @@ def fit_sample(docs: DataFrame, most: int = FIT_PER_LANGUAGE) -> tuple[list[str]
     return got["text"].tolist(), got["lang"].tolist(), document_frequencies(docs)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
-    names, table, bias, temperature = model.languages, model.table, model.bias, model.temperature
-    sent = docs.sparkSession.sparkContext.broadcast((names, table, bias, temperature))  # fixed size: slots x languages
+def guessed(docs: DataFrame, model: Model, strange: bool = False) -> DataFrame:
+    """``docs`` with a struct ``_guess``: lang_pred, score and, if asked for, whether the text is too strange for any learned language."""
+    # Fixed size: slots x languages.
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.rarity, model.cutoff))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, strange boolean")
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Model(*sent.value)
         for t in texts:
-            yield pd.DataFrame([m.predict(x) for x in t], columns=["lang_pred", "score"])
+            yield pd.DataFrame([(*m.predict(x), strange and m.strangeness(x) > m.cutoff) for x in t], columns=["lang_pred", "score", "strange"])
+
+    return docs.withColumn("_guess", guess("text"))
+
 
-    out = docs.drop("lang_pred", "score").withColumn("_guess", guess("text"))
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``."""
+    out = guessed(docs.drop("lang_pred", "score"), model)
     return out.select(*[c for c in out.columns if c != "_guess"], "_guess.lang_pred", "_guess.score")
 
 
@@ -246,12 +300,12 @@ def held_out(remainder: int, modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows whose language is known with ``min_score`` at least; the columns stay as they are."""
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows whose text is in a learned language; the columns stay as they are."""
     model = fit(*fit_sample(docs))
     if not model.languages:  # nothing to learn from: no ground to reject
         return docs
-    return predict(docs.drop("lang_pred", "score"), model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    return guessed(docs, model, strange=True).filter((F.col("_guess.lang_pred") != UNKNOWN) & ~F.col("_guess.strange")).select(*docs.columns)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
