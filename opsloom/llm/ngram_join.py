@@ -1,32 +1,45 @@
 """N-gram Jaccard self-join by prefix filters under several global token orders.
 
-Two sets with Jaccard similarity of t at least share a token among the first
-n - ceil(t n) + 1 tokens of either, whatever the global order of tokens. So a
-pair that fails this under any one of several orders cannot be similar, and
-only pairs that pass under all of them are verified.
-
-The first order is by frequency, rare tokens first, and makes the candidates:
-its prefixes are grouped by token. Frequencies come from a sketch of fixed size
-(``2**SKETCH_BITS`` counters of tokens that repeat within a task), so the order
-costs no shuffle of tokens; any order gives right results, this one keeps
-common passages out of the prefixes. The other orders are by seeded hashes and
-are tested on each candidate before its similarity is.
+Sort two sets by any global order of tokens. All their common tokens that are
+not among the first p of either lie behind one of these prefixes, so two sets
+with Jaccard similarity of t at least share
+
+    least(n, m) - max(n - p(n), m - p(m)),   p(n) = n - ceil(t n) + 1
+
+tokens of their prefixes, where least(n, m) = ceil(t / (1 + t) (n + m)) is the
+overlap that they need. That holds under every order, so a pair that shares too
+few prefix tokens under any one order cannot be similar.
+
+Three orders are used: by frequency (rare tokens first; it makes the
+candidates) and by two seeded hashes. A table has a row a distinct set with its
+prefix under each order; candidates are joined with those rows, and the filters
+of all orders are intersected before any text moves. Only pairs that pass under
+every order are verified on their texts.
+
+Frequencies come from a sketch of fixed size (``2**SKETCH_BITS`` counters of
+tokens that repeat within a task), so the order costs no shuffle of tokens; any
+order gives right results, this one keeps common passages out of the prefixes.
 
 Equal sets are one class from the start, found by a 128-bit fingerprint. Within
 a token's bucket, members are first tried against the bucket's most central
 member (fewest rare tokens), linear in the bucket. Components of those links
 are then contracted, and only members of different components of one bucket
-are tried with each other. Every link between components is thus found; pairs
-already joined through others are not expanded.
+are tried with each other. Those joins are by token and size band (sets whose
+sizes differ by more than t cannot be similar), which splits the bucket of a
+frequent token. Every link between components is thus found; pairs already
+joined through others are not expanded.
 
 Defined results: null text and text without words has an empty set and is its
 own component; a row without id takes part in its class of equal sets but in no
 link (its component is the smallest id of the class, null if there is none);
-rows that repeat an id are one document; an empty table gives an empty result.
+rows that repeat an id are one document that has the links of each of its
+texts, and each row keeps its own ``n_shingles``; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,7 +73,7 @@ def token_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 def least_overlap(n, percent: int):
     """ceil(n * percent / 100)"""
-    return (n * percent + 99) // 100
+    return F.floor((n * percent + 99) / 100) if isinstance(n, Column) else (n * percent + 99) // 100
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -102,11 +115,25 @@ def _signatures(size: int):
     return run
 
 
+PREFIXES = "rep long, n long, cold long, tokens array<long>, order1 array<int>, order2 array<int>"
+
+
+def _low_bits(tokens: np.ndarray) -> np.ndarray:
+    """32 bits of each token; tokens that agree in them by chance only let a pair pass that the texts then reject."""
+    return np.unique((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
+
+
 def _prefixes(size: int, percent: int, sent):
+    """A row a document with a word: its prefix under the order by frequency, in order, and under the hash orders."""
+
+    def listed(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(parts), kind))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
         for b in batches:
-            tokens, ids, sizes, cold, places = [], [], [], [], []
+            ids, sizes, cold, tokens, others = [], [], [], [], [[] for _ in ORDER_SEEDS]
             for doc_id, s in zip(b.column("doc_id").to_pylist(), token_sets(b.column("text"), size), strict=True):
                 n = len(s)
                 if not n:
@@ -114,27 +141,39 @@ def _prefixes(size: int, percent: int, sent):
                 count = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 p = prefix_size(n, percent)
                 # s is sorted, so a stable sort by count orders by (count, hash).
-                tokens.append(s[np.argsort(count, kind="stable")[:p]])
-                ids.append(np.full(p, doc_id, np.int64))
-                sizes.append(np.full(p, n, np.int64))
-                cold.append(np.full(p, int((count == 0).sum()), np.int32))
-                places.append(np.arange(p, dtype=np.int32))
+                tokens.append(s[np.argsort(count, kind="stable")[:p]].view(np.int64))
+                for seed, out in zip(ORDER_SEEDS, others, strict=True):
+                    mixed = T.mix(s ^ np.uint64(seed))
+                    out.append(_low_bits(s[np.argpartition(mixed, p - 1)[:p]]))
+                ids.append(doc_id)
+                sizes.append(n)
+                cold.append(int((count == 0).sum()))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (ids, sizes, cold, places))], names=["token", "rep", "n", "cold", "place"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cold, pa.int64()), listed(tokens, pa.int64()), *(listed(x, pa.int32()) for x in others)],
+                    names=["rep", "n", "cold", "tokens", "order1", "order2"],
+                )
 
     return run
 
 
+def passing(pairs: DataFrame, prefixes: DataFrame, percent: int, orders: list[str]) -> DataFrame:
+    """Those of the pairs (a, b) that share enough prefix tokens under every one of the orders."""
+    side = lambda c: prefixes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(o).alias(f"{o}_{c}") for o in orders])
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    rest = F.greatest(least_overlap(F.col("n_a"), percent), least_overlap(F.col("n_b"), percent)) - 1
+    need = F.floor(((F.col("n_a") + F.col("n_b")) * percent + 99 + percent) / (100 + percent)) - rest
+    for o in orders:
+        # Tokens cut to 32 bits may coincide within a set: what that can hide is the cut set's loss of size.
+        lost = F.lit(0) if o == "tokens" else F.greatest(*[F.col(f"n_{c}") - least_overlap(F.col(f"n_{c}"), percent) + 1 - F.size(f"{o}_{c}") for c in "ab"])
+        both = both.filter(F.size(F.array_intersect(f"{o}_a", f"{o}_b")) + lost >= F.greatest(need, F.lit(1)))
+    return both.select("a", "b")
+
+
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Are the sets similar? Prefixes under the other orders first, then the exact count."""
     n, m = len(a), len(b)
     if 100 * min(n, m) < percent * max(n, m):
         return False
-    pa_, pb = prefix_size(n, percent), prefix_size(m, percent)
-    for seed in ORDER_SEEDS:
-        x, y = np.sort(T.mix(a ^ np.uint64(seed)))[:pa_], np.sort(T.mix(b ^ np.uint64(seed)))[:pb]
-        if not np.isin(x, y, assume_unique=True).any():
-            return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (n + m - both)
 
@@ -173,6 +212,18 @@ def _close(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
     return F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
 
 
+def _candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one bucket that are in different components and near enough in size and place."""
+    band = F.floor(F.log("n") / (max(math.log(100 / percent), 1e-9) * (1 + 1e-9)))  # a little wider than the ratio, against rounding
+    rows = members.withColumn("band", band)
+    # The smaller set of a similar pair is in the larger one's band or in the band below.
+    x, y = rows.alias("x"), rows.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("y")
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.at")) & (F.col("x.comp") != F.col("y.comp")) & smaller
+    near = _close(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
+    return x.join(y, met & near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, name: str = "jaccard", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     spark = docs.sparkSession
@@ -185,41 +236,48 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, name:
     sketch[counts["n"].to_numpy(np.int64)] = counts["c"].to_numpy(np.int64)
     sent = spark.sparkContext.broadcast(sketch)
 
+    # A class of equal sets is named after its smallest id.
     sets = both.filter("kind = 0").drop("kind")
     classes = space.save(sets.filter("n > 0").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id"))
+    c = classes.alias("c")
+    same = (F.col("s.f1") == F.col("c.f1")) & (F.col("s.f2") == F.col("c.f2")) & (F.col("s.n") == F.col("c.n"))
+    named = sets.alias("s").join(c, same, "left").select("s.doc_id", "s.n", "rep")
+    # An id with several texts links the classes of all of them.
+    several = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("doc_id is not null and a <> z").select("doc_id", "a")
+    of_one_id = space.save(named.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")), "ids")
+
+    reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     own = docs.join(reps, "doc_id", "left_semi")
-    prefix = space.save(own.mapInArrow(_prefixes(size, percent, sent), "token long, rep long, n long, cold int, place int"), "prefixes")
+    prefixes = space.save(own.mapInArrow(_prefixes(size, percent, sent), PREFIXES), "prefixes")
+    prefix = prefixes.select("rep", "n", "cold", F.posexplode("tokens").alias("place", "token"))
     member = F.struct("cold", "rep", "n", "place")
     buckets = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min(member).alias("lead"), F.max(member).alias("last")).filter("c > 1 and lead.rep <> last.rep")
     buckets = space.save(buckets, "buckets")
 
     large = buckets.filter("c > 2")
     members = space.save(prefix.join(large.select("token", "lead"), "token").select("token", "rep", "n", "place", "lead"), "members")
-    space.drop("prefixes")
     two = buckets.filter("c = 2").select(F.col("lead.rep").alias("a"), F.col("last.rep").alias("b"), F.col("lead.n").alias("na"), F.col("lead.place").alias("ia"), F.col("last.n").alias("nb"), F.col("last.place").alias("ib"))
     star = members.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("na"), F.col("lead.place").alias("ia"), F.col("n").alias("nb"), F.col("place").alias("ib"))
     pairs = two.union(star).filter((F.col("a") != F.col("b")) & _close(F.col("na"), F.col("ia"), F.col("nb"), F.col("ib"), percent)).select("a", "b").distinct()
     tried = space.save(pairs, "tried")
-    links = space.save(_verified(tried, docs, size, percent), "links")
-    found = connected(space, links, "first")
 
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        passed = space.save(passing(pairs, prefixes, percent, ["tokens"]), f"{name}-order0")
+        passed = space.save(passing(passed, prefixes, percent, ["order1", "order2"]), f"{name}-orders")
+        return space.save(_verified(passed, docs, size, percent), name)
+
+    links = links_of(tried, "links").union(of_one_id)
+    found = connected(space, links, "first")
     comp = members.join(found, members.rep == found.id, "left").select("token", "rep", "n", "place", F.coalesce("component", "rep").alias("comp"))
     comp = space.save(comp, "labelled")
     mixed = space.save(comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token"), "mixed")
     rest = space.save(comp.join(mixed, "token"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _close(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent))
-    more = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = space.save(more.join(known, ["a", "b"], "left_anti"), "more")
-    links2 = space.save(_verified(more, docs, size, percent), "links2")
-    final = connected(space, links.union(links2), "final")
-    space.drop("members", "labelled", "mixed", "rest", "buckets", "tried", "more")
+    more = space.save(_candidates(rest, percent).join(known, ["a", "b"], "left_anti"), "more")
+    final = connected(space, links.union(links_of(more, "links2")), "final")
+    space.drop("members", "labelled", "mixed", "rest", "buckets", "tried", "more", "prefixes", "links-order0", "links-orders", "links2-order0", "links2-orders")
 
-    s, c = sets.alias("s"), classes.alias("c")
-    same = (F.col("s.f1") == F.col("c.f1")) & (F.col("s.f2") == F.col("c.f2")) & (F.col("s.n") == F.col("c.n"))
-    out = s.join(c, same, "left").select("s.doc_id", "s.n", "rep").join(final, F.col("rep") == F.col("id"), "left")
+    out = named.join(final, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
