@@ -10,12 +10,15 @@ Of the records with one payload, the one with the largest id is the response;
 the others are revisits that refer to it. Payloads shorter than ``min_bytes``
 are always responses.
 
-Only (id, digest) pairs are grouped; payload bytes move once, by the unique id
-of their response record. A payload that a third of all records share is one
-row of ``payloads``; the join that rebuilds records is left to adaptive
-execution, which splits such a key since both sides are plain scans.
+Only (id, digest) pairs are grouped. Payloads move once, by the unique id of
+their response record, and only those of responses are compressed. A payload
+that a third of all records share is one row of ``payloads``; the join that
+rebuilds records is left to adaptive execution, which splits such a key since
+both sides are plain scans.
 
 Defined results: a null payload is empty; a null url leaves its header out; a
+url with a line break is percent-encoded and marked by a header of its own, so
+that it can neither end its line nor forge another, and reading decodes it; a
 null id sorts before all others and is written as an empty id; rows that repeat
 both id and payload are all responses if theirs is the largest id; an empty
 table gives an empty archive. Other columns of the input are not stored.
@@ -56,6 +59,20 @@ def _urn(record_id: Column) -> Column:
     return F.concat(F.lit("<urn:record:"), F.coalesce(record_id.cast("string"), F.lit("")), F.lit(">"))
 
 
+ESCAPES = {"%": "%25", "\r": "%0D", "\n": "%0A"}
+ESCAPED = "X-Target-URI-Escaped"
+
+
+def _url_lines(url: Column, line) -> Column:
+    """The header of a url; one with line breaks is escaped, which a second header says."""
+    safe = url
+    for raw, code in ESCAPES.items():
+        safe = F.replace(safe, F.lit(raw), F.lit(code))
+    broken = url.contains("\r") | url.contains("\n")
+    lines = F.when(broken, F.concat(line("WARC-Target-URI", safe), line(ESCAPED, F.lit("percent")))).otherwise(line("WARC-Target-URI", url))
+    return F.coalesce(lines, F.lit(""))
+
+
 def _header_block() -> Column:
     """The record's header lines up to and with the empty line."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -64,7 +81,7 @@ def _header_block() -> Column:
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", _urn(F.col("record_id"))),
-        F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit("")),
+        _url_lines(F.col("url"), line),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", _urn(F.col("owner"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(F.lit("")),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -77,7 +94,7 @@ def _header_block() -> Column:
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         packed = [gzip.compress(x.as_buffer(), 5, mtime=0) for x in b.column("payload")]
-        yield pa.RecordBatch.from_arrays([b.column("record_id"), b.column("sha256"), b.column("n_bytes"), pa.array(packed, pa.binary())], names=["record_id", "sha256", "n_bytes", "member"])
+        yield pa.RecordBatch.from_arrays([b.column("sha256"), b.column("n_bytes"), pa.array(packed, pa.binary())], names=["sha256", "n_bytes", "member"])
 
 
 def write_archive(df: DataFrame, space: Workspace, record_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> None:
@@ -91,11 +108,11 @@ def write_archive(df: DataFrame, space: Workspace, record_id: str = "page_id", u
     # A payload is stored with its owner. Payloads under the limit have no owner: their first holder stores them.
     small = digest.filter(F.col("n_bytes") < min_bytes).groupBy("sha256").agg(F.max(F.coalesce("record_id", F.lit(NULL_ID))).alias("owner"))
     keep = owners.unionByName(small) if min_bytes > 0 else owners
-    packed = records.withColumns({"sha256": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long"), "record_id": F.coalesce("record_id", F.lit(NULL_ID))})
-    packed = packed.select("record_id", "sha256", "n_bytes", "payload").mapInArrow(_compress, "record_id long, sha256 string, n_bytes long, member binary")
-    stored = packed.join(keep, (packed.record_id == keep.owner) & (packed.sha256 == keep.sha256), "left_semi")
+    held = records.withColumns({"sha256": F.sha2("payload", 256), "n_bytes": F.octet_length("payload").cast("long"), "record_id": F.coalesce("record_id", F.lit(NULL_ID))})
+    held = held.join(keep, (held.record_id == keep.owner) & (held.sha256 == keep.sha256), "left_semi")
     # Repeated rows are next to each other: the join has already put equal keys together.
-    space.save(stored.dropDuplicates(["record_id", "sha256"]).select("sha256", "n_bytes", "member"), "payloads")
+    once = held.dropDuplicates(["record_id", "sha256"]).select("sha256", "n_bytes", "payload")
+    space.save(once.mapInArrow(_compress, "sha256 string, n_bytes long, member binary"), "payloads")
     space.drop("owners")
 
 
@@ -129,8 +146,12 @@ def parse_record(record: bytes) -> dict:
         raise ValueError("not a WARC record")
     field = dict(x.split(": ", 1) for x in lines[1:])
     payload = rest[: int(field["Content-Length"])]
+    uri = field.get("WARC-Target-URI")
+    if ESCAPED in field:
+        for raw, code in reversed(ESCAPES.items()):
+            uri = uri.replace(code, raw)
     number = lambda urn: int(urn[len("<urn:record:") : -1]) if urn and len(urn) > len("<urn:record:>") else None
-    return {"record_id": number(field["WARC-Record-ID"]), "record_type": field["WARC-Type"], "target_uri": field.get("WARC-Target-URI"), "payload_digest": field["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number(field.get("WARC-Refers-To")), "payload_bytes": len(payload), "payload": payload}
+    return {"record_id": number(field["WARC-Record-ID"]), "record_type": field["WARC-Type"], "target_uri": uri, "payload_digest": field["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number(field.get("WARC-Refers-To")), "payload_bytes": len(payload), "payload": payload}
 
 
 PARSED_ARROW = pa.schema([("record_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
@@ -146,12 +167,26 @@ def parse_records(records: DataFrame) -> DataFrame:
     return records.select("record").mapInArrow(_parse, PARSED)
 
 
-def export_warc(records: DataFrame) -> DataFrame:
-    """``member``: each record as a gzip member; members put one after another are a .warc.gz file."""
+def without_body(record: bytes) -> bytes:
+    """A revisit as common readers expect it: the headers, an empty block. Other records stay as they are."""
+    head, mark, _ = record.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    if b"WARC-Type: revisit" not in lines:
+        return record
+    return b"\r\n".join(b"Content-Length: 0" if x.startswith(b"Content-Length: ") else x for x in lines) + mark + b"\r\n\r\n"
+
+
+def export_warc(records: DataFrame, bodies: bool = True) -> DataFrame:
+    """``member``: each record as a gzip member; members put one after another are a .warc.gz file.
+
+    Without ``bodies`` revisits have an empty block and only refer to their response.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 6, mtime=0) for x in b.column(0).to_pylist()], pa.binary())], names=["member"])
+            rows = b.column(0).to_pylist()
+            rows = rows if bodies else map(without_body, rows)
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x, 6, mtime=0) for x in rows], pa.binary())], names=["member"])
 
     return records.select("record").mapInArrow(pack, "member binary")
 
