@@ -40,10 +40,21 @@ from pyspark.sql import functions as F
 from opsloom.llm import text as T
 from opsloom.llm.workspace import Workspace
 
-GRAM = 16  # bytes under the rolling hash
+GRAM = {"bytes": 16, "words": 3}  # units under the rolling hash
+PASSAGE_WORDS = 51  # "over 50 words"
 BLOCK = 1 << 21
 
 
+def sequences(texts: pa.Array, unit: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, prefix hashes, n + 1 offsets of the texts) of runs of texts, seen as bytes or as words."""
+    for at, buf, offsets in T.blocks(texts, BLOCK):
+        prefix = T.prefix_hashes(buf)
+        if unit == "words":
+            start, end, offsets = T.word_spans(buf, offsets)
+            prefix = T.prefix_of(T.span_hashes(prefix, start, end))
+        yield at, prefix, offsets
+
+
 @dataclass
 class Phrases:
     """Runs [low, high] of string starts that share a trigger; places are within the block of texts."""
@@ -64,15 +75,15 @@ def sliding_min(v: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[k - 1 : k - 1 + n])
 
 
-def parse(prefix: np.ndarray, offsets: np.ndarray, length: int) -> Phrases:
-    """The phrases of a block of texts, from the prefix hashes of its bytes."""
+def parse(prefix: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM["bytes"]) -> Phrases:
+    """The phrases of a block of texts, from the prefix hashes of its units."""
     none = np.zeros(0, np.int64)
     n, reach = len(prefix) - 1, length // 2
     if n < length:
         return Phrases(none, none, none, none)
-    at = np.arange(n - GRAM + 1)
+    at = np.arange(n - gram + 1)
     # 32 bits of hash, then the place: the minimum is the leftmost smallest hash.
-    key = (T.span_hashes(prefix, at, at + GRAM) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    key = (T.span_hashes(prefix, at, at + gram) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     trigger = (sliding_min(key, reach)[: n - length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     doc = np.searchsorted(offsets, np.arange(len(trigger)), "right") - 1
     valid = np.arange(len(trigger)) + length <= offsets[doc + 1]
@@ -96,14 +107,13 @@ def _second(h: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarra
     return T.mix(h ^ T.span_hashes(prefix, start, (start + end) // 2) * np.uint64(0x9FB21C651E98DF25))
 
 
-def _parser(length: int):
+def _parser(length: int, unit: str):
     core = length - length // 2 + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, buf, offsets in T.blocks(b.column("body"), BLOCK):
-                prefix = T.prefix_hashes(buf)
-                p = parse(prefix, offsets, length)
+            for at, prefix, offsets in sequences(b.column("body"), unit):
+                p = parse(prefix, offsets, length, GRAM[unit])
                 rows = pa.array(at + p.doc)
                 full = T.span_hashes(prefix, p.low, p.high + length) ^ T.mix((p.trigger - p.low).astype(np.uint64))
                 base = offsets[p.doc]
@@ -115,10 +125,10 @@ def _parser(length: int):
     return run
 
 
-PHRASE = "doc_id long, version int, core long, context long, low long, high long"
+PHRASE = "doc_id long, version long, core long, context long, low long, high long"
 
 
-def _edge_strings(length: int):
+def _edge_strings(length: int, unit: str):
     """A row for each string of the listed phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +136,7 @@ def _edge_strings(length: int):
             listed = b.column("phrases")
             edge, flat = listed.offsets.to_numpy(), listed.values.flatten()
             core, low, high, many = (x.to_numpy(zero_copy_only=False) for x in flat)
-            for at, buf, offsets in T.blocks(b.column("body"), BLOCK):
-                prefix = T.prefix_hashes(buf)
+            for at, prefix, offsets in sequences(b.column("body"), unit):
                 for k in range(len(offsets) - 1):
                     s, e = edge[at + k], edge[at + k + 1]
                     if s == e:
@@ -139,8 +148,8 @@ def _edge_strings(length: int):
                     h = T.span_hashes(prefix, begin, begin + length)
                     row = pa.array(np.full(len(place), at + k))
                     yield pa.RecordBatch.from_arrays(
-                        [b.column("doc_id").take(row), b.column("version").take(row), pa.array(core[which]), _signed(_second(h, prefix, begin, begin + length)), pa.array(place), pa.array(np.where(many[which], 2, 1).astype(np.int32))],
-                        names=["doc_id", "version", "core", "string", "place", "weight"],
+                        [b.column("doc_id").take(row), b.column("version").take(row), pa.array(core[which]), _signed(_second(h, prefix, begin, begin + length)), pa.array(place), pa.array(many[which])],
+                        names=["doc_id", "version", "core", "string", "place", "many"],
                     )
 
     return run
@@ -156,20 +165,24 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[first], high[np.append(first[1:], len(low)) - 1]
 
 
-def _removal(length: int, keep_text: bool):
+def _covered(ranges: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs covered by strings of ``length`` whose first places lie in the ranges."""
+    if ranges is None or ranges.values is None or not len(ranges.values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, high = ranges.values.flatten()
+    return merged(low.to_numpy(), high.to_numpy() + length)
+
+
+def _removal(length: int, passage: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
-            listed = b.column("ranges")
-            sizes, removed, spans, digests, texts, where = [], [], [], [], [], []
+            listed, shared = b.column("ranges"), b.column("passages")
+            sizes, removed, spans, digests, passages, texts, where = [], [], [], [], [], [], []
             for i, body in enumerate(b.column("body")):
-                body = body.as_buffer()
-                view, ranges = memoryview(body), listed[i].values
-                lo, hi = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if ranges is not None and len(ranges):
-                    a, z = ranges.flatten()
-                    lo, hi = merged(a.to_numpy(), z.to_numpy() + length)
+                view = memoryview(body.as_buffer())
+                lo, hi = _covered(listed[i], length)
                 sha, at, parts = hashlib.sha256(), 0, []
                 for s, e in [*zip(lo.tolist(), hi.tolist(), strict=True), (len(view), len(view))]:
                     sha.update(view[at:s])
@@ -180,10 +193,12 @@ def _removal(length: int, keep_text: bool):
                 removed.append(int((hi - lo).sum()))
                 spans.append(len(lo))
                 digests.append(sha.hexdigest())
+                first, last = _covered(shared[i], passage)
+                passages.append(int((last - first).sum()))
                 where.append([{"start": s, "end": e} for s, e in zip(lo.tolist(), hi.tolist(), strict=True)])
                 texts.append(b"".join(parts))
-            cols = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            cols = [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(passages, pa.int64())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
             if keep_text:
                 cols += [pa.array(texts, pa.binary()), pa.array(where, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
                 names += ["kept", "spans"]
@@ -192,43 +207,71 @@ def _removal(length: int, keep_text: bool):
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long"
+ROW = ["doc_id", "version"]
+
+
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, name: str = "repeats", doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """A row a document: its size, what is removed, and the SHA-256 of what stays (with ``keep_text`` also the bytes kept and the spans)."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} at least")
+def repeated(docs: DataFrame, length: int, space: Workspace, unit: str = "bytes", across: bool = False) -> DataFrame:
+    """(doc_id, version, low, high): the ranges of places at which a string of ``length`` units starts that also starts anywhere else.
+
+    With ``across`` only those count that start in another document too.
+    ``docs`` has doc_id, version and body.
+    """
+    holder = F.struct(*ROW)
+    # Does a group have what makes its strings repeated: two occurrences, or two documents?
+    many = ~F.min(holder).eqNullSafe(F.max(holder)) if across else F.count("*") > 1
+    t = lambda name: f"{unit}-{name}"
+
+    phrases = space.save(docs.select(*ROW, "body").mapInArrow(_parser(length, unit), PHRASE), t("parse"))
+    cores = space.save(phrases.groupBy("core").agg(many.alias("many")).filter("many").select("core"), t("cores"))
+    phrases = space.save(phrases.join(cores, "core"), t("candidates"))
+    space.drop(t("parse"), t("cores"))
+    one = F.struct(*ROW, "low", "high")
+    classes = space.save(phrases.groupBy("core", "context").agg(many.alias("many"), F.min(one).alias("one")), t("dictionary"))
+    whole = phrases.join(classes.filter("many").select("core", "context"), ["core", "context"]).select(*ROW, "low", "high")
+
+    # Edges: every class of a core that has a class whose strings are not all repeated.
+    mixed = space.save(classes.filter("not many").select("core").distinct(), t("edges"))
+    listed = classes.join(mixed, "core").select("core", "context", "many", "one.*")
+    if across:
+        # A document may hold such a class more than once; all its occurrences are looked at.
+        inside = phrases.join(classes.filter("not many").select("core", "context"), ["core", "context"]).select("core", F.lit(False).alias("many"), *ROW, "low", "high")
+        listed = listed.filter("many").select(*inside.columns).unionByName(inside)
+    work = listed.select(*ROW, F.struct("core", "low", "high", "many").alias("p")).groupBy(*ROW).agg(F.collect_list("p").alias("phrases"))
+    # Of repeated rows one is enough: their phrases occur twice and are not edges.
+    bodies = docs.join(work, _same(docs, work)).select(docs["doc_id"], docs["version"], "body", "phrases")
+    strings = space.save(bodies.mapInArrow(_edge_strings(length, unit), "doc_id long, version long, core long, string long, place long, many boolean"), t("strings"))
+    known = F.max("many") | (~F.min(holder).eqNullSafe(F.max(holder)) if across else F.count("*") > 1)
+    twice = space.save(strings.groupBy("core", "string").agg(known.alias("known")).filter("known").select("core", "string"), t("twice"))
+    single = strings.filter("not many").join(twice, ["core", "string"]).select(*ROW, F.col("place").alias("low"), F.col("place").alias("high"))
+    out = space.save(whole.unionByName(single).groupBy(*ROW).agg(F.collect_set(F.struct("low", "high")).alias("ranges")), t("ranges"))
+    space.drop(*map(t, ("candidates", "dictionary", "edges", "strings", "twice")))
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, name: str = "repeats", doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """A row a document: its size, what is removed, the SHA-256 of what stays (with ``keep_text`` also the bytes kept and the spans).
+
+    ``n_passage_words`` counts the words inside passages of ``passage_words``
+    words that another document holds too, of whatever length in bytes. It
+    reports them; nothing is removed for it.
+    """
+    for unit, least in (("bytes", length), ("words", passage_words)):
+        if least < 2 * GRAM[unit]:
+            raise ValueError(f"{2 * GRAM[unit]} {unit} at least")
     space = Workspace(docs.sparkSession, name)
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body")).withColumn("version", F.hash("body"))
-    row = ["doc_id", "version"]
-
-    phrases = space.save(docs.select(*row, "body").mapInArrow(_parser(length), PHRASE), "parse")
-    cores = space.save(phrases.groupBy("core").count().filter("count > 1").select("core"), "cores")
-    phrases = space.save(phrases.join(cores, "core"), "candidates")
-    space.drop("parse", "cores")
-    one = F.struct(*row, "low", "high")
-    classes = space.save(phrases.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")), "dictionary")
-    whole = phrases.join(classes.filter("n > 1").select("core", "context"), ["core", "context"]).select(*row, "low", "high")
-
-    # Edges: every class of a core that has a class with one occurrence.
-    mixed = space.save(classes.groupBy("core").agg(F.min("n").alias("n")).filter("n = 1").select("core"), "edges")
-    work = classes.join(mixed, "core").select("one.*", F.struct("core", "one.low", "one.high", (F.col("n") > 1).alias("many")).alias("p"))
-    work = work.groupBy(*row).agg(F.collect_list("p").alias("phrases"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
-    # Of repeated rows one is enough: their phrases occur twice and are not edges.
-    listed = work.join(docs, same(work, docs)).select(docs["doc_id"], docs["version"], "body", "phrases")
-    strings = space.save(listed.mapInArrow(_edge_strings(length), "doc_id long, version int, core long, string long, place long, weight int"), "strings")
-    twice = space.save(strings.groupBy("core", "string").agg(F.sum("weight").alias("w")).filter("w > 1").select("core", "string"), "twice")
-    single = strings.filter("weight = 1").join(twice, ["core", "string"]).select(*row, F.col("place").alias("low"), F.col("place").alias("high"))
-
-    ranges = whole.unionByName(single).groupBy(*row).agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
-    ranges = space.save(ranges, "ranges")
-    space.drop("candidates", "dictionary", "edges", "strings", "twice")
-    out = docs.join(ranges, same(docs, ranges), "left").select(docs["doc_id"], "body", "ranges")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body")).withColumn("version", F.xxhash64("body"))
+    ranges = repeated(docs, length, space)
+    passages = repeated(docs, passage_words, space, "words", across=True).withColumnRenamed("ranges", "passages")
+    found = ranges.join(passages, _same(ranges, passages), "full").select(*[F.coalesce(ranges[c], passages[c]).alias(c) for c in ROW], "ranges", "passages")
+    out = docs.join(found, _same(docs, found), "left").select(docs["doc_id"], "body", "ranges", "passages")
     extra = ", kept binary, spans array<struct<start: long, end: long>>" if keep_text else ""
-    return out.mapInArrow(_removal(length, keep_text), RESULT + extra)
+    return out.mapInArrow(_removal(length, passage_words, keep_text), RESULT + extra)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,13 @@ def prefix_hashes(buf: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
     return out
 
 
+def prefix_of(values: np.ndarray) -> np.ndarray:
+    """As ``prefix_hashes``, for a sequence of 64-bit values such as word hashes."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values))[: len(values)], dtype=np.uint64, out=out[1:])
+    return out
+
+
 def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span [start, end), independent of its place."""
     inv = powers(len(prefix), "inverse")

@@ -255,6 +255,37 @@ def test_repeats_against_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], length)
 
 
+def brute_passages(texts, length):
+    """Words inside windows of ``length`` words that another document holds too."""
+    words = [t.split() for t in texts]
+    holders = collections.defaultdict(set)
+    for d, w in enumerate(words):
+        for i in range(len(w) - length + 1):
+            holders[tuple(w[i : i + length])].add(d)
+    out = []
+    for w in words:
+        cover = bytearray(len(w))
+        for i in range(len(w) - length + 1):
+            if len(holders[tuple(w[i : i + length])]) > 1:
+                cover[i : i + length] = b"\1" * length
+        out.append(sum(cover))
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    """Passages that other documents share count, whatever the blanks between their words; those repeated in one document alone do not."""
+    rng = np.random.default_rng(10)
+    some = lambda n: [f"w{i}" for i in rng.integers(0, 30, n)]
+    shared = [some(40) for _ in range(4)]
+    texts = ["", "one two", "a " * 60, "b " * 60, "  a\t" * 30]
+    texts += ["\n ".join(some(20) + shared[k % 4][: 8 + k] + some(15) + shared[(k + 1) % 4][k % 7 :] + some(9)) for k in range(25)]
+    alone = some(30)
+    texts += [" ".join(alone + some(12) + alone), texts[6], " ".join(texts[7].split()[5:])]
+    for length in (9, 14, 33):
+        got = {r.doc_id: r.n_passage_words for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 64, "bp", passage_words=length).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_passages(texts, length)
+
+
 def test_phrases_cover_all_starts():
     rng = np.random.default_rng(2)
     parts = [rng.integers(97, 100, n).astype(np.uint8) for n in (0, 39, 40, 41, 300, 1000)]
