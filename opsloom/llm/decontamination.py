@@ -1,41 +1,51 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are compared in lower case, without punctuation. An item's seeds are its
-3-word shingles without the most frequent quarter, as counted over the whole
+Words are compared in lower case, without punctuation. A seed is three words of
+an item: a run, or two words, any word and one more, so that an item in which
+every third word was changed still has one. Of the seeds of either shape the
+most frequent quarter of an item's is left out, as counted over the whole
 corpus, so that a common phrase makes no candidates. Where a document holds a
 seed, the item is aligned with the words around it; the local score (match 2,
 mismatch -1, gap -1) over twice the item's words is 1 for a full copy and falls
 with edits. Pairs with ``THRESHOLD`` and more are reported.
 
-The benchmark is the stated query set: it is sent to the tasks in blocks of
-``BLOCK_WORDS`` words, each block's size checked before it is broadcast, and
-every block meets all documents. Documents are never shuffled; each pass is one
-scan. A task's counts are summed before they leave it.
+Seeds are a table (``gram``, item, place) and hits are a table (``gram``,
+document, place); the two are joined. What a document can hit at all is told by
+a filter of ``2**FILTER_BITS`` bits, whatever the benchmark's size, which is
+all that is sent to the tasks; a larger benchmark fills it and lets more rows
+into the join. Hits of one document and item are grouped, and the documents
+that have any are joined with their candidates and aligned. Documents without
+a candidate do not move: a second such filter is held against their versions.
+
+An alignment of the least score spans at most ``2 / threshold`` times the item's words,
+so text between hits is cut into overlapping windows of twice that; a window
+needs memory in proportion to its words, not to words times item.
 
 Defined results: null or empty texts and items match nothing; an item with
-fewer than three words is its own seed; an item repeated under one id counts
+three words or fewer is its own seed; an item repeated under one id counts
 once for each text, the best score is kept; repeated documents are each
-reported; a row without id is reported with a null id; empty tables give an empty result.
+reported; a row without id is reported with a null id; of equal scores the
+first place in the text is reported; empty tables give an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from opsloom.llm import text as T
 from opsloom.llm.workspace import Workspace
 
 GRAM = 3
-COMMON_SHARE = 0.25  # the most frequent part of an item's shingles, never seeds
+COMMON_SHARE = 0.25  # the most frequent part of an item's seeds of a shape, never used
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_WORDS = 1_000_000
 FILTER_BITS = 22
 
 
@@ -46,82 +56,125 @@ def text_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield T.span_hashes(T.prefix_hashes(buf), start, end), first
 
 
-class Items:
-    """Word hashes of the items of a block, and where each shingle stands in them."""
+SHAPES = ((0, 1, 2), (0, 1, 3))  # places of a seed's words: a run, and a run with a changed word in it
+
+
+def shape_hashes(words: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """A hash for each place at which the words of a shape can stand."""
+    k = len(words) - shape[-1]
+    if k <= 0:
+        return words[:0]
+    total = np.full(k, np.uint64(sum(1 << i for i in shape)))
+    for i in shape:
+        total = T.mix(total ^ words[i : i + k])
+    return total
+
 
-    def __init__(self, ids: list, words: list[np.ndarray]):
-        self.ids, self.words = ids, words
-        at = defaultdict(list)
-        for i, w in enumerate(words):
-            for q, g in enumerate(shingles(w).tolist()):
-                at[g].append((i, q))
-        self.at = dict(at)
+def shapes_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """The shapes of an item of n words: a short item is one run."""
+    return SHAPES if n > SHAPES[-1][-1] else (tuple(range(min(n, GRAM))),)
 
-    def seeds(self, df: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """shingle -> places, for the shingles that are seeds of the item there."""
-        out = defaultdict(list)
-        for i, w in enumerate(self.words):
-            own = sorted(set(shingles(w).tolist()), key=lambda g: (df.get(g, 0), g))
-            rare = set(own[: len(own) - int(len(own) * COMMON_SHARE)])
-            for q, g in enumerate(shingles(w).tolist()):
-                if g in rare:
-                    out[g].append((i, q))
-        return dict(out)
 
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    return T.ngram_hashes(words, GRAM) if len(words) >= GRAM else T.ngram_hashes(words, len(words)) if len(words) else words[:0]
 
+def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """Which values of the hashes' first FILTER_BITS bits occur: a fixed number of bits, whatever the rows."""
+    found = hashes.select(F.shiftrightunsigned(column, 64 - FILTER_BITS).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[found] = True
+    return np.packbits(out)
 
-class Lookup:
-    """Finds members of a fixed set of hashes in long arrays."""
 
-    def __init__(self, members):
-        self.sorted = np.sort(np.array(list(members), np.uint64))
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[(self.sorted >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [w[first[k] : first[k + 1]] for w, first in text_words(b.column("text")) for k in range(len(first) - 1)]
+        keep = [k for k, w in enumerate(rows) if len(w)]
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("item_id").take(at), b.column("item").take(at), pa.array([rows[k].view(np.int64) for k in keep], pa.list_(pa.int64()))], names=["item_id", "item", "words"])
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        if not len(at):
-            return at
-        k = np.minimum(np.searchsorted(self.sorted, h[at]), len(self.sorted) - 1)
-        return at[self.sorted[k] == h[at]]
 
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for item, words in zip(b.column("item").to_pylist(), b.column("words"), strict=True):
+            w = words.values.to_numpy().view(np.uint64)
+            for k, shape in enumerate(shapes_of(len(w))):
+                out += [(int(g), item, k, q, len(shape)) for q, g in enumerate(shape_hashes(w, shape).view(np.int64))]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["gram", "item", "shape", "q", "size"])
+
+
+def _hits(sent, sizes: list[int]):
+    """A row a place of a document at which a seed may stand; ``sizes`` has the lengths of short items."""
+    shapes = [*SHAPES, *(tuple(range(n)) for n in sizes if n < GRAM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(sent.value).view(bool)
+        for b in batches:
+            base = 0
+            for words, first in text_words(b.column("text")):
+                for shape in shapes:
+                    h = shape_hashes(words, shape)
+                    at = np.flatnonzero(known[slots(h)])
+                    doc = np.searchsorted(first, at, "right") - 1
+                    inside = at + shape[-1] < first[np.minimum(doc + 1, len(first) - 1)]
+                    at, doc = at[inside], doc[inside]
+                    row = pa.array(base + doc)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), b.column("doc_id").take(row), b.column("version").take(row), pa.array((at - first[doc]).astype(np.int32))], names=["gram", "doc_id", "version", "p"])
+                base += len(first) - 1
 
-def shingle_hits(words: np.ndarray, first: np.ndarray, lookup: Lookup, short: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in the words, hash) of every shingle of the texts that the lookup holds; ``short`` has the lengths of short items."""
-    found = []
-    for n in sorted({GRAM, *short}):
-        h = T.ngram_hashes(words, n)
-        at = lookup.find(h)
-        doc = np.searchsorted(first, at, "right") - 1
-        inside = at + n <= first[np.minimum(doc + 1, len(first) - 1)]
-        found.append((doc[inside], at[inside], h[at[inside]]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return run
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman: (best score, first and end place of the aligned words)."""
+    """Smith-Waterman: (best score, first and end place of the aligned words); memory of a row.
+
+    A cell holds its score above 32 bits with where its alignment began, so that
+    one maximum carries both; of equal scores the later beginning is kept, and
+    of equal best scores the first end.
+    """
     n = len(words)
-    ramp = np.arange(1, n + 1) * -GAP
-    table = np.zeros((len(item) + 1, n + 1), np.int32)
-    for i, w in enumerate(item):
-        above = table[i]
-        step = above[:-1] + np.where(words == w, MATCH, MISMATCH)
-        best = np.maximum(np.maximum(step, above[1:] + GAP), 0)
-        table[i + 1, 1:] = np.maximum.accumulate(best + ramp) - ramp
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    score, end = int(table[i, j]), int(j)
-    while table[i, j] > 0:
-        v = table[i, j]
-        if v == table[i - 1, j - 1] + (MATCH if item[i - 1] == words[j - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif v == table[i, j - 1] + GAP:
-            j -= 1
-        else:
-            i -= 1
-    return score, int(j), end
+    unit = np.int64(1) << np.int64(32)
+    fresh = np.arange(n + 1, dtype=np.int64)  # score 0, beginning here
+    ramp = np.arange(1, n + 1, dtype=np.int64) * (-GAP * unit)
+    row, best = fresh.copy(), (0, 0, 0)
+    for w in item:
+        step = row[:-1] + np.where(words == w, MATCH, MISMATCH) * unit
+        cell = np.maximum(np.maximum(step, row[1:] + GAP * unit), fresh[1:])
+        cell = np.maximum.accumulate(cell + ramp) - ramp
+        cell = np.where(cell >= unit, cell, fresh[1:])
+        row = np.concatenate([fresh[:1], cell])
+        top = int((row >> 32).max())
+        if top > best[0]:
+            j = int((row >> 32).argmax())
+            best = (top, int(row[j] & (unit - 1)), j)
+    return best
+
+
+def windows(diagonals: list[int], size: int, n: int, threshold: float) -> Iterator[tuple[int, int]]:
+    """Parts [start, end) of a text of n words in which an alignment through one of the seeds' diagonals can lie.
+
+    A seed's place less its place in the item is its diagonal. An alignment of
+    the least score has threshold * 2 * size points left after its gaps, so at
+    most 2 * size of them, and spans 3 * size words at most.
+    """
+    span = 3 * size
+    at, last = 0, -1
+    diagonals = sorted(set(diagonals))
+    while at < len(diagonals):
+        end = at
+        while end + 1 < len(diagonals) and diagonals[end + 1] - diagonals[end] <= 2 * span:
+            end += 1
+        lo, hi = max(0, diagonals[at] - span), min(n, diagonals[end] + size + span)
+        at = end + 1
+        for start in range(lo, hi, span):
+            last = min(hi, start + 2 * span)
+            yield start, last
+            if last == hi:
+                break
 
 
 def matches(words: np.ndarray, hits: list[tuple[int, int]], item: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
@@ -129,13 +182,7 @@ def matches(words: np.ndarray, hits: list[tuple[int, int]], item: np.ndarray, th
     size = len(item)
     need = threshold * MATCH * size
     best = None
-    diagonal = sorted(p - q for p, q in hits)
-    lo = 0
-    for k in range(1, len(diagonal) + 1):
-        if k < len(diagonal) and diagonal[k] - diagonal[k - 1] <= 3 * size:
-            continue
-        a, z = max(0, diagonal[lo] - size), min(len(words), diagonal[k - 1] + 2 * size)
-        lo = k
+    for a, z in windows([p - q for p, q in hits], size, len(words), threshold):
         part = words[a:z]
         # Even if every word of the item that is here at all matched in order, would it be enough?
         if MATCH * np.isin(item, part).sum() < need:
@@ -146,38 +193,20 @@ def matches(words: np.ndarray, hits: list[tuple[int, int]], item: np.ndarray, th
     return best
 
 
-def _counter(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, short = sent.value
-        lookup, total = Lookup(grams), np.zeros(len(grams), np.int64)
-        for b in batches:
-            for words, first in text_words(b.column("text")):
-                doc, _, h = shingle_hits(words, first, lookup, short)
-                once = np.unique(np.stack([doc.astype(np.uint64), h]), axis=1)[1] if len(doc) else h
-                np.add.at(total, np.searchsorted(lookup.sorted, once), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lookup.sorted[at].view(np.int64)), pa.array(total[at])], names=["gram", "df"])
-
-    return run
+PAIR = "doc_id long, version long, item_id long, score double, first_word long, end_word long"
 
 
-def _matcher(sent, threshold: float):
+def _aligned(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, items, seeds, short = sent.value
-        lookup = Lookup(seeds)
         for b in batches:
             out, base = [], 0
-            doc_ids, versions = b.column("doc_id"), b.column("version")
             for words, first in text_words(b.column("text")):
-                doc, place, h = shingle_hits(words, first, lookup, short)
-                found = defaultdict(list)
-                for d, p, g in zip(doc.tolist(), place.tolist(), h.tolist(), strict=True):
-                    for i, q in seeds[g]:
-                        found[d, i].append((p - int(first[d]), q))
-                for (d, i), hits in found.items():
-                    got = matches(words[first[d] : first[d + 1]], hits, items[i], threshold)
-                    if got:
-                        out.append((doc_ids[base + d].as_py(), versions[base + d].as_py(), ids[i], *got))
+                for d in range(len(first) - 1):
+                    for c in b.column("candidates")[base + d].as_py():
+                        item = np.array(c["words"], np.int64).view(np.uint64)
+                        got = matches(words[first[d] : first[d + 1]], [(x["p"], x["q"]) for x in c["hits"]], item, threshold)
+                        if got:
+                            out.append((b.column("doc_id")[base + d].as_py(), b.column("version")[base + d].as_py(), c["item_id"], *got))
                 base += len(first) - 1
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -186,45 +215,43 @@ def _matcher(sent, threshold: float):
     return run
 
 
-def item_blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The benchmark in blocks of about ``most`` words; one item is never split."""
-    rows = benchmark.select("item_id", F.lower("text").alias("text")).filter("text is not null").distinct()
-    ids, words, n = [], [], 0
-    for r in rows.sort("item_id", "text").toLocalIterator():
-        w, _ = next(text_words(pa.array([r["text"]])), (np.zeros(0, np.uint64), None))
-        if not len(w):
-            continue
-        if n and n + len(w) > most:
-            yield Items(ids, words)
-            ids, words, n = [], [], 0
-        ids.append(r["item_id"])
-        words.append(w)
-        n += len(w)
-    if ids:
-        yield Items(ids, words)
-
+def _with_version_in(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(sent.value).view(bool)
+        for b in batches:
+            yield b.filter(pa.array(known[slots(b.column("version").to_numpy().view(np.uint64))]))
 
-PAIR = "doc_id long, version long, item_id long, score double, first_word long, end_word long"
+    return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", name: str = "decontamination") -> DataFrame:
     """doc_id, version, item_id, score, first_word, end_word: where documents hold benchmark items.
 
     Places count the document's words; version is a hash of its text, which
     tells rows with one id, or without one, apart.
     """
     spark = docs.sparkSession
+    space, send = Workspace(spark, name), spark.sparkContext.broadcast
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), F.lower(F.col(text)).alias("text")).filter("text is not null")
-    found = spark.createDataFrame([], PAIR)
-    for items in item_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")):
-        short = {len(w) for w in items.words if len(w) < GRAM}
-        grams = spark.sparkContext.broadcast((sorted(items.at), short))
-        # A row a shingle of the block at most, whatever the documents.
-        df = docs.select("text").mapInArrow(_counter(grams), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toPandas()
-        count = dict(zip(df["gram"].to_numpy(np.int64).view(np.uint64).tolist(), df["df"].tolist(), strict=True))
-        sent = spark.sparkContext.broadcast((items.ids, items.words, items.seeds(count), short))
-        found = found.unionByName(docs.mapInArrow(_matcher(sent, threshold), PAIR))
-    return found
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).filter("text is not null").distinct()
+    bench = bench.withColumn("item", F.xxhash64("item_id", "text"))
+    items = space.save(bench.mapInArrow(_item_words, "item_id long, item long, words array<long>"), "items")
+    grams = space.save(items.mapInArrow(_item_seeds, "gram long, item long, shape int, q int, size int"), "grams")
+
+    short = [r["size"] for r in grams.filter(F.col("size") < GRAM).select("size").distinct().collect()]  # 1 and 2 at most
+    hits = space.save(docs.mapInArrow(_hits(send(bit_filter(grams, "gram")), short), "gram long, doc_id long, version long, p int"), "hits")
+    per = Window.partitionBy("item", "shape")
+    ranked = grams.select("gram", "item", "shape").distinct().join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    ranked = ranked.withColumns({"rank": F.row_number().over(per.orderBy(F.coalesce("n", F.lit(0)), "gram")), "of": F.count("*").over(per)})
+    rare = ranked.filter(F.col("rank") <= F.col("of") - F.floor(F.col("of") * COMMON_SHARE)).select("gram", "item", "shape")
+    seeds = space.save(grams.join(rare, ["gram", "item", "shape"]).select("gram", "item", "q"), "seeds")
+
+    met = hits.join(seeds, "gram").groupBy("doc_id", "version", "item").agg(F.collect_set(F.struct("p", "q")).alias("hits"))
+    candidate = F.struct("item_id", "words", "hits")
+    candidates = space.save(met.join(items, "item").groupBy("doc_id", "version").agg(F.collect_list(candidate).alias("candidates")), "candidates")
+    near = docs.mapInArrow(_with_version_in(send(bit_filter(candidates, "version"))), docs.schema)
+    both = near.join(candidates, near.doc_id.eqNullSafe(candidates.doc_id) & (near.version == candidates.version))
+    return both.select(near.doc_id, near.version, "text", "candidates").mapInArrow(_aligned(threshold), PAIR)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from opsloom.llm import (
     content_archive,
     decontamination,
     language_id,
     line_quality,
     ngram_join,
+    pipeline,
     quality_rules,
     sharding,
     source_mixing,
@@ -20,9 +20,9 @@ MODULES = [content_archive, sharding, token_store, decontamination, quality_rule
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict:
     own = {k: f for m in MODULES for k, f in m.ORACLE.items()}
-    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return own | ({"pipeline": pipeline.ORACLE_SQL} if pipeline.ORACLE_SQL else {})

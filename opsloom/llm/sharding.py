@@ -82,4 +82,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_sharding": op2_sharding}
-ORACLE: dict[str, str] = {}
+# The table as two digits a slot: DuckDB reads a document's shard from its slot's place in the text.
+_TABLE = "".join(f"{i:02d}" for i in lookup_table())
+ORACLE = {
+    "op2_sharding": f"""
+WITH d AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
+SELECT doc_id, source, slot, 'shard-0' || substr('{_TABLE}', (2 * slot + 1)::BIGINT, 2) AS shard FROM d"""
+}

@@ -159,11 +159,61 @@ def test_decontamination_finds_edited_copies(spark, con):
     assert decontamination.contaminated(spark.createDataFrame([(1, "nothing of the kind is here " * 30)], "doc_id long, text string"), bench).count() == 0
 
 
-def test_blocks_of_items_change_nothing(spark, sf, monkeypatch):
-    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = {tuple(r) for r in decontamination.contaminated(docs, bench).collect()}
-    monkeypatch.setattr(decontamination, "item_blocks", lambda b, f=decontamination.item_blocks: f(b, 300))
-    assert {tuple(r) for r in decontamination.contaminated(docs, bench).collect()} == whole
+def test_alignment_finds_where():
+    """The reported place holds an alignment of the reported score, in windows as in the whole text."""
+    rng = np.random.default_rng(11)
+    for _ in range(30):
+        item, text = rng.integers(0, 6, 12).astype(np.uint64), rng.integers(0, 6, 400).astype(np.uint64)
+        text[150:162] = item
+        text[153] = 99
+        score, s, e = decontamination.align(item, text)
+        assert decontamination.align(item, text[s:e])[0] == score == naive_alignment(item.tolist(), text.tolist())
+        assert decontamination.matches(text, [(k, k % 12) for k in range(388)], item, 0.5)[0] == score / 24
+
+
+def test_long_text_with_seeds_throughout(spark):
+    """A text of 1.5 million characters made of an item's own words, in another order but for one edited copy."""
+    item = [f"word{i}" for i in range(40)]
+    rng = np.random.default_rng(12)
+    noise = [item[i] for i in rng.integers(0, 40, 240_000)]
+    copy = list(item)
+    copy[5::6] = ["edited"] * len(copy[5::6])
+    text = " ".join(noise[:200_000] + copy + noise[200_000:])
+    got = decontamination.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert len(got) == 1 and got[0].item_id == 7 and 199_990 <= got[0].first_word <= 200_005 and got[0].score >= (2 * 34 - 6) / 80
+
+
+def test_equal_scores_report_the_first_place(spark):
+    item = "alpha beta gamma delta epsilon zeta"
+    text = f"{item} {'x y z ' * 40}{item}"
+    got = decontamination.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.score, r.first_word, r.end_word) for r in got] == [(1.0, 0, 6)]
+
+
+@pytest.mark.parametrize("percent,least", [(10, 1.0), (20, 1.0), (30, 0.95), (40, 0.85)])
+def test_recall_by_edits(spark, con, percent, least):
+    """Of edited copies that a full alignment scores 0.5 and more, how many are found."""
+    items = con.sql("SELECT item_id, text FROM benchmark ORDER BY item_id").fetchall()
+    rng, rows, want, ids = np.random.default_rng(percent), [], set(), {}
+    code = lambda ws: np.array([ids.setdefault(w, len(ids)) for w in ws], np.uint64)
+    words = lambda t: __import__("re").sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", " ", t.lower()).split()
+    for i, t in items:
+        for k in range(3):
+            w = words(t)
+            edits = rng.random(len(w)) < percent / 100
+            out = []
+            for x, e in zip(w, edits, strict=True):
+                kind = rng.integers(0, 3) if e else -1
+                out += [x] if kind < 0 else [f"new{rng.integers(10**6)}"] if kind == 0 else [] if kind == 1 else [x, f"more{rng.integers(10**6)}"]
+            text = ["before", "it", *out, "after", "all"]
+            rows.append((100 * i + k, " ".join(text)))
+            if decontamination.align(code(w), code(text))[0] >= len(w):
+                want.add((100 * i + k, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).collect()}
+    recall = len(want & got) / len(want)
+    print(f"{percent} % of words edited: {len(want)} copies of score 0.5 and more, recall {recall:.3f}")
+    assert recall >= least
 
 
 def test_exact_binomial_bound(spark):
@@ -191,6 +241,122 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert got.filter("doc_id >= 2000 and kept").count() == 0 and got.filter("doc_id < 2000 and not kept").count() <= 100
 
 
+def test_rules_with_binding_cutoffs_against_sql(spark, tmp_path):
+    """Two languages with thousands of good documents: cutoffs reject what passes the base rules, and SQL agrees on every row."""
+    rng = np.random.default_rng(15)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    docs, labels = [], []
+    for i in range(5000):
+        w = [word() for _ in range(rng.integers(12, 40))]
+        if i % 50 == 0:
+            w = [x + "%$" for x in w]
+        elif i % 50 == 1:
+            w = [x.upper() for x in w]
+        elif i % 50 == 2:
+            w = ["\n".join(w[:6] + w[:1] * 6), *w]
+        docs.append((i, " ".join(w), "en" if i % 2 else "fr", "a", 0))
+        if i % 50 > 2:
+            labels.append((i, 1, 0))
+    for rows, schema, name in ((docs, "doc_id long, text string, lang string, source string, n_chars long", "documents"), (labels, "doc_id long, quality int, toxic int", "labels")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    compare(registry.queries()["op5_quality_rules"](spark, str(tmp_path)), con, registry.oracle_sql()["op5_quality_rules"])
+    got = registry.queries()["op5_quality_rules"](spark, str(tmp_path)).filter("not base_failed").toPandas()
+    marked = got.doc_id % 50 <= 1
+    assert not got[marked].kept.any() and got[~marked & (got.doc_id % 50 > 2)].kept.mean() > 0.95
+
+
+def test_field_against_enumeration():
+    """Marginals, pair sums and log Z of short documents against all sequences of states."""
+    import itertools
+
+    from opsloom.llm import line_quality
+
+    rng = np.random.default_rng(16)
+    for _ in range(20):
+        sizes = rng.integers(0, 7, 4)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        unary, step = rng.normal(0, 2, (first[-1], 2)), rng.normal(0, 1, (2, 2))
+        p, pair, log_z = line_quality.marginals(unary, step, first)
+        pairs = np.zeros((2, 2))
+        for d, n in enumerate(sizes):
+            if not n:
+                continue
+            weight, here, both = 0.0, np.zeros((n, 2)), np.zeros((2, 2))
+            for states in itertools.product((0, 1), repeat=int(n)):
+                w = np.exp(sum(unary[first[d] + t, s] for t, s in enumerate(states)) + sum(step[a, b] for a, b in zip(states, states[1:], strict=False)))
+                weight += w
+                for t, s in enumerate(states):
+                    here[t, s] += w
+                for a, b in zip(states, states[1:], strict=False):
+                    both[a, b] += w
+            assert np.allclose(p[first[d] : first[d + 1]], here / weight) and np.isclose(log_z[d], np.log(weight))
+            pairs += both / weight
+        assert np.allclose(pair, pairs)
+
+
+def test_line_scores_do_not_depend_on_neighbours():
+    """A text's score is its own, whatever block it is scored in; ties and repeats score alike."""
+    from opsloom.llm import line_quality
+
+    rng = np.random.default_rng(17)
+    good = ["\n".join(" ".join(rng.choice(["the", "river", "runs", "by", "our", "old", "house"], 9)) + "." for _ in range(6)) for _ in range(40)]
+    bad = ["\n".join("BUY $$$ NOW!!! 99% ### " * 2 for _ in range(5)) for _ in range(40)]
+    field = line_quality.fit(good + bad, [1] * 40 + [0] * 40)
+    texts = [*good[:5], None, "", *bad[:5], good[0], "x\n" * 3000]
+    whole = np.concatenate([field.score(x) for x in line_quality.lines_of_column(pa.array(texts))])
+    alone = [field.score(next(line_quality.lines_of_column(pa.array([t], pa.string()))))[0] for t in texts]
+    assert np.allclose(whole, alone) and whole[0] == pytest.approx(whole[12]) and (whole[:5] > 0.7).all() and (whole[7:12] < 0.3).all()
+
+
+def test_language_model_against_plain_python():
+    """TF-IDF, FTRL with its penalties and the scores, number by number, without arrays."""
+    import math
+
+    from opsloom.llm import language_id as L
+
+    texts = ["the old house", "la vieille maison", "das alte haus", "the river runs", "la riviere coule", "der fluss geht", "an old river", "une maison", "ein haus", "by the house", "la la la", "", "das das"]
+    langs = ["en", "fr", "de", "en", "fr", "de", "en", "fr", "de", "en", "fr", "de", "de"]
+    model = L.fit(texts, langs, epochs=2)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.1
+    rows = [dict(zip(s.tolist(), v.tolist(), strict=True)) for s, v in map(L.counts, texts)]
+    df = collections.Counter(k for r in rows for k in r)
+    idf = lambda k: math.log((1 + len(rows)) / (1 + df[k])) + 1
+    x = [{k: v * idf(k) * L.SCALE for k, v in r.items()} for r in rows]
+    names = sorted(set(langs))
+    bias = [math.log(langs.count(c) / len(langs)) for c in names]
+    z, n = collections.defaultdict(lambda: [0.0] * 3), collections.defaultdict(lambda: [0.0] * 3)
+
+    def weight(k, c):
+        return 0.0 if abs(z[k][c]) <= l1 else -(z[k][c] - math.copysign(l1, z[k][c])) / ((beta + math.sqrt(n[k][c])) / alpha + l2)
+
+    def shares(row):
+        e = [math.exp(b + sum(v * weight(k, c) for k, v in row.items())) for c, b in enumerate(bias)]
+        return [v / sum(e) for v in e]
+
+    order, rng = np.array([i for i in range(len(texts)) if i % 5 != 4]), np.random.default_rng(7)
+    for _ in range(2):
+        rng.shuffle(order)
+        for i in order.tolist():
+            p, w = shares(x[i]), {k: [weight(k, c) for c in range(3)] for k in x[i]}
+            for k, v in x[i].items():
+                for c, name in enumerate(names):
+                    g = v * (p[c] - (langs[i] == name))
+                    z[k][c] += g - (math.sqrt(n[k][c] + g * g) - math.sqrt(n[k][c])) / alpha * w[k][c]
+                    n[k][c] += g * g
+    for k in df:
+        assert model.table[k] == pytest.approx([weight(k, c) * idf(k) * L.SCALE for c in range(3)], rel=1e-4, abs=1e-6)
+    for t, row in zip(texts, x, strict=True):
+        if row:
+            e = [v ** (1 / model.temperature) for v in shares(row)]
+            assert model.predict(t)[0] == names[int(np.argmax(e))] and model.predict(t)[1] == pytest.approx(max(e) / sum(e), rel=1e-4)
+    assert model.predict("") == ("und", 0.0)
+
+
 def test_line_quality_on_held_out(spark, sf):
     big = sf.replace("sf0.001", "sf0.01")
     rows = registry.queries()["op6_line_quality"](spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").filter("held_out").toPandas()
