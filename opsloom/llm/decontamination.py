@@ -11,7 +11,7 @@ with edits. Pairs with ``THRESHOLD`` and more are reported.
 
 Seeds are a table (``gram``, item, place) and hits are a table (``gram``,
 document, place); the two are joined. What a document can hit at all is told by
-a filter of ``2**FILTER_BITS`` bits, whatever the benchmark's size, which is
+a filter of fixed size, whatever the benchmark's size, which is
 all that is sent to the tasks; a larger benchmark fills it and lets more rows
 into the join. Hits of one document and item are grouped, and the documents
 that have any are joined with their candidates and aligned. Documents without
@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opsloom.llm import text as T
+from opsloom.llm.filters import bit_filter, known_slots, slots, that_may_meet
 from opsloom.llm.workspace import Workspace
 
 GRAM = 3
 COMMON_SHARE = 0.25  # the most frequent part of an item's seeds of a shape, never used
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-FILTER_BITS = 22
 
 
 def text_words(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,18 +75,6 @@ def shapes_of(n: int) -> tuple[tuple[int, ...], ...]:
     return SHAPES if n > SHAPES[-1][-1] else (tuple(range(min(n, GRAM))),)
 
 
-def slots(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def bit_filter(hashes: DataFrame, column: str) -> np.ndarray:
-    """Which values of the hashes' first FILTER_BITS bits occur: a fixed number of bits, whatever the rows."""
-    found = hashes.select(F.shiftrightunsigned(column, 64 - FILTER_BITS).alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
-    out = np.zeros(1 << FILTER_BITS, bool)
-    out[found] = True
-    return np.packbits(out)
-
-
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [w[first[k] : first[k + 1]] for w, first in text_words(b.column("text")) for k in range(len(first) - 1)]
@@ -112,7 +100,7 @@ def _hits(sent, sizes: list[int]):
     shapes = [*SHAPES, *(tuple(range(n)) for n in sizes if n < GRAM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(sent.value).view(bool)
+        known = known_slots(sent)
         for b in batches:
             base = 0
             for words, first in text_words(b.column("text")):
@@ -215,15 +203,6 @@ def _aligned(threshold: float):
     return run
 
 
-def _with_version_in(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(sent.value).view(bool)
-        for b in batches:
-            yield b.filter(pa.array(known[slots(b.column("version").to_numpy().view(np.uint64))]))
-
-    return run
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", name: str = "decontamination") -> DataFrame:
     """doc_id, version, item_id, score, first_word, end_word: where documents hold benchmark items.
 
@@ -239,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     grams = space.save(items.mapInArrow(_item_seeds, "gram long, item long, shape int, q int, size int"), "grams")
 
     short = [r["size"] for r in grams.filter(F.col("size") < GRAM).select("size").distinct().collect()]  # 1 and 2 at most
-    hits = space.save(docs.mapInArrow(_hits(send(bit_filter(grams, "gram")), short), "gram long, doc_id long, version long, p int"), "hits")
+    hits = space.save(docs.mapInArrow(_hits(send(bit_filter(grams, F.col("gram"))), short), "gram long, doc_id long, version long, p int"), "hits")
     per = Window.partitionBy("item", "shape")
     ranked = grams.select("gram", "item", "shape").distinct().join(hits.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
     ranked = ranked.withColumns({"rank": F.row_number().over(per.orderBy(F.coalesce("n", F.lit(0)), "gram")), "of": F.count("*").over(per)})
@@ -249,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     met = hits.join(seeds, "gram").groupBy("doc_id", "version", "item").agg(F.collect_set(F.struct("p", "q")).alias("hits"))
     candidate = F.struct("item_id", "words", "hits")
     candidates = space.save(met.join(items, "item").groupBy("doc_id", "version").agg(F.collect_list(candidate).alias("candidates")), "candidates")
-    near = docs.mapInArrow(_with_version_in(send(bit_filter(candidates, "version"))), docs.schema)
+    near = that_may_meet(docs, F.col("version"), candidates, F.col("version"))
     both = near.join(candidates, near.doc_id.eqNullSafe(candidates.doc_id) & (near.version == candidates.version))
     return both.select(near.doc_id, near.version, "text", "candidates").mapInArrow(_aligned(threshold), PAIR)
 

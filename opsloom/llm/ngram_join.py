@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 
 from opsloom.llm import text as T
 from opsloom.llm.components import connected
+from opsloom.llm.filters import that_may_meet
 from opsloom.llm.workspace import Workspace
 
 SKETCH_BITS = 18
@@ -194,9 +195,13 @@ def _verifier(size: int, percent: int):
     return run
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are links. Rows come sorted by ``a`` from the join, so its set is made once."""
-    texts = docs.select("doc_id", "text")
+    texts = that_may_meet(docs.select("doc_id", "text"), F.xxhash64("doc_id"), _ids(pairs), F.xxhash64("id"))
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(size, percent), "a long, b long")
@@ -247,8 +252,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, name:
     of_one_id = space.save(named.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")), "ids")
 
     reps = classes.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    own = docs.join(reps, "doc_id", "left_semi")
-    prefixes = space.save(own.mapInArrow(_prefixes(size, percent, sent), PREFIXES), "prefixes")
+    # Prefixes are a third of their texts, so they are made before the copies of a class are left out.
+    every = docs.filter("doc_id is not null").mapInArrow(_prefixes(size, percent, sent), PREFIXES)
+    prefixes = space.save(every.join(reps.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "prefixes")
     prefix = prefixes.select("rep", "n", "cold", F.posexplode("tokens").alias("place", "token"))
     member = F.struct("cold", "rep", "n", "place")
     buckets = prefix.groupBy("token").agg(F.count("*").alias("c"), F.min(member).alias("lead"), F.max(member).alias("last")).filter("c > 1 and lead.rep <> last.rep")
@@ -262,8 +268,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85, name:
     tried = space.save(pairs, "tried")
 
     def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        passed = space.save(passing(pairs, prefixes, percent, ["tokens"]), f"{name}-order0")
-        passed = space.save(passing(passed, prefixes, percent, ["order1", "order2"]), f"{name}-orders")
+        near = that_may_meet(prefixes, F.xxhash64("rep"), _ids(pairs), F.xxhash64("id"))
+        passed = space.save(passing(pairs, near, percent, ["tokens"]), f"{name}-order0")
+        passed = space.save(passing(passed, near, percent, ["order1", "order2"]), f"{name}-orders")
         return space.save(_verified(passed, docs, size, percent), name)
 
     links = links_of(tried, "links").union(of_one_id)
