@@ -77,6 +77,14 @@ def robust_z(value: Column, center: Column, sigma: Column, floor: float = 0.0, r
     return F.when(scale > 0, diff / scale).when(diff == 0, F.lit(0.0)).otherwise(inf)
 
 
+def order_bucket(value: Column, per_octave: int = 256) -> Column:
+    """A whole number that never falls as the value rises: ``per_octave`` steps for each doubling, on both sides of zero."""
+    v = value.cast("double")
+    step = F.floor(F.log2(F.abs(v)) * per_octave) + 1100 * per_octave  # doubles are 2**-1074 and more
+    top = F.lit(2200 * per_octave)
+    return F.when(v == 0, F.lit(0).cast("long")).when(F.isnan(v) | (v == float("inf")), top.cast("long")).when(v == float("-inf"), -top.cast("long")).when(v > 0, step).otherwise(-step)
+
+
 def head_tail(text: Column, limit: int, marker: str = " ... ") -> Column:
     """A text over ``limit`` characters keeps its start and its end."""
     head = (limit - len(marker)) // 2

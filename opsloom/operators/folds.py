@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from opsloom.operators.logs import SEVERITY_RANK
+from opsloom.operators.timeseries import streaks
 
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], finish: Callable[[object], list[tuple]], schema: str) -> DataFrame:
@@ -38,67 +42,75 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
     return rows.mapInPandas(run, schema)
 
 
+def fold_runs(df: DataFrame, keys: list[str], order: list[str], new_run: Column, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> DataFrame:
+    """Folds the rows of each run of a key with the built-in ``aggregate`` and returns the rows of the array that ``finish`` makes of the state.
+
+    ``new_run`` tells, with window functions over the row before, where earlier
+    rows no longer matter. A busy key is thus cut into many independent runs,
+    and only a run is held.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    values = [c for c in df.columns if c not in keys and c not in order]
+    runs = df.withColumn("_new", F.coalesce(new_run, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("_rows"))
+    return rows.select(*keys, F.inline(F.aggregate("_rows", start, step, finish)))
+
+
+def _seconds(c: Column) -> Column:
+    return F.unix_micros(c.cast("timestamp")) / 1e6
+
+
 def refractory_fire(df: DataFrame, keys: list[str], ts: str, score: str, threshold: float = 0.48, dwell: int = 2, quiet_s: int = 1800, escalate: float = 0.20) -> DataFrame:
     """Fires when ``dwell`` scores in a row reach the threshold, then not for ``quiet_s`` unless the score rises by ``escalate``; null scores break the run."""
-    rows = df.select(*keys, ts, score)
-    i, j = len(keys), len(keys) + 1
-
-    def step(s: dict, row: tuple) -> list[tuple]:
-        v = row[j]
-        if v is None or v != v or v < threshold:
-            s["run"] = 0
-            return []
-        s["run"] += 1
-        now = row[i].timestamp() if hasattr(row[i], "timestamp") else float(row[i])
-        if s["run"] < dwell or (s["at"] is not None and now - s["at"] < quiet_s and v < s["score"] + escalate):
-            return []
-        s["at"], s["score"] = now, v
-        return [row]
+    high = (F.col(score) >= threshold) & ~F.isnan(score)
+    ready = streaks(df.select(*keys, ts, score), keys, [ts], high).filter(F.col("streak") >= dwell).select(*keys, ts, score)
+    w = Window.partitionBy(*keys).orderBy(ts)
+    row = F.struct(F.col(ts), F.col(score))
+    kinds = {f.name: f.dataType.simpleString() for f in ready.select(row.alias("r")).schema["r"].dataType.fields}
+    fired = "array<struct<" + ", ".join(f"{k}: {v}" for k, v in kinds.items()) + ">>"
+    # Rows a quiet time apart fire whatever came before.
+    far = _seconds(F.col(ts)) - _seconds(F.lag(ts).over(w)) >= quiet_s
 
-    types = dict(rows.dtypes)
-    return sorted_fold(rows, keys, [ts], lambda: {"run": 0, "at": None, "score": 0.0}, step, lambda s: [], ", ".join(f"{c} {types[c]}" for c in rows.columns))
+    def step(s: Column, r: Column) -> Column:
+        last = F.get(s, F.size(s) - 1)
+        fires = (F.size(s) == 0) | (_seconds(r[ts]) - _seconds(last[ts]) >= quiet_s) | (r[score] >= last[score] + escalate)
+        return F.when(fires, F.concat(s, F.array(F.struct(r[ts].alias(ts), r[score].alias(score))))).otherwise(s)
+
+    return fold_runs(ready, keys, [ts], far, F.array().cast(fired), step, lambda s: s)
 
 
 def rate_limit(df: DataFrame, keys: list[str], epoch_s: str, cooldown_s: float = 900, cap: int = 3, cap_window_s: float = 3600) -> DataFrame:
     """``decision`` for each call: TRIGGERED, SUPPRESSED_RATE_LIMIT within the cooldown of the last trigger, RATE_LIMITED_HOURLY_CAP beyond the cap."""
-    rows = df.select(*keys, epoch_s)
+    rows = df.select(*keys, F.col(epoch_s).cast("double").alias(epoch_s))
+    far = F.col(epoch_s) - F.lag(epoch_s).over(Window.partitionBy(*keys).orderBy(epoch_s)) > max(cap_window_s, cooldown_s)
+    start = F.struct(F.array().cast("array<double>").alias("hot"), F.array().cast(f"array<struct<{epoch_s}: double, decision: string>>").alias("out"))
 
-    def step(s: list, row: tuple) -> list[tuple]:
-        now = float(row[-1])
-        s[:] = [t for t in s if abs(now - t) <= cap_window_s]
-        if s and min(abs(now - t) for t in s) < cooldown_s:
-            return [(*row, "SUPPRESSED_RATE_LIMIT")]
-        if len(s) >= cap:
-            return [(*row, "RATE_LIMITED_HOURLY_CAP")]
-        s.append(now)
-        return [(*row, "TRIGGERED")]
+    def step(s: Column, r: Column) -> Column:
+        now = r[epoch_s]
+        hot = F.filter(s["hot"], lambda t: F.abs(now - t) <= cap_window_s)
+        cool = F.coalesce(F.array_min(F.transform(hot, lambda t: F.abs(now - t))) < cooldown_s, F.lit(False))
+        full = F.size(hot) >= cap
+        decision = F.when(cool, F.lit("SUPPRESSED_RATE_LIMIT")).when(full, F.lit("RATE_LIMITED_HOURLY_CAP")).otherwise(F.lit("TRIGGERED"))
+        kept = F.when(cool | full, hot).otherwise(F.concat(hot, F.array(now)))
+        return F.struct(kept.alias("hot"), F.concat(s["out"], F.array(F.struct(now.alias(epoch_s), decision.alias("decision")))).alias("out"))
 
-    types = dict(rows.dtypes)
-    return sorted_fold(rows, keys, [epoch_s], list, step, lambda s: [], ", ".join(f"{c} {types[c]}" for c in rows.columns) + ", decision string")
+    return fold_runs(rows, keys, [epoch_s], far, start, step, lambda s: s["out"])
 
 
 def dwell_alerts(df: DataFrame, keys: list[str], ts: str, value: str, threshold: float, dwell_s: int = 300, repeat_s: int = 3600) -> DataFrame:
     """Static-threshold alerts: after ``dwell_s`` over the threshold, again every ``repeat_s``; a recovery resets both."""
-    rows = df.select(*keys, ts, value)
-    i = len(keys)
-
-    def step(s: dict, row: tuple) -> list[tuple]:
-        v = row[i + 1]
-        if v is None or v != v or v < threshold:
-            s.update(since=None, fired=None)
-            return []
-        now = row[i].timestamp()
-        s["since"] = now if s["since"] is None else s["since"]
-        if now - s["since"] < dwell_s or (s["fired"] is not None and now - s["fired"] < repeat_s):
-            return []
-        s["fired"] = now
-        return [row]
-
-    types = dict(rows.dtypes)
-    return sorted_fold(rows, keys, [ts], lambda: {"since": None, "fired": None}, step, lambda s: [], ", ".join(f"{c} {types[c]}" for c in rows.columns))
-
-
-SEVERITY_RANK = {"DEBUG": 10, "INFO": 20, "NOTICE": 25, "WARNING": 30, "ERROR": 40, "CRITICAL": 50, "FATAL": 60}
+    over = streaks(df.select(*keys, ts, value), keys, [ts], (F.col(value) >= threshold) & ~F.isnan(value)).filter("streak > 0").select(*keys, ts, value, "island")
+    kinds = dict(over.dtypes)
+    start = F.struct(F.lit(None).cast(kinds[ts]).alias("since"), F.array().cast(f"array<struct<{ts}: {kinds[ts]}, {value}: {kinds[value]}>>").alias("fired"))
+    changed = F.col("island") != F.lag("island").over(Window.partitionBy(*keys).orderBy(ts))
+
+    def step(s: Column, r: Column) -> Column:
+        since = F.coalesce(s["since"], r[ts])
+        last = F.get(s["fired"], F.size(s["fired"]) - 1)
+        fires = (_seconds(r[ts]) - _seconds(since) >= dwell_s) & F.coalesce(_seconds(r[ts]) - _seconds(last[ts]) >= repeat_s, F.lit(True))
+        return F.struct(since.alias("since"), F.when(fires, F.concat(s["fired"], F.array(F.struct(r[ts].alias(ts), r[value].alias(value))))).otherwise(s["fired"]).alias("fired"))
+
+    return fold_runs(over, keys, [ts], changed, start, step, lambda s: s["fired"])
 
 
 def count_chunks(df: DataFrame, keys: list[str], epoch_s: str, log_id: str, severity: str, text: str, size: int = 5, stride: int = 2, gap_s: float = 30.0, limit: int = 6000) -> DataFrame:

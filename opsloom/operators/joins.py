@@ -28,13 +28,27 @@ def left_interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_
     return interval_join(left, right, keys, left_ts, right_ts, before_ms, "left")
 
 
-def or_key_max(left: DataFrame, row_id: str, keys: list[str], right: DataFrame, right_key: str, condition: Column, value: Column, out: str) -> DataFrame:
-    """For each left row the greatest ``value`` of right rows whose key equals any of ``keys``; 0 without one.
+def covered_join(points: DataFrame, spans: DataFrame, keys: list[str], ts: str, start: str, end: str, how: str = "inner", span_keys: list[str] | None = None, bucket_ms: int = 86_400_000) -> DataFrame:
+    """Rows of ``points`` with the spans of the same keys that hold their time, both ends included; ``how`` is inner, left, left_semi or left_anti.
 
-    The OR becomes an explosion of the distinct keys, an equi-join and a maximum.
+    A span is put into every time bucket that it touches and a point is in one,
+    so a busy key is dealt out by time. ``span_keys`` are the spans' names of
+    the keys; columns of the spans keep their names.
+    """
+    b = lambda c: F.floor(epoch_ms(c) / bucket_ms)
+    named = {k: f"_s{i}" for i, k in enumerate(span_keys or keys)}
+    right = spans.select("*", *[F.col(k).alias(n) for k, n in named.items()]).drop(*([] if span_keys else keys)).withColumn("_sb", F.explode(F.sequence(b(start), F.greatest(b(start), b(end)))))
+    on = [F.col(k) == F.col(n) for k, n in zip(keys, named.values(), strict=True)] + [F.col("_pb") == F.col("_sb"), F.col(ts).between(F.col(start), F.col(end))]
+    return points.withColumn("_pb", b(ts)).join(right, on, how).drop("_pb", "_sb", *named.values())
+
+
+def or_key_max(left: DataFrame, row_id: str, keys: list[str], right: DataFrame, right_key: str, ts: str, start: str, end: str, value: Column, out: str) -> DataFrame:
+    """For each left row the greatest ``value`` of the spans that hold its time and whose key equals any of ``keys``; 0 without one.
+
+    The OR becomes an explosion of the distinct keys, an equi-join by key and time bucket and a maximum.
     """
     either = left.withColumn("_k", F.explode(F.array_distinct(F.array(*keys))))
-    best = either.join(right, F.col("_k") == F.col(right_key)).filter(condition).groupBy(row_id).agg(F.max(value).alias(out))
+    best = covered_join(either, right, ["_k"], ts, start, end, span_keys=[right_key]).groupBy(row_id).agg(F.max(value).alias(out))
     return left.join(best, row_id, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opsloom.functions.scalar import SIGMA_OF_MAD, epoch_ms, trunc
+from opsloom.operators.aggregates import median_mad
+from opsloom.shared import rounds
 
 
 def rollup_avg(df: DataFrame, unit: str, ts: str, keys: list[str], value: str, out: str = "value") -> DataFrame:
@@ -33,11 +35,13 @@ def gap_fill(rolled: DataFrame, ts: str, keys: list[str], value: str, step: str
 
 
 def robust_bands(series: DataFrame, keys: list[str], value: str, k: float = 3.0) -> DataFrame:
-    """median -+ k robust sigmas of each key as ``lower_bound`` and ``upper_bound``; joined to the series."""
-    med = series.groupBy(*keys).agg(F.median(value).alias("center"))
-    mad = series.join(med, keys).groupBy(*keys).agg(F.first("center").alias("center"), F.median(F.abs(F.col(value) - F.col("center"))).alias("mad"))
-    sigma = F.col("mad") * SIGMA_OF_MAD
-    bands = mad.select(*keys, "center", sigma.alias("sigma"), (F.col("center") - k * sigma).alias("lower_bound"), (F.col("center") + k * sigma).alias("upper_bound"))
+    """median -+ k robust sigmas of each key as ``lower_bound`` and ``upper_bound``; joined to the series.
+
+    The series is written once: it is read for the medians, for the deviations and for the join.
+    """
+    series = rounds(series.sparkSession, "bands")(series, "series")
+    sigma = F.col("robust_sigma")
+    bands = median_mad(series, keys, value).select(*keys, F.col("median").alias("center"), sigma.alias("sigma"), (F.col("median") - k * sigma).alias("lower_bound"), (F.col("median") + k * sigma).alias("upper_bound"))
     return series.join(bands, keys)
 
 

@@ -13,7 +13,9 @@ from pyspark.sql.window import Window
 from opsloom.functions.scalar import clamp, logistic, robust_z
 from opsloom.operators import aggregates as ag
 from opsloom.operators import detect as dt
-from opsloom.plans.relational import CHANGES_SQL, changes, ev
+from opsloom.operators import folds, rules
+from opsloom.operators.joins import covered_join, interval_join
+from opsloom.plans.relational import CHANGES_SQL, changes, ev, theil_sen_sql
 from opsloom.tables import table
 
 SIG = ag.SIGMA_OF_MAD
@@ -65,7 +67,7 @@ def causal_summary(s, d):
 
 def time_to_limit(s, d):
     e = ev(s, d).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0).alias("t"), "value")
-    slope = ag.theil_sen(e, ["user_id"], "t", "value", 86400)
+    slope = ag.theil_sen(e, ["user_id"], "t", "value", 20 * 86400, least=6)
     stats = e.groupBy("user_id").agg(F.median("value").alias("center"), F.percentile("value", 0.995).alias("p995"), F.stddev_pop("value").alias("sigma"), F.max_by("value", F.struct("t", "value")).alias("last"))
     j = stats.join(slope, "user_id")
     level = dt.failure_level(F.col("center"), F.col("sigma"), F.col("p995"), F.lit(1), F.lit("learned"))
@@ -141,8 +143,6 @@ def prediction_match(s, d):
     """Onsets (errors) with the earliest prediction (purchase) of their user up to two days before."""
     p = ev(s, d).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("prediction_id"), F.col("ts").alias("emitted"))
     o = ev(s, d).filter("event_type = 'error'").select("user_id", F.col("event_id").alias("onset_id"), F.col("ts").alias("onset"))
-    from opsloom.operators.joins import interval_join
-
     met = interval_join(o, p, ["user_id"], "onset", "emitted", 2 * 86_400_000).filter(F.col("emitted") < F.col("onset"))
     lead = F.timestamp_diff("SECOND", F.min("emitted"), F.max("onset"))
     return met.groupBy("onset_id").agg(F.count("*").alias("n"), F.min_by("prediction_id", F.struct("emitted", "prediction_id")).alias("first_prediction"), lead.alias("lead_s"))
@@ -158,8 +158,6 @@ def score_fpr(s, d):
     """Benign events (clicks) alerted upon: an error of the user within six hours after."""
     b = ev(s, d).filter("event_type = 'click'").select(F.col("event_id").alias("b"), "user_id", F.col("ts").alias("bt"))
     a = ev(s, d).filter("event_type = 'error'").select("user_id", "ts")
-    from opsloom.operators.joins import interval_join
-
     hit = interval_join(a, b, ["user_id"], "ts", "bt", 6 * 3_600_000).select("b").distinct().withColumn("hit", F.lit(1))
     return b.join(hit, "b", "left").groupBy((F.col("user_id") % 3).alias("track")).agg(F.count("*").alias("n"), F.round(F.count("hit") / F.count("*"), 6).alias("fpr"))
 
@@ -184,7 +182,7 @@ def score_attribution(s, d):
 def score_alert_reduction(s, d):
     c = changes(s, d)
     e = ev(s, d)
-    inside = e.join(c, (e.user_id == c.entity) & (e.ts >= c.start_ts) & (e.ts <= c.end_ts)).select("event_id", "event_type").distinct()
+    inside = covered_join(e, c, ["user_id"], "ts", "start_ts", "end_ts", "left_semi", ["entity"]).select("event_id", "event_type")
     n = lambda k: F.count_if(F.col("event_type") == k)
     return inside.agg(n("error").alias("ours"), n("view").alias("static"), F.round(1 - n("error") / F.nullif(n("view"), F.lit(0)), 6).alias("reduction"))
 
@@ -230,14 +228,15 @@ def incident_process(s, d):
     """Suppress, else dispatch or hold; every incident leaves an audit row."""
     e = ev(s, d).filter("event_type = 'error'")
     c = changes(s, d).select("entity", "start_ts", "end_ts")
-    hit = e.join(c, (e.user_id == c.entity) & (e.ts >= c.start_ts) & (e.ts <= c.end_ts), "left_semi").select("event_id", F.lit(True).alias("hit"))
+    hit = covered_join(e, c, ["user_id"], "ts", "start_ts", "end_ts", "left_semi", ["entity"]).select("event_id", F.lit(True).alias("hit"))
     status = F.when(F.col("hit"), F.lit("SUPPRESSED")).when(logistic(F.col("value") / 10 - 3) >= 0.5, F.lit("DISPATCHED")).otherwise(F.lit("HELD"))
     return e.join(hit, "event_id", "left").select("event_id", status.alias("status"))
 
 
 def rca_prompt(s, d):
     """The text that a language model would be asked: the facts in a fixed order."""
-    e = ev(s, d).groupBy("user_id").agg(F.count("*").alias("n"), F.max("value").alias("peak"), ag.string_agg_topn(F.struct("ts", "event_id"), F.col("props"), 3, "; ").alias("logs"))
+    logs = ag.string_agg_topn(ev(s, d), ["user_id"], F.struct("ts", "event_id"), F.col("props"), 3, "logs", "; ")
+    e = ev(s, d).groupBy("user_id").agg(F.count("*").alias("n")).join(logs, "user_id")
     return e.select("user_id", F.concat(F.lit("Host "), F.col("user_id").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" events. Recent logs: "), F.col("logs"), F.lit(". State the root cause.")).alias("prompt"))
 
 
@@ -289,6 +288,9 @@ _PM = """pm AS (SELECT o.event_id AS onset_id, count(*) AS n, arg_min(p.event_id
 _REC = f"WITH {_PM}, o AS (SELECT event_id AS onset_id, user_id % 3 AS track FROM events WHERE event_type = 'error') SELECT track, round(count(lead_s) / count(*)::DOUBLE, 6) AS recall, median(lead_s) AS median_lead_s, count(*) FILTER (WHERE lead_s BETWEEN 900 AND 43200) AS in_band FROM o LEFT JOIN pm USING (onset_id) GROUP BY track"
 _FPR = "SELECT user_id % 3 AS track, count(*) AS n, round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM events a WHERE a.user_id = b.user_id AND a.event_type = 'error' AND b.ts <= a.ts AND epoch_us(a.ts) // 1000 - epoch_us(b.ts) // 1000 <= 21600000)) / count(*)::DOUBLE, 6) AS fpr FROM events b WHERE event_type = 'click' GROUP BY ALL"
 _COL = f"WITH {_INC} SELECT cause, count(DISTINCT episode) AS incidents, count(DISTINCT alert_id) AS alerts, round(count(DISTINCT episode) / count(DISTINCT alert_id)::DOUBLE, 6) AS ratio FROM ep GROUP BY cause"
+_TTL = f"""e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE - 1704067200.0::DOUBLE AS t, value FROM events), {theil_sen_sql("e", "user_id", 20 * 86400)},
+st AS (SELECT user_id, greatest(quantile_cont(value, 0.995), median(value) + 6 * stddev_pop(value)) AS level, arg_max(value, (t, value)) AS last FROM e GROUP BY ALL),
+ttl AS (SELECT user_id, level, CASE WHEN level - last <= 0 THEN 0 WHEN slope > 0 THEN (level - last) / slope END / 3600 AS hours FROM st JOIN slopes USING (user_id) WHERE n_points >= 6)"""
 ORACLE = {
     "robust_z_score": f"WITH {_R} SELECT user_id, day, feature, round(z, 6) AS z FROM r",
     "severity_from_z": f"WITH {_R} SELECT user_id, day, feature, round(severity, 6) AS severity FROM r",
@@ -296,10 +298,8 @@ ORACLE = {
     "hazard_confidence": f"WITH {_R}, {_H} SELECT user_id, day, round(confidence, 6) AS confidence FROM h",
     "contribution_share": f"WITH {_R} SELECT user_id, day, family, feature, round(severity / nullif(sum(severity) OVER (PARTITION BY user_id, day), 0), 6) AS share FROM f",
     "causal_summary": f"WITH {_R} SELECT user_id, day, arg_max(feature, (round(severity, 9), feature)) AS cause FROM r WHERE feature <> 'purchase' GROUP BY ALL",
-    "time_to_limit": """WITH e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE - 1704067200.0::DOUBLE AS t, value FROM events),
-sl AS (SELECT a.user_id, median((b.value - a.value) / (b.t - a.t)) AS slope FROM e a JOIN e b ON a.user_id = b.user_id AND b.t > a.t AND b.t - a.t <= 86400 GROUP BY ALL),
-st AS (SELECT user_id, greatest(quantile_cont(value, 0.995), median(value) + 6 * stddev_pop(value)) AS level, arg_max(value, (t, value)) AS last FROM e GROUP BY ALL)
-SELECT user_id, round(level, 6) AS level, round(CASE WHEN level - last <= 0 THEN 0 WHEN slope > 0 THEN (level - last) / slope END / 3600, 3) AS hours FROM st JOIN sl USING (user_id)""",
+    "time_to_limit": f"WITH {_TTL} SELECT user_id, round(level, 6) AS level, round(hours, 3) AS hours FROM ttl",
+    "predicted_horizon": f"WITH {_TTL} SELECT user_id, CAST(round(least(greatest(least(round(hours, 3) * 3600, 3600.0::DOUBLE), 300.0::DOUBLE), 7200.0::DOUBLE)) AS BIGINT) AS horizon_s FROM ttl",
     "change_explained_fraction": f"WITH {_R}, {_X} SELECT * FROM ex",
     "suppression_judge": f"""WITH {_R}, {_H}, {_X}, j AS (SELECT h.user_id, h.day, round(confidence, 9) AS c, coalesce(fraction, 0) AS f FROM h LEFT JOIN ex USING (user_id, day))
 SELECT user_id, day, f >= 0.05 AND (1 / (1 + exp(-(ln(c / (1 - c)) - 2.5::DOUBLE * f))) < 0.1 OR f >= 0.9) AS suppressed FROM j""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opsloom.functions.feature_catalog import derive
 from opsloom.functions.scalar import logistic
 from opsloom.operators.aggregates import SIGMA_OF_MAD
+from opsloom.operators.joins import covered_join
 from opsloom.operators.timeseries import gap_fill, rollup_avg, robust_bands
 from opsloom.plans.relational import CHANGES_SQL, changes, ev
 from opsloom.tables import table
@@ -27,7 +28,7 @@ def xreg_bands(s, d):
     """Bands after a closed-form regression on the maintenance flag."""
     c = changes(s, d)
     e = ev(s, d)
-    flagged = e.join(c, (e.user_id == c.entity) & (e.ts >= c.start_ts) & (e.ts <= c.end_ts), "left_semi").select("event_id", F.lit(1.0).alias("m"))
+    flagged = covered_join(e, c, ["user_id"], "ts", "start_ts", "end_ts", "left_semi", ["entity"]).select("event_id", F.lit(1.0).alias("m"))
     x = e.join(flagged, "event_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
     fit = x.groupBy("event_type").agg(F.avg(F.when(F.col("m") == 0, F.col("value"))).alias("base"), F.avg(F.when(F.col("m") == 1, F.col("value"))).alias("during"))
     r = x.join(F.broadcast(fit), "event_type").withColumn("residual", F.col("value") - F.when(F.col("m") == 1, F.coalesce("during", "base")).otherwise(F.col("base")))

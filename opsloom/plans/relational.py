@@ -15,6 +15,17 @@ T = "(epoch_us(ts) // 1000)"
 CHANGES_SQL = "changes AS (SELECT event_id AS change_id, user_id AS entity, user_id % 3 AS kind, ts AS start_ts, ts + INTERVAL 12 HOUR AS end_ts, value AS risk FROM events WHERE event_type = 'signup')"
 
 
+def theil_sen_sql(source, key, window):
+    """Common table expressions that end in slopes (key, slope, n_points), from (key, t, value)."""
+    step = "((n - 1) / 89.0::DOUBLE)"
+    near = lambda k: f"round_even((floor(r / {step}) + {k}) * {step}, 0) = r"
+    return f"""last AS (SELECT {key}, max(t) AS z FROM {source} GROUP BY ALL),
+pts AS (SELECT {key}, t, value, row_number() OVER (PARTITION BY {key} ORDER BY t, value) - 1 AS r, count(*) OVER (PARTITION BY {key}) AS n FROM {source} JOIN last USING ({key}) WHERE t >= z - {window}),
+thin AS (SELECT * FROM pts WHERE n >= 2 AND (n * (n - 1) / 2 <= 4096 OR r = 0 OR r = n - 1 OR {near(0)} OR {near(1)})),
+med AS (SELECT a.{key}, median((b.value - a.value) / (b.t - a.t)) AS slope FROM thin a JOIN thin b ON a.{key} = b.{key} AND b.t > a.t GROUP BY ALL),
+slopes AS (SELECT c.{key}, coalesce(med.slope, 0.0) AS slope, c.n_points FROM (SELECT {key}, count(*) AS n_points FROM thin GROUP BY ALL) c LEFT JOIN med USING ({key}))"""
+
+
 def ev(s, d):
     return table(s, d, "events")
 
@@ -57,7 +68,7 @@ def suppress_left_join(s, d):
     """Errors with the greatest risk among covering changes, and the action that follows."""
     e = ev(s, d).filter("event_type = 'error'").select("event_id", "user_id", "ts", "value")
     c = changes(s, d)
-    met = e.join(c, (e.user_id == c.entity) & (e.ts >= c.start_ts) & (e.ts <= c.end_ts), "left").groupBy("event_id", "value").agg(F.count("change_id").alias("n_changes"), F.max("risk").alias("risk"))
+    met = joins.covered_join(e, c, ["user_id"], "ts", "start_ts", "end_ts", "left", ["entity"]).groupBy("event_id", "value").agg(F.count("change_id").alias("n_changes"), F.max("risk").alias("risk"))
     action = F.when(F.col("n_changes") > 0, F.lit("NO_ACTION_SUPPRESSED")).when(F.col("value") >= 60, F.lit("AUTO_REMEDIATE")).otherwise(F.lit("MANUAL_REVIEW"))
     return met.select("event_id", "n_changes", "risk", action.alias("action"))
 
@@ -95,7 +106,8 @@ def interval_join_5m(s, d):
     a = ev(s, d).filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     b = ev(s, d).filter("event_type = 'error'").select("user_id", F.col("ts").alias("log_ts"), "props")
     met = joins.left_interval_join(a, b, ["user_id"], "ts", "log_ts", 6 * HOUR)
-    return met.groupBy("event_id").agg(F.count("log_ts").alias("n"), ag.string_agg_topn(F.col("log_ts"), F.col("props"), 3).alias("messages"))
+    top = ag.string_agg_topn(met, ["event_id"], F.col("log_ts"), F.col("props"), 3, "messages")
+    return met.groupBy("event_id").agg(F.count("log_ts").alias("n")).join(top, "event_id", "left")
 
 
 def correlated_distinct(s, d):
@@ -109,14 +121,13 @@ def correlated_distinct(s, d):
 def maintenance_regressor(s, d):
     e = ev(s, d).groupBy(trunc("hour", "ts").alias("hour"), "user_id").agg(F.round(F.avg("value"), 6).alias("avg_value"))
     c = changes(s, d)
-    on = (e.user_id == c.entity) & (e.hour >= c.start_ts) & (e.hour <= c.end_ts)
-    return e.join(c, on, "left").groupBy("hour", "user_id", "avg_value").agg(F.max(F.when(F.col("change_id").isNotNull(), 1).otherwise(0)).alias("is_maintenance"))
+    return joins.covered_join(e, c, ["user_id"], "hour", "start_ts", "end_ts", "left", ["entity"]).groupBy("hour", "user_id", "avg_value").agg(F.max(F.when(F.col("change_id").isNotNull(), 1).otherwise(0)).alias("is_maintenance"))
 
 
 def or_key_interval_join(s, d):
     """A change counts if its entity is the user or the user's successor."""
     e = ev(s, d).filter("event_type = 'error'").select("event_id", "ts", "user_id", (F.col("user_id") + 1).alias("service"))
-    return joins.or_key_max(e, "event_id", ["user_id", "service"], changes(s, d), "entity", (F.col("ts") >= F.col("start_ts")) & (F.col("ts") <= F.col("end_ts")), F.lit(1), "in_change").select("event_id", "in_change")
+    return joins.or_key_max(e, "event_id", ["user_id", "service"], changes(s, d), "entity", "ts", "start_ts", "end_ts", F.lit(1), "in_change").select("event_id", "in_change")
 
 
 def rca_feature_join(s, d):
@@ -191,7 +202,7 @@ def group_by_json_label(s, d):
 
 
 def string_agg_topn(s, d):
-    return ev(s, d).groupBy("user_id").agg(ag.string_agg_topn(F.struct("ts", "event_id"), F.col("event_type"), 3).alias("latest"))
+    return ag.string_agg_topn(ev(s, d), ["user_id"], F.struct("ts", "event_id"), F.col("event_type"), 3, "latest")
 
 
 def string_agg_distinct(s, d):
@@ -213,11 +224,14 @@ def log_count_windows(s, d):
 
 
 def class_counts(s, d):
-    return ev(s, d).filter((F.col("value") > 20) & (F.col("user_id") < 100)).groupBy("event_type").agg(F.count("*").alias("n"))
+    return ev(s, d).filter(F.col("value") > 20).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def combine_per_key(s, d):
-    return ev(s, d).filter("event_type = 'purchase'").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("ids"), F.max("value").alias("max_value"))
+    """The ids of a key in rows of a thousand, each with the key's maximum."""
+    e = ev(s, d).filter("event_type = 'purchase'")
+    ids = ag.id_chunks(e, ["user_id"], "event_id").join(e.groupBy("user_id").agg(F.max("value").alias("max_value")), "user_id")
+    return ids.select("user_id", "chunk", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "max_value")
 
 
 def weighted_quantile(s, d):
@@ -225,8 +239,8 @@ def weighted_quantile(s, d):
 
 
 def percentile_exact(s, d):
-    p = lambda q: F.round(F.percentile("value", q), 6)
-    return ev(s, d).groupBy("event_type").agg(p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.995).alias("p995"))
+    q = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p995": 0.995}
+    return ag.exact_quantiles(ev(s, d), ["event_type"], "value", q).select("event_type", *[F.round(c, 6).alias(c) for c in q])
 
 
 def median_mad(s, d):
@@ -235,12 +249,11 @@ def median_mad(s, d):
 
 def theil_sen_slope(s, d):
     e = ev(s, d).select("user_id", (epoch_ms("ts") / 60000.0).alias("t"), "value")
-    return ag.theil_sen(e, ["user_id"], "t", "value", 1440).select("user_id", F.round("slope", 6).alias("slope"), "n_pairs")
+    return ag.theil_sen(e, ["user_id"], "t", "value", 20 * 1440).select("user_id", F.round("slope", 8).alias("slope"), "n_points")
 
 
 def ewma(s, d):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
-    return ev(s, d).groupBy("user_id").agg(ordered.alias("v")).select("user_id", F.round(ag.ewma(F.col("v"), 0.3), 6).alias("ewma"))
+    return ag.ewma(ev(s, d), ["user_id"], ["ts", "event_id"], "value", 0.3).select("user_id", F.round("ewma", 6).alias("ewma"))
 
 
 def pooled_ratios(s, d):
@@ -285,7 +298,7 @@ def active_change_top1(s, d):
     """The riskiest change that covers an error, ends included; ties by smallest id."""
     e = ev(s, d).filter("event_type = 'error'").select("event_id", "user_id", "ts")
     c = changes(s, d)
-    met = e.join(c, (e.user_id == c.entity) & (e.ts >= c.start_ts) & (e.ts <= c.end_ts))
+    met = joins.covered_join(e, c, ["user_id"], "ts", "start_ts", "end_ts", "inner", ["entity"])
     return met.groupBy("event_id").agg(F.max_by("change_id", F.struct("risk", -F.col("change_id"))).alias("change_id"), F.max("risk").alias("risk"))
 
 
@@ -369,12 +382,12 @@ r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2
     "hourly_xreg_features": "SELECT date_trunc('hour', ts) AS hour, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS has_error, max(CASE WHEN event_type = 'signup' THEN value ELSE 0.0 END) AS max_signup FROM events GROUP BY ALL",
     "distinct_hosts": "SELECT DISTINCT user_id, event_type FROM events",
     "log_count_windows": f"SELECT date_trunc('day', ts) AS day, {', '.join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in _KINDS)} FROM events GROUP BY ALL",
-    "class_counts": "SELECT event_type, count(*) AS n FROM events WHERE value > 20 AND user_id < 100 GROUP BY ALL",
-    "combine_per_key": "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids, max(value) AS max_value FROM events WHERE event_type = 'purchase' GROUP BY ALL",
+    "class_counts": "SELECT event_type, count(*) AS n FROM events WHERE value > 20 GROUP BY ALL",
+    "combine_per_key": "WITH p AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 1000 AS chunk, max(value) OVER (PARTITION BY user_id) AS top FROM events WHERE event_type = 'purchase') SELECT user_id, chunk, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids, any_value(top) AS max_value FROM p GROUP BY user_id, chunk",
     "weighted_quantile": "WITH p AS (SELECT l_returnflag, l_discount, sum(l_quantity) AS w FROM lineitem GROUP BY ALL), r AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY l_discount) AS c, sum(w) OVER (PARTITION BY l_returnflag) AS t FROM p) SELECT l_returnflag, min(l_discount) AS q90 FROM r WHERE c >= t * 0.9::DOUBLE GROUP BY ALL",
     "percentile_exact": "SELECT event_type, " + ", ".join(f"round(quantile_cont(value, {q}), 6) AS {n}" for q, n in ((0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.995, "p995"))) + " FROM events GROUP BY ALL",
     "median_mad": f"SELECT event_type, round(median(value), 6) AS median, round(mad(value), 6) AS mad, round(mad(value) * {ag.SIGMA_OF_MAD}::DOUBLE, 6) AS robust_sigma FROM events GROUP BY ALL",
-    "theil_sen_slope": f"WITH e AS (SELECT user_id, {T} / 60000.0::DOUBLE AS t, value FROM events) SELECT a.user_id, round(median((b.value - a.value) / (b.t - a.t)), 6) AS slope, count(*) AS n_pairs FROM e a JOIN e b ON a.user_id = b.user_id AND b.t > a.t AND b.t - a.t <= 1440 GROUP BY ALL",
+    "theil_sen_slope": f"WITH e AS (SELECT user_id, {T} / 60000.0::DOUBLE AS t, value FROM events), {theil_sen_sql('e', 'user_id', 28800)} SELECT user_id, round(slope, 8) AS slope, n_points FROM slopes",
     "ewma": """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, rn, value AS e FROM o WHERE rn = 1 UNION ALL SELECT o.user_id, o.rn, r.e + (o.value - r.e) * 0.3::DOUBLE FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
 SELECT user_id, round(arg_max(e, rn), 6) AS ewma FROM r GROUP BY user_id""",
