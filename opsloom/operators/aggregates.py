@@ -33,11 +33,13 @@ def strict_sum(value: str) -> Column:
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, out: str = "quantile") -> DataFrame:
     """The smallest value whose cumulated weight reaches ``q`` of the total (a step, not interpolated).
 
-    Weights are summed by value first, so the running sum has a row a distinct value.
+    Weights are summed by value, then by ordered bucket, so that a busy key's running sum is spread over its buckets.
     """
-    per = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
+    rows = df.select(*keys, value, weight).withColumn("_b", order_bucket(F.col(value)))
+    per = rows.groupBy(*keys, "_b", value).agg(F.sum(weight).alias("_w"))
     w = Window.partitionBy(*keys)
-    run = per.withColumns({"_c": F.sum("_w").over(w.orderBy(value)), "_t": F.sum("_w").over(w)})
+    buckets = per.groupBy(*keys, "_b").agg(F.sum("_w").alias("_n")).withColumns({"_before": F.sum("_n").over(w.orderBy("_b")) - F.col("_n"), "_t": F.sum("_n").over(w)}).drop("_n")
+    run = per.join(buckets, [*keys, "_b"]).withColumn("_c", F.col("_before") + F.sum("_w").over(Window.partitionBy(*keys, "_b").orderBy(value)))
     return run.filter(F.col("_c") >= F.col("_t") * q).groupBy(*keys).agg(F.min(value).alias(out))
 
 

@@ -14,7 +14,7 @@ from opsloom.tables import table
 
 def _turns(s, d):
     sev = F.when(F.col("turn") % 3 == 2, F.lit("ERROR")).otherwise(F.lit("INFO"))
-    text = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("  at "), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20))
+    text = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("  at "), F.col("text"))).otherwise(F.col("text"))
     return table(s, d, "conversations").select("conv_id", "turn", F.lit("svc").alias("service"), sev.alias("severity"), text.alias("text"))
 
 
@@ -34,8 +34,9 @@ def log_signature(s, d):
 
 
 def ngram_features(s, d):
-    w = F.split(F.lower(F.substring("text", 1, 200)), " ")
-    grams = F.concat(lg.shingles(w, 2), lg.char_ngrams(F.get(w, 0), 3))
+    """Pairs of words, and character 3-grams of every word."""
+    w = F.split(F.lower("text"), " ")
+    grams = F.concat(lg.shingles(w, 2), F.flatten(F.transform(w, lambda x: lg.char_ngrams(x, 3))))
     return table(s, d, "benchmark").select("item_id", F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -119,13 +120,13 @@ def static_threshold_alerts(s, d):
 NAMES = [stacktrace_coalesce, log_normalize, log_signature, ngram_features, sliding_count_chunks, flushed_count_chunks, hashed_embedding, exposition_parse, histogram_validate, log_validate, promql_matrix_pivot, envelope_decode, refractory_fire, rate_limit, static_threshold_alerts]
 QUERIES = {f.__name__: f for f in NAMES}
 ORACLE = {
-    "stacktrace_coalesce": """WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN turn % 2 = 1 THEN '  at ' || text[1:20] ELSE text[1:20] END AS text FROM conversations),
-c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND (regexp_matches(string_split(text, chr(10))[1], '^\\s{2,}\\S+') OR regexp_matches(string_split(text, chr(10))[1], '^\\s*[\\w.$]+(?:Exception|Error|Throwable):')) THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    "stacktrace_coalesce": f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN turn % 2 = 1 THEN '  at ' || text ELSE text END AS text FROM conversations),
+c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND regexp_matches(string_split(text, chr(10))[1], '{lg.CONTINUATION}') AND NOT regexp_matches(string_split(text, chr(10))[1], '{lg.NEW_LINE}') THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM c)
 SELECT conv_id, block, string_agg(text, chr(10) ORDER BY turn) AS text, CASE WHEN bool_or(severity = 'ERROR') THEN 'ERROR' ELSE 'INFO' END AS severity, count(*) AS n_lines FROM b GROUP BY conv_id, block""",
     "log_normalize": """SELECT event_id, 'user <NUM> took <DURATION> for {"k": <NUM>}' AS message FROM events""",
-    "ngram_features": """WITH b AS (SELECT item_id, string_split(lower(text[1:200]), ' ') AS w FROM benchmark),
-g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b) UNION ALL SELECT ('#' || w[1] || '#')[i:i + 2] FROM (SELECT w, unnest(range(1, len(w[1]) + 1)) AS i FROM b)) SELECT gram, count(*) AS n FROM g GROUP BY gram""",
+    "ngram_features": """WITH b AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), c AS (SELECT unnest(w) AS x FROM b),
+g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b) UNION ALL SELECT ('#' || x || '#')[i:i + 2] FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM c)) SELECT gram, count(*) AS n FROM g GROUP BY gram""",
     "sliding_count_chunks": """WITH r AS (SELECT user_id, row_number() OVER w AS rn, list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ids FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT user_id, array_to_string(ids, ',') AS ids FROM r WHERE rn % 2 = 1 AND len(ids) = 5""",
     "exposition_parse": "SELECT event_id, event_type || '_total' AS name, user_id, props, value, false AS error FROM events",

@@ -13,7 +13,6 @@ from opsloom.functions.scalar import epoch_ms, safe_ratio, trunc
 from opsloom.operators import timeseries as ts
 from opsloom.tables import table
 
-ORIGIN = 1704067200000  # 2024-01-01T00:00:00Z
 HOUR, DAY = 3_600_000, 86_400_000
 
 
@@ -36,11 +35,8 @@ def _filled(spark, d):
 
 
 def gap_fill_minute(spark, d):
-    """The dense one-minute grid, for the last day of data."""
-    e = _events(spark, d)
-    day = e.select(trunc("day", F.max("ts")).alias("day"))
-    recent = e.join(F.broadcast(day), F.col("ts") >= F.col("day")).drop("day")
-    out = ts.gap_fill(ts.rollup_avg(recent, "minute", "ts", ["event_type"], "value"), "ts", ["event_type"], "value", "1 MINUTE")
+    """The dense one-minute grid."""
+    out = ts.gap_fill(ts.rollup_avg(_events(spark, d), "minute", "ts", ["event_type"], "value"), "ts", ["event_type"], "value", "1 MINUTE")
     return out.select("ts", "event_type", F.round("value", 6).alias("value"))
 
 
@@ -86,7 +82,10 @@ def tumbling_window(spark, d):
 
 
 def feature_windows(spark, d):
-    out = ts.feature_windows(_events(spark, d), "ts", ["event_type"], "value", ORIGIN, 7 * HOUR, ORIGIN + 10 * DAY)
+    """Windows from the first day on; origin and end are read from the data (one row)."""
+    e = _events(spark, d)
+    span = e.agg(epoch_ms(trunc("day", F.min("ts"))).alias("a"), (epoch_ms(F.max("ts")) + 1).alias("z")).first()
+    out = ts.feature_windows(e, "ts", ["event_type"], "value", span["a"] or 0, 7 * HOUR, span["z"] or 0)
     return out.select("bucket_start", "bucket_end", "event_type", "min", "max", "count", "first", "last", *[F.round(c, 6).alias(c) for c in ("mean", "sum", "stddev", "delta", "rate_per_s")])
 
 
@@ -195,7 +194,7 @@ _SIGMA = _shrink("n_cell", "mad_cell", _shrink("n_hour", "mad_hour", "mad_global
 
 ORACLE = {
     "minute_rollup_avg": "SELECT date_trunc('minute', ts) AS ts_minute, event_type, round(avg(value), 6) AS avg_value, count(*) AS n, min(value) AS min_value, max(value) AS max_value, round(sum(value), 4) AS sum_value FROM events GROUP BY ALL",
-    "gap_fill_minute": """WITH r AS (SELECT date_trunc('minute', ts) AS ts, event_type, avg(value) AS value FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY ALL),
+    "gap_fill_minute": """WITH r AS (SELECT date_trunc('minute', ts) AS ts, event_type, avg(value) AS value FROM events GROUP BY ALL),
 g AS (SELECT unnest(generate_series((SELECT min(ts) FROM r), (SELECT max(ts) FROM r), INTERVAL 1 MINUTE)) AS ts)
 SELECT g.ts, h.event_type, round(coalesce(r.value, 0.0), 6) AS value FROM g CROSS JOIN (SELECT DISTINCT event_type FROM r) h LEFT JOIN r ON r.ts = g.ts AND r.event_type = h.event_type""",
     "dense_hours": f"WITH {_FILLED} SELECT ts, event_type, round(value, 6) AS value FROM filled",
@@ -209,10 +208,11 @@ CASE WHEN value > hi THEN 'SPIKE_ANOMALY' WHEN value < lo AND value = 0 THEN 'SI
     "recent_window_asof": "SELECT event_id, ts, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY",
     "row_number_first_last": "SELECT user_id, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY ALL",
     "tumbling_window": "SELECT time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '2024-01-01 00:30:00') AS start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY ALL",
-    "feature_windows": f"""WITH r AS (SELECT *, {_T} AS t, CAST(floor(({_T} - {ORIGIN}) / {7 * HOUR}.0) AS BIGINT) * {7 * HOUR} + {ORIGIN} AS bucket_start FROM events WHERE {_T} >= {ORIGIN} AND {_T} < {ORIGIN + 10 * DAY}),
-a AS (SELECT bucket_start, event_type, avg(value) AS mean, min(value) AS min, max(value) AS max, sum(value) AS sum, count(*) AS count, stddev_samp(value) AS stddev, min({{'t': t, 'v': value}}) AS f, max({{'t': t, 'v': value}}) AS l FROM r GROUP BY ALL)
-SELECT bucket_start, least(bucket_start + {7 * HOUR}, {ORIGIN + 10 * DAY}) AS bucket_end, event_type, min, max, count, f.v AS first, l.v AS last, round(mean, 6) AS mean, round(sum, 6) AS sum, round(stddev, 6) AS stddev, round(l.v - f.v, 6) AS delta,
-round(CASE WHEN l.t > f.t THEN (l.v - f.v) / ((l.t - f.t) / 1000.0::DOUBLE) END, 6) AS rate_per_s FROM a""",
+    "feature_windows": f"""WITH o AS (SELECT epoch_ms(date_trunc('day', min(ts))::TIMESTAMP) AS a, max({_T}) + 1 AS z FROM events),
+r AS (SELECT *, {_T} AS t, CAST(floor(({_T} - a) / {7 * HOUR}.0) AS BIGINT) * {7 * HOUR} + a AS bucket_start FROM events, o),
+g AS (SELECT bucket_start, event_type, any_value(z) AS z, avg(value) AS mean, min(value) AS min, max(value) AS max, sum(value) AS sum, count(*) AS count, stddev_samp(value) AS stddev, min({{'t': t, 'v': value}}) AS f, max({{'t': t, 'v': value}}) AS l FROM r GROUP BY bucket_start, event_type)
+SELECT bucket_start, least(bucket_start + {7 * HOUR}, z) AS bucket_end, event_type, min, max, count, f.v AS first, l.v AS last, round(mean, 6) AS mean, round(sum, 6) AS sum, round(stddev, 6) AS stddev, round(l.v - f.v, 6) AS delta,
+round(CASE WHEN l.t > f.t THEN (l.v - f.v) / ((l.t - f.t) / 1000.0::DOUBLE) END, 6) AS rate_per_s FROM g""",
     "series_generate": "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 5 MINUTE)) AS ts",
     "counter_rate": f"""WITH c AS (SELECT *, round(sum(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS counter FROM events),
 x AS (SELECT *, ({_T} - lag({_T}) OVER w) / 1000.0::DOUBLE AS dt, counter - lag(counter) OVER w AS dv FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts))
