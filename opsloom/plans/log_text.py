@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opsloom.functions.embedding import embed_signatures
+from opsloom.functions.embedding import DIM, WEIGHTS, slot_weights
 from opsloom.functions.scalar import epoch_ms
 from opsloom.operators import folds
 from opsloom.operators import logs as lg
+from opsloom.operators import rules
 from opsloom.tables import table
 
 
@@ -56,8 +57,9 @@ def flushed_count_chunks(s, d):
 
 
 def hashed_embedding(s, d):
-    sig = table(s, d, "pages").select("page_id", lg.signature("url").alias("signature"))
-    return embed_signatures(sig, "signature").select("page_id", "signature", F.size("vector").alias("dim"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+    """Slots and values of the unit vector of each distinct signature."""
+    sig = table(s, d, "pages").select(lg.signature("url").alias("signature"))
+    return slot_weights(sig, "signature").select("signature", "slot", F.round("value", 6).alias("value"))
 
 
 def exposition_parse(s, d):
@@ -74,13 +76,46 @@ def histogram_validate(s, d):
     return lg.histogram_faults(b, ["l_orderkey"], "le", "n").select("l_orderkey", "n_falls")
 
 
+#: For each rule a document of metrics text that breaks it, behind three good lines.
+FAULTY_LINES = {
+    2: "bad-name 1\n", 3: 'm_x{1a="b"} 1\n', 4: "m_x{a=b} 1\n", 5: 'm_x{a="\\q"} 1\n', 6: "m_x one\n", 7: "m_x 1 1.5\n", 8: "# TYPE m_x meter\n", 9: "# HELP m_total again\n", 10: 'm_x{a="1",a="2"} 1\n',
+    11: 'm_x{a="1",b="2"} 1\nm_x{b="2",a="1"} 2\n', 12: '# TYPE h histogram\nh_bucket{le="1"} 1\nh_sum 1\nh_count 1\n', 13: '# TYPE h histogram\nh_bucket{le="+Inf"} 2\nh_sum 1\nh_count 3\n',
+    14: '# TYPE h histogram\nh_bucket{le="1"} 5\nh_bucket{le="2"} 3\nh_bucket{le="+Inf"} 5\nh_count 5\n', 15: 'm_x{le="1"} 1\n', 16: '# TYPE s summary\ns{quantile="2"} 1\n', 17: 'm_x{job="a"} 1\n',
+    18: 'm_x{' + "k" * 101 + '="1"} 1\n', 19: "m_x 1 2 3\n",
+}
+
+
+def exposition_rules(s, d):
+    """Every rule of the metrics text, by documents that break one each; the others are clean."""
+    k = F.col("event_id") % 20
+    good = F.concat(F.lit('# HELP m_total h\\n\n# TYPE m_total counter\nm_total{u="'), F.col("user_id").cast("string"), F.lit('"} '), F.col("value").cast("string"), F.lit("\n"))
+    extra = F.lit("")
+    for n, text in FAULTY_LINES.items():
+        extra = F.when(k == n, F.lit(text)).otherwise(extra)
+    text = F.when(k == 1, F.rtrim(good)).otherwise(F.concat(good, extra))
+    docs = table(s, d, "events").select("event_id", F.when(k == 1, F.regexp_replace(text, "\n$", "")).otherwise(text).alias("text"))
+    return rules.exposition_rules(docs, "text", ["event_id"]).select("event_id", "rule", F.col("line").cast("long").alias("line"))
+
+
+#: For each rule a change of a good log entry: fields that replace or follow its own.
+FAULTY_FIELDS = {
+    1: '"foo":1', 4: '"severity":"LOUD"', 6: '"jsonPayload":{"a":1}', 8: '"httpRequest":{"requestSize":5}', 9: '"httpRequest":{"status":"200"}', 10: '"timestamp":"yesterday"', 11: '"httpRequest":{"latency":"1.5"}', 12: '"spanId":"0000000000000000"',
+    13: '"split":{"index":3,"totalSplits":3}', 14: '"sourceLocation":{"line":"-1"}', 15: '"labels":{"' + "k" * 513 + '":"v"}', 16: '"trace":"\\ud800"', 17: '"errorGroups":[]',
+}
+
+
 def log_validate(s, d):
-    """Rule columns of a strict log reader; repeated ids count too."""
-    e = table(s, d, "events")
-    rules = {"L_type": ~F.col("event_type").isin("view", "click", "error", "purchase", "signup"), "L_value": F.col("value") < 1, "L_json": F.get_json_object("props", "$.k").isNull(), "L_user": F.col("user_id") % 50 == 0}
-    broken = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])))
-    repeats = e.unionByName(e.filter("event_id % 1000 = 0")).groupBy("event_id").count().filter("count > 1").select("event_id", F.lit("L_unique").alias("rule"))
-    return e.select("event_id", broken.alias("rule")).unionByName(repeats).groupBy("rule").agg(F.count("*").alias("n"))
+    """Every rule of the log entry format, by entries that break one each; rule 18 by ids that repeat."""
+    k = F.col("event_id") % 19
+    name = F.when(k == 3, F.lit("projects/p/logs/a b")).otherwise(F.lit("projects/p/logs/app"))
+    resource = F.when(k == 2, F.lit("")).otherwise(F.concat(F.lit('"resource":{"type":"'), F.when(k == 5, F.lit("nothing")).otherwise(F.lit("gce_instance")), F.lit('","labels":{"zone":"z"}},')))
+    payload = F.when(k == 7, F.lit('"protoPayload":{"@type":"x"}')).otherwise(F.concat(F.lit('"textPayload":"'), F.col("event_type"), F.lit('"')))
+    extra = F.lit("")
+    for n, text in FAULTY_FIELDS.items():
+        extra = F.when(k == n, F.lit("," + text)).otherwise(extra)
+    ident = F.when(k == 18, F.lit("again")).otherwise(F.col("event_id").cast("string"))
+    raw = F.concat(F.lit('{"logName":"'), name, F.lit('",'), resource, F.lit('"insertId":"'), ident, F.lit('",'), payload, extra, F.lit("}"))
+    return rules.log_entry_rules(table(s, d, "events").select("event_id", raw.alias("raw")), "raw", ["event_id"])
 
 
 def promql_matrix_pivot(s, d):
@@ -113,11 +148,15 @@ def rate_limit(s, d):
 
 
 def static_threshold_alerts(s, d):
-    e = table(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("v"))
-    return folds.dwell_alerts(e, ["event_type"], "ts", "v", 15.0, 3600, 6 * 3600).select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("v", 6).alias("v"))
+    """All static rules: each event is a sample of one rule's signal; an hour's mean over the threshold for an hour alerts, and again every six."""
+    table_of = s.createDataFrame([(i, n, t) for i, (n, _, t, *_) in enumerate(rules.STATIC_RULES)], "k long, rule string, threshold double")
+    sample = table(s, d, "events").withColumn("k", F.col("event_id") % len(rules.STATIC_RULES)).join(F.broadcast(table_of), "k")  # a row a rule
+    signal = sample.groupBy("rule", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg((F.avg("value") / 20).alias("excess"))
+    over = signal.select("rule", "ts", "excess")  # in units of the rule's threshold
+    return folds.dwell_alerts(over, ["rule"], "ts", "excess", 1.0, 3600, 6 * 3600).select("rule", "ts", F.round("excess", 6).alias("excess"))
 
 
-NAMES = [stacktrace_coalesce, log_normalize, log_signature, ngram_features, sliding_count_chunks, flushed_count_chunks, hashed_embedding, exposition_parse, histogram_validate, log_validate, promql_matrix_pivot, envelope_decode, refractory_fire, rate_limit, static_threshold_alerts]
+NAMES = [stacktrace_coalesce, log_normalize, log_signature, ngram_features, sliding_count_chunks, flushed_count_chunks, hashed_embedding, exposition_parse, exposition_rules, histogram_validate, log_validate, promql_matrix_pivot, envelope_decode, refractory_fire, rate_limit, static_threshold_alerts]
 QUERIES = {f.__name__: f for f in NAMES}
 ORACLE = {
     "stacktrace_coalesce": f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN turn % 2 = 1 THEN '  at ' || text ELSE text END AS text FROM conversations),
@@ -132,14 +171,46 @@ SELECT user_id, array_to_string(ids, ',') AS ids FROM r WHERE rn % 2 = 1 AND len
     "exposition_parse": "SELECT event_id, event_type || '_total' AS name, user_id, props, value, false AS error FROM events",
     "histogram_validate": """WITH b AS (SELECT l_orderkey, l_linenumber AS le, sum(l_quantity) AS n FROM lineitem GROUP BY ALL), f AS (SELECT *, CASE WHEN n < lag(n) OVER (PARTITION BY l_orderkey ORDER BY le) THEN 1 ELSE 0 END AS f FROM b)
 SELECT l_orderkey, sum(f)::BIGINT AS n_falls FROM f GROUP BY l_orderkey HAVING sum(f) > 0 OR NOT bool_or(le = 7)""",
-    "log_validate": """SELECT rule, count(*) AS n FROM (SELECT 'L_value' AS rule FROM events WHERE value < 1 UNION ALL SELECT 'L_user' FROM events WHERE user_id % 50 = 0 UNION ALL SELECT 'L_unique' FROM events WHERE event_id % 1000 = 0) GROUP BY rule""",
+    "exposition_rules": """SELECT event_id, 'P' || lpad((event_id % 20)::VARCHAR, 2, '0') AS rule, CASE WHEN event_id % 20 IN (1, 12, 13, 14) THEN NULL WHEN event_id % 20 IN (11, 16) THEN 5 ELSE 4 END::BIGINT AS line FROM events WHERE event_id % 20 > 0""",
+    "log_validate": "SELECT event_id, 'L' || lpad((event_id % 19)::VARCHAR, 2, '0') AS rule FROM events WHERE event_id % 19 > 0",
+    "log_signature": r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(url, '\b[a-zA-Z][a-zA-Z0-9+.-]*://[^\s"''<>]+', '<url>', 'g'), '([A-Za-z])(\d)', '\1 \2', 'g'), '(\d)([A-Za-z])', '\1 \2', 'g'), '(<[a-z]+>|[A-Za-z0-9_]+)', 1), lambda t: CASE WHEN regexp_matches(t, '^\d+$') THEN '<num>' ELSE lower(t) END), ' ') AS signature FROM pages""",
+    "hashed_embedding": f"""WITH s AS (SELECT DISTINCT '<url>' AS signature, ['<url>'] AS t FROM pages),
+f AS (SELECT signature, 'token:' || unnest(t) AS f FROM s UNION ALL SELECT signature, 'char:' || ('#' || t[1] || '#')[i:i + n - 1] FROM (SELECT s.*, n, unnest(range(1, len(t[1]) + 4 - n)) AS i FROM s, (VALUES (3), (4), (5)) v(n)) UNION ALL SELECT signature, unnest(['shape:len1', 'shape:marks1']) FROM s),
+c AS (SELECT signature, f, 1 + ln(count(*)) AS v, md5(f) AS h FROM f GROUP BY ALL),
+x AS (SELECT signature, split_part(f, ':', 1) AS family, (('0x' || substr(h, 1, 8))::BIGINT % {DIM})::INT AS slot, sum(CASE WHEN ('0x' || substr(h, 9, 1))::INT >= 8 THEN v ELSE -v END) AS v FROM c GROUP BY ALL),
+n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY signature, family)) AS n FROM x),
+m AS (SELECT signature, slot, sum(CASE family WHEN 'token' THEN {WEIGHTS["token"]}::DOUBLE WHEN 'char' THEN {WEIGHTS["char"]}::DOUBLE ELSE {WEIGHTS["shape"]}::DOUBLE END * v / n) AS v FROM n WHERE n > 0 GROUP BY ALL)
+SELECT signature, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY signature)), 6) AS value FROM m""",
+    "flushed_count_chunks": """WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0, event_id AS id, upper(event_type) AS sev, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) / 1000.0::DOUBLE, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+r(user_id, rn, n, w, o1, o2) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, n, []::STRUCT(t0 DOUBLE, id BIGINT, sev VARCHAR)[], []::STRUCT(t0 DOUBLE, id BIGINT, sev VARCHAR)[], []::STRUCT(t0 DOUBLE, id BIGINT, sev VARCHAR)[] FROM e
+  UNION ALL SELECT user_id, rn, n, CASE WHEN len(x) >= 5 THEN x[3:] WHEN sev = 'ERROR' THEN (CASE WHEN len(x) > 2 THEN x[3:] ELSE [] END) ELSE x END, o1, CASE WHEN len(x) >= 5 THEN x[1:5] WHEN sev = 'ERROR' THEN x ELSE [] END FROM (
+    SELECT *, CASE WHEN gap THEN w ELSE [] END AS o1, list_append(CASE WHEN gap THEN [] ELSE w END, {'t0': t0, 'id': id, 'sev': sev}) AS x FROM (
+      SELECT e.user_id, e.rn, e.n, e.t0, e.id, e.sev, r.w, len(r.w) > 0 AND e.t0 - r.w[1].t0 > 259200 AS gap FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))),
+c AS (SELECT user_id, o1 AS w FROM r UNION ALL SELECT user_id, o2 FROM r UNION ALL SELECT user_id, w FROM r WHERE rn = n)
+SELECT user_id, sha256(user_id || '|' || w[1].t0 || '|' || w[1].id)[1:32] AS chunk_id, array_to_string(list_transform(w, lambda v: v.id), ',') AS ids, CASE WHEN len(list_filter(w, lambda v: v.sev = 'ERROR')) > 0 THEN 'ERROR' ELSE w[1].sev END AS severity FROM c WHERE len(w) > 0""",
+    "refractory_fire": """WITH RECURSIVE e AS (SELECT user_id, ts, max(value) / 60.0::DOUBLE AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events GROUP BY user_id, ts),
+r(user_id, rn, ts, score, run, t0, last, fire) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::TIMESTAMP, NULL::DOUBLE, 0, NULL::TIMESTAMP, 0.0::DOUBLE, false FROM e
+  UNION ALL SELECT user_id, rn, ts, score, run, CASE WHEN fire THEN ts ELSE t0 END, CASE WHEN fire THEN score ELSE last END, fire FROM (
+    SELECT *, run >= 2 AND (t0 IS NULL OR epoch_us(ts) - epoch_us(t0) >= 86400000000 OR score >= last + 0.2::DOUBLE) AS fire FROM (
+      SELECT e.user_id, e.rn, e.ts, e.score, CASE WHEN e.score >= 0.3 THEN r.run + 1 ELSE 0 END AS run, r.t0, r.last FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
+SELECT user_id, ts, round(score, 6) AS score FROM r WHERE fire""",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, t0, row_number() OVER (PARTITION BY user_id ORDER BY t0) AS rn FROM (SELECT DISTINCT user_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0 FROM events WHERE event_type = 'error')),
+r(user_id, rn, hot, decision) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, []::DOUBLE[], NULL::VARCHAR FROM e
+  UNION ALL SELECT user_id, rn, CASE WHEN decision = 'TRIGGERED' THEN list_append(hot, t0) ELSE hot END, decision FROM (
+    SELECT *, CASE WHEN len(hot) > 0 AND t0 - list_max(hot) < 43200 THEN 'SUPPRESSED_RATE_LIMIT' WHEN len(hot) >= 3 THEN 'RATE_LIMITED_HOURLY_CAP' ELSE 'TRIGGERED' END AS decision FROM (
+      SELECT e.user_id, e.rn, e.t0, list_filter(r.hot, lambda t: e.t0 - t <= 259200) AS hot FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
+SELECT user_id, decision, count(*) AS n FROM r WHERE rn > 0 GROUP BY ALL""",
     "promql_matrix_pivot": "SELECT user_id, epoch_us(ts) // 3600000000 * 3600 AS at, coalesce(max(value) FILTER (WHERE event_type = 'click'), 0.0) AS click, coalesce(max(value) FILTER (WHERE event_type = 'error'), 0.0) AS error, coalesce(max(value) FILTER (WHERE event_type = 'view'), 0.0) AS view FROM events GROUP BY ALL",
     "envelope_decode": "SELECT event_id, event_type, value FROM events",
-    "static_threshold_alerts": """WITH RECURSIVE a AS (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS v FROM events GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS rn FROM a),
-r(event_type, rn, ts, v, since, fired, fire) AS (
-  SELECT event_type, 0::BIGINT, NULL::TIMESTAMP, NULL::DOUBLE, NULL::TIMESTAMP, NULL::TIMESTAMP, false FROM (SELECT DISTINCT event_type FROM h)
-  UNION ALL SELECT event_type, rn, ts, v, since, CASE WHEN fire THEN ts ELSE fired END, fire FROM (
-    SELECT *, coalesce(v >= 15 AND ts - since >= INTERVAL 1 HOUR AND (fired IS NULL OR ts - fired >= INTERVAL 6 HOUR), false) AS fire FROM (
-      SELECT h.event_type, h.rn, h.ts, h.v, CASE WHEN h.v >= 15 THEN coalesce(r.since, h.ts) END AS since, CASE WHEN h.v >= 15 THEN r.fired END AS fired FROM r JOIN h ON h.event_type = r.event_type AND h.rn = r.rn + 1)))
-SELECT event_type, ts, round(v, 6) AS v FROM r WHERE fire""",
+    "static_threshold_alerts": f"""WITH RECURSIVE v(k, rule) AS (VALUES {", ".join(f"({i}, '{r[0]}')" for i, r in enumerate(rules.STATIC_RULES))}),
+a AS (SELECT rule, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) / 20 AS v FROM events JOIN v ON v.k = event_id % {len(rules.STATIC_RULES)} GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts) AS rn FROM a),
+r(rule, rn, ts, v, since, fired, fire) AS (
+  SELECT rule, 0::BIGINT, NULL::TIMESTAMP, NULL::DOUBLE, NULL::TIMESTAMP, NULL::TIMESTAMP, false FROM (SELECT DISTINCT rule FROM h)
+  UNION ALL SELECT rule, rn, ts, v, since, CASE WHEN fire THEN ts ELSE fired END, fire FROM (
+    SELECT *, coalesce(v >= 1 AND ts - since >= INTERVAL 1 HOUR AND (fired IS NULL OR ts - fired >= INTERVAL 6 HOUR), false) AS fire FROM (
+      SELECT h.rule, h.rn, h.ts, h.v, CASE WHEN h.v >= 1 THEN coalesce(r.since, h.ts) END AS since, CASE WHEN h.v >= 1 THEN r.fired END AS fired FROM r JOIN h ON h.rule = r.rule AND h.rn = r.rn + 1)))
+SELECT rule, ts, round(v, 6) AS excess FROM r WHERE fire""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import feature_catalog as fc
 from opsloom.functions import scalar
-from opsloom.functions.embedding import embed
+from opsloom.functions.embedding import embed_signatures
 from opsloom.operators import detect, folds, joins, logs, timeseries
 from opsloom.operators.vectors import vector_search
 from opsloom.sources import readers
@@ -115,9 +115,12 @@ def test_features(spark):
     assert len(fc.FEATURES) == 47
 
 
-def test_embedding_is_unit_and_stable():
-    v = embed(["disk", "<num>", "full"])
-    assert abs(sum(x * x for x in v) - 1) < 1e-9 and v == embed(["disk", "<num>", "full"]) and embed([]) == [0.0] * 96
+def test_embedding_is_unit_and_stable(spark):
+    df = spark.createDataFrame([(1, "connection <ip> refused after <dur>"), (2, "connection <ip> refused after <dur>"), (3, "connection <ip> reset"), (4, ""), (5, None), (6, "disk full on node")], "id int, signature string")
+    got = {r.id: r.vector for r in embed_signatures(df, "signature").collect()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    assert {len(v) for v in got.values()} == {96} and got[1] == got[2] and got[4] == got[5] == [0.0] * 96
+    assert all(abs(dot(got[i], got[i]) - 1) < 1e-9 for i in (1, 3, 6)) and dot(got[1], got[3]) > dot(got[1], got[6])
 
 
 def test_readers(spark, tmp_path):
