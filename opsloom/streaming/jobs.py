@@ -7,7 +7,6 @@ result can be held against the batch operator's.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,14 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opsloom import schemas
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="opsloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from opsloom.shared import shared_dir
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,23 +25,33 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_now(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs the stream over what is there; append goes to a table, complete and update keep the last batch of all."""
+    """Runs the stream over what is there and returns its rows, with the ``batch`` that wrote each in update mode.
+
+    Append goes to a table. In update mode every batch overwrites a folder of
+    its own number, so that a batch that is tried again is not written twice.
+    """
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     out = f"{root}/out"
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
     if mode == "append":
-        q = w.format("parquet").option("path", out).start()
-    else:
-        q = w.foreachBatch(lambda b, i: b.write.mode("overwrite" if mode == "complete" else "append").parquet(out)).start()
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+        w.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(out)
+    w.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).start().awaitTermination()
+    return spark.read.schema(df.schema.add("batch", "long")).parquet(out)
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key's updates the last."""
+    values = [c for c in rows.columns if c not in keys and c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
 def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts by event type; late events are counted, as the input is bounded."""
+    """Hourly counts by event type; windows leave the state a day after their end."""
     e = event_stream(spark, sf_dir).withWatermark("at", "1 day")
-    out = run_now(e.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value")), "complete", "tumbling")
+    counts = e.groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
+    out = latest(run_now(counts, "update", "tumbling"), ["w", "event_type"])
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "max_value")
 
 
@@ -61,38 +63,84 @@ def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user's errors with a gap of six hours."""
+    """Closed sessions of a user's errors with a gap of six hours; a session closes, and leaves the state, a day after its end."""
     e = event_stream(spark, sf_dir).filter("event_type = 'error'").withWatermark("at", "1 day")
-    out = run_now(e.groupBy(F.session_window("at", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")), "complete", "sessions")
+    out = run_now(e.groupBy(F.session_window("at", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")), "append", "sessions")
     return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+def count_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of five events of a user, moving by two, in order within each batch; the state is the events of the open window."""
+    size, stride = 5, 2
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        new = pd.concat(list(rows)).sort_values(["at", "event_id"])["event_id"].tolist()
+        out = []
+        for x in new:
+            held.append(x)
+            if len(held) == size:
+                out.append(",".join(map(str, held)))
+                held = held[stride:]
+        state.update((held,))
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "ids": out})
+
+    e = event_stream(spark, sf_dir).select("user_id", "at", "event_id")
+    s = e.groupBy("user_id").applyInPandasWithState(step, "user_id long, ids string", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    return run_now(s, "append", "chunks")
+
+
+HISTORY_S = 1800
+
+
 def detector_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-user state across batches: rows seen, current streak over the threshold, last value; late rows go to their own count."""
-    schema = "user_id long, n long, over long, late long"
+    """Per-user state across batches: rows seen, rows over the threshold, the streak of such rows, alerts fired, late rows.
+
+    A streak of two fires, and not again within a day. The state also holds the
+    last ``HISTORY_S`` seconds of values; ``recent`` is their number. Rows older
+    than a day behind the latest seen before are late: counted, not judged.
+    """
+    schema = "user_id long, n long, over long, streak long, fired long, recent long, late long"
+    held = "n long, over long, streak long, fired long, late long, last_fired double, last double, history array<double>"
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, over, late, last = state.get if state.exists else (0, 0, 0, 0.0)
-        for b in rows:
-            b = b.sort_values("at")
-            at = b["at"].astype("int64") / 1e9
-            late += int((at < last - 86400).sum())
-            n += len(b)
-            over += int((b["value"] >= 20).sum())
-            last = max(last, float(at.max()))
-        state.update((n, over, late, last))
-        yield pd.DataFrame([[key[0], n, over, late]], columns=["user_id", "n", "over", "late"])
-
-    e = event_stream(spark, sf_dir).select("user_id", "at", "value")
-    s = e.groupBy("user_id").applyInPandasWithState(step, schema, "n long, over long, late long, last double", "update", GroupStateTimeout.NoTimeout)
-    return run_now(s, "update", "detector").groupBy("user_id").agg(F.max("n").alias("n"), F.max("over").alias("over"))
-
-
-QUERIES = {"stream_tumbling": tumbling_counts, "stream_dedupe": dedupe, "stream_sessions": session_episodes, "stream_detector": detector_state}
+        n, over, streak, fired, late, last_fired, last, history = state.get if state.exists else (0, 0, 0, 0, 0, -1e18, -1e18, [])
+        history, seen = list(history), last
+        b = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        seconds = b["at"].astype("datetime64[ns]").astype("int64") / 1e9
+        for at, value in zip(seconds, b["value"], strict=True):
+            n += 1
+            if at < seen - 86400:
+                late += 1
+                continue
+            high = value >= 20
+            over, streak = over + high, streak + 1 if high else 0
+            if streak >= 2 and at - last_fired >= 86400:
+                fired, last_fired = fired + 1, at
+            last = max(last, at)
+            history.append(at)
+        history = [t for t in history if t > last - HISTORY_S]
+        state.update((n, int(over), int(streak), fired, late, last_fired, last, history))
+        yield pd.DataFrame([[key[0], n, int(over), int(streak), fired, len(history), late]], columns=["user_id", "n", "over", "streak", "fired", "recent", "late"])
+
+    e = event_stream(spark, sf_dir).select("user_id", "at", "event_id", "value")
+    s = e.groupBy("user_id").applyInPandasWithState(step, schema, held, "update", GroupStateTimeout.NoTimeout)
+    return latest(run_now(s, "update", "detector"), ["user_id"])
+
+
+QUERIES = {"stream_tumbling": tumbling_counts, "stream_dedupe": dedupe, "stream_sessions": session_episodes, "stream_count_windows": count_chunks, "stream_detector": detector_state}
 ORACLE = {
     "stream_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY ALL",
     "stream_dedupe": "SELECT event_id, event_type FROM events",
     "stream_sessions": """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'error'),
-y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, s""",
-    "stream_detector": "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE value >= 20) AS over FROM events GROUP BY user_id",
+y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM x) SELECT user_id, min(ts) AS start, count(*) AS n FROM y GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM x) - INTERVAL 1 DAY""",
+    "stream_count_windows": """WITH r AS (SELECT user_id, row_number() OVER w AS rn, list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ids FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, array_to_string(ids, ',') AS ids FROM r WHERE rn % 2 = 1 AND len(ids) = 5""",
+    "stream_detector": """WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, max(ts) OVER (PARTITION BY user_id) AS z FROM events),
+r(user_id, rn, streak, fired, last_fired) AS (SELECT DISTINCT user_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::TIMESTAMP FROM e
+  UNION ALL SELECT user_id, rn, streak, CASE WHEN fire THEN fired + 1 ELSE fired END, CASE WHEN fire THEN ts ELSE last_fired END FROM (
+    SELECT *, streak >= 2 AND (last_fired IS NULL OR ts - last_fired >= INTERVAL 1 DAY) AS fire FROM (
+      SELECT e.user_id, e.rn, e.ts, CASE WHEN e.value >= 20 THEN r.streak + 1 ELSE 0 END AS streak, r.fired, r.last_fired FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))),
+s AS (SELECT user_id, arg_max(streak, rn) AS streak, max(fired) AS fired FROM r GROUP BY user_id)
+SELECT e.user_id, count(*) AS n, count(*) FILTER (WHERE value >= 20) AS over, any_value(s.streak) AS streak, any_value(s.fired) AS fired, count(*) FILTER (WHERE ts > z - INTERVAL 1800 SECOND) AS recent, 0::BIGINT AS late FROM e JOIN s USING (user_id) GROUP BY e.user_id""",
 }
