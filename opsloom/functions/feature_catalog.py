@@ -95,9 +95,14 @@ def to_sql(formula: str) -> str:
     return formula[: m.start()] + new + to_sql(formula[end:])
 
 
+def inputs() -> list[str]:
+    """The columns that the formulas read, in order of name."""
+    return sorted({w for _, _, f, *_ in FEATURES for w in re.findall(r"[a-z_][a-z_0-9]*", f)} - {"frac", "tol", "unit", "e6"})
+
+
 def derive(wide: DataFrame, kind: str = "kind", keep: tuple[str, ...] = ("entity", "ts")) -> DataFrame:
     """entity, ts, feature, value, direction, ceiling, floor for every feature that applies to the entity's kind."""
-    words = {w for _, _, f, *_ in FEATURES for w in re.findall(r"[a-z_][a-z_0-9]*", f)} - {"frac", "tol", "unit", "e6"}
+    words = set(inputs())
     full = wide.withColumns({w: F.lit(None).cast("double") for w in words if w not in wide.columns}) if words - set(wide.columns) else wide
     items = [
         F.when(F.col(kind).isin(*kinds), F.struct(F.lit(n).alias("feature"), F.expr(to_sql(f)).cast("double").alias("value"), F.lit(d).alias("direction"), F.lit(c).alias("ceiling"), F.lit(fl).alias("floor")))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opsloom.functions.scalar import clamp, epoch_ms, logistic, logit
+from opsloom.operators.joins import overlap_join
 from opsloom.operators.timeseries import episodes
+from opsloom.shared import rounds
 
 ENTER_Z, FULL_Z = 1.6, 9.0  # fixed values: where severity starts and is full
 BIAS = -3.3  # fixed value of the hazard
@@ -25,7 +27,7 @@ def family_severity(readings: DataFrame, keys: list[str]) -> DataFrame:
 
 def hazard(families: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """confidence = logistic(bias + sum of weight * severity); the weights are a small table."""
-    joined = families.join(F.broadcast(weights), "family", "left")
+    joined = families.join(weights, "family", "left")
     return joined.groupBy(*keys).agg(logistic(F.lit(BIAS) + F.sum(F.coalesce("weight", F.lit(0.0)) * F.col("severity"))).alias("confidence"))
 
 
@@ -56,7 +58,7 @@ def horizon(*candidates: Column, lo: float = 300.0, hi: float = 7200.0) -> Colum
 def explained_fraction(contributions: DataFrame, active: DataFrame, families: DataFrame, keys: list[str]) -> DataFrame:
     """The part of a candidate's evidence that the families of an active change explain; the best change wins, ties by (start, id)."""
     total = contributions.groupBy(*keys).agg(F.sum("share").alias("total"), F.max(F.coalesce("hard_fault", F.lit(False))).alias("hard"))
-    met = contributions.join(active, keys).join(F.broadcast(families), ["kind", "family"], "left").groupBy(*keys, "change_id", "start_ts").agg(F.sum(F.when(F.col("explains"), F.col("share")).otherwise(F.lit(0.0))).alias("part"))
+    met = contributions.join(active, keys).join(families, ["kind", "family"], "left").groupBy(*keys, "change_id", "start_ts").agg(F.sum(F.when(F.col("explains"), F.col("share")).otherwise(F.lit(0.0))).alias("part"))
     fraction = F.when(F.col("hard"), F.lit(0.0)).otherwise(F.when(F.col("total") > 0, F.col("part") / F.col("total")).otherwise(F.lit(0.0)))
     scored = met.join(total, keys).withColumn("fraction", fraction)
     w = Window.partitionBy(*keys).orderBy(F.desc("fraction"), "start_ts", "change_id")
@@ -83,17 +85,30 @@ def collapse_incidents(alerts: DataFrame, cause: str, ts: str, confidence: str,
 
 
 def merge_cascades(incidents: DataFrame, upstream: DataFrame, cause: str) -> DataFrame:
-    """Incidents whose times overlap and whose causes are up- and downstream point at the topmost cause.
+    """Incidents whose times overlap and whose causes are up- and downstream become one cascade, named by its topmost incident.
 
-    ``upstream`` is a closure (node, ancestor, hops). An incident joins the
-    overlapping incident of its farthest ancestor; without one it stays.
+    ``upstream`` is a closure (node, ancestor, hops). An incident points at the
+    overlapping incident of its farthest ancestor; pointers are followed to the
+    end, each round twice as far, so that chains merge as well. Rounds are written.
     """
+    written = rounds(incidents.sparkSession, "cascades")
+    incidents = written(incidents, "incidents")
     a = incidents.select(F.col(cause).alias("node"), F.col("episode").alias("e"), F.col("start").alias("s"), F.col("end").alias("z"))
     b = incidents.select(F.col(cause).alias("ancestor"), F.col("episode").alias("ae"), F.col("start").alias("bs"), F.col("end").alias("bz"))
-    up = a.join(upstream, "node").join(b, "ancestor").filter((F.col("s") <= F.col("bz")) & (F.col("bs") <= F.col("z")))
-    root = up.groupBy("node", "e").agg(F.max_by(F.struct("ancestor", "ae"), F.struct("hops", -F.col("ae"))).alias("root"))
-    out = incidents.join(root, (incidents[cause] == root.node) & (incidents.episode == root.e), "left")
-    return out.select(*[incidents[c] for c in incidents.columns], F.coalesce("root.ancestor", incidents[cause]).alias("root_cause"), F.coalesce("root.ae", incidents.episode).alias("root_episode"))
+    near = overlap_join(a.join(upstream, "node"), b, "ancestor", "ancestor", "s", "z", "bs", "bz", inclusive=True)
+    first = near.groupBy("node", "e").agg(F.max_by(F.struct("_ancestor", "ae"), F.struct("hops", -F.col("ae"))).alias("root"))
+    points = written(first.select("node", "e", F.col("root._ancestor").alias("r"), F.col("root.ae").alias("re")), "points0")
+    k = 0
+    while True:
+        k += 1
+        ahead = points.select(F.col("node").alias("r"), F.col("e").alias("re"), F.col("r").alias("rr"), F.col("re").alias("rre"))
+        moved = written(points.join(ahead, ["r", "re"], "left").select("node", "e", F.coalesce("rr", "r").alias("r"), F.coalesce("rre", "re").alias("re"), F.col("rr").isNotNull().alias("moved")), f"points{k}")
+        points = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    root = points.select("node", F.col("e").alias("_e"), "r", "re")
+    out = incidents.join(root, (incidents[cause] == root.node) & (incidents.episode == root["_e"]), "left")
+    return out.select(*[incidents[c] for c in incidents.columns], F.coalesce("r", incidents[cause]).alias("root_cause"), F.coalesce("re", incidents.episode).alias("root_episode"))
 
 
 def fuse(candidates: DataFrame, signals: DataFrame, entity: str, ts: str, reach_s: int = 3600) -> DataFrame:
@@ -104,3 +119,23 @@ def fuse(candidates: DataFrame, signals: DataFrame, entity: str, ts: str, reach_
     far = F.abs(epoch_ms("c_ts") - epoch_ms(ts))
     best = near.withColumn("_d", far).filter(F.col("_d") <= reach_s * 1000).groupBy("signal_id").agg(F.min_by("candidate_id", F.struct("_d", "candidate_id")).alias("candidate_id"))
     return signals.join(best, "signal_id", "left").withColumn("created", F.col("candidate_id").isNull())
+
+
+TRACKS = {"application": "unresponsiveness", "database": "cross_domain", "network": "cross_domain"}  # fixed values
+
+
+def track_of(domain: Column) -> Column:
+    """The evaluation track of a root-cause domain; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in TRACKS.items() for x in kv]), domain)
+
+
+def digest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, digest: a number that two tables share if they hold the same rows, in whatever order.
+
+    The exclusive or of 60 bits of the rows' SHA-256, repeats told apart by their count.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in others])
+    counted = rows.select(*keys, body.alias("_b")).groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    bits = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("_b"), F.col("_n").cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return counted.groupBy(*keys).agg(F.sum("_n").alias("n"), F.bit_xor(bits).alias("digest"))

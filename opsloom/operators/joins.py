@@ -63,18 +63,22 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], ts: str, v
     return both.withColumn("_l", F.last("_r", True).over(w)).filter("_s = 1").select(*cols, F.col("_l.v").alias(out))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, right_key: str, start: str, end: str, r_start: str, r_end: str, bucket_ms: int = 86_400_000) -> DataFrame:
-    """Rows whose intervals overlap (r_start < end and r_end > start), by key or with a null right key (everywhere).
+def overlap_join(left: DataFrame, right: DataFrame, key: str, right_key: str, start: str, end: str, r_start: str, r_end: str, bucket_ms: int = 86_400_000, inclusive: bool = False) -> DataFrame:
+    """Rows whose intervals overlap (r_start < end and r_end > start; with ``inclusive`` also touch), by key or with a null right key (everywhere).
 
     Both sides are put into every time bucket they touch and joined by bucket,
     so estate-wide rows meet only what lies near them in time; a pair counts in
     the bucket in which the later of the two begins. Keyed and estate-wide rows
-    are joined apart, which keeps both equi-joins.
+    are joined apart, which keeps both equi-joins. Where both sides name a
+    column alike, the right one gets a ``_`` before it.
     """
     b = lambda c: F.floor(epoch_ms(c) / bucket_ms)
+    same = {c: f"_{c}" for c in right.columns if c in left.columns}
+    right, right_key = right.withColumnsRenamed(same), same.get(right_key, right_key)
     l = left.withColumn("_b", F.explode(F.sequence(b(start), F.greatest(b(start), b(end)))))  # noqa: E741
     r = right.withColumn("_rb", F.explode(F.sequence(b(r_start), F.greatest(b(r_start), b(r_end)))))
-    met = (F.col("_b") == F.col("_rb")) & (F.col(r_start) < F.col(end)) & (F.col(r_end) > F.col(start)) & (F.col("_b") == F.greatest(b(start), b(r_start)))
-    keyed = l.join(r.filter(F.col(right_key).isNotNull()), (l[key] == r[right_key]) & met)
+    over = (F.col(r_start) <= F.col(end)) & (F.col(r_end) >= F.col(start)) if inclusive else (F.col(r_start) < F.col(end)) & (F.col(r_end) > F.col(start))
+    met = (F.col("_b") == F.col("_rb")) & over & (F.col("_b") == F.greatest(b(start), b(r_start)))
+    keyed = l.join(r.filter(F.col(right_key).isNotNull()), (F.col(key) == F.col(right_key)) & met)
     wide = l.join(r.filter(F.col(right_key).isNull()), met)
     return keyed.unionByName(wide).drop("_b", "_rb")

@@ -116,7 +116,7 @@ def incident_collapse(s, d):
 
 def cascade_merge(s, d):
     c = dt.collapse_incidents(_alerts(s, d), "cause", "ts", "confidence", "alert_id", 3600)
-    up = s.createDataFrame([(n, a, n - a) for n in range(10) for a in range(n) if a % 3 == 0 and n // 3 == a // 3], "node long, ancestor long, hops int")
+    up = s.createDataFrame([(n, a, n - a) for n in range(10) for a in range(n) if n // 3 == a // 3], "node long, ancestor long, hops int")
     return dt.merge_cascades(c, up, "cause").select("cause", "episode", "root_cause", "root_episode", "n")
 
 
@@ -198,18 +198,58 @@ def score_novel(s, d):
     return ev(s, d).groupBy("event_type").agg(F.count_if(novel).alias("n_novel"), F.count("*").alias("n"))
 
 
-GATES = [("recall", ">=", 0.2), ("fpr", "<=", 0.10), ("ratio", "<=", 0.9), ("missing", ">=", 0.5)]
+def track_from_domain(s, d):
+    """The track of a day's strongest family, families standing in for domains."""
+    domain = F.when(F.col("family") == "saturation", F.lit("application")).when(F.col("family") == "errors", F.lit("database")).when(F.col("family") == "latency", F.lit("network"))
+    f = dt.family_severity(_readings(s, d), ["user_id", "day"]).filter("severity > 0").withColumn("severity", F.round("severity", 9))
+    top = f.groupBy("user_id", "day").agg(F.max_by(domain, F.struct("severity", "family")).alias("domain"))
+    return top.select("user_id", "day", "domain", dt.track_of(F.col("domain")).alias("track"))
+
+
+def suppression_ab(s, d):
+    """Recall of onsets without and with suppression of predictions inside change windows, and the loss in percentage points."""
+    p = ev(s, d).filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("prediction_id"), F.col("ts").alias("emitted"))
+    hushed = covered_join(p, changes(s, d), ["user_id"], "emitted", "start_ts", "end_ts", "left_semi", ["entity"]).select("prediction_id", F.lit(True).alias("hushed"))
+    o = ev(s, d).filter("event_type = 'error'").select("user_id", F.col("event_id").alias("onset_id"), F.col("ts").alias("onset"))
+    met = interval_join(o, p.join(hushed, "prediction_id", "left"), ["user_id"], "onset", "emitted", 2 * 86_400_000).filter(F.col("emitted") < F.col("onset"))
+    per = met.groupBy("onset_id").agg(F.max(F.col("hushed").isNull()).alias("on"))
+    r = o.join(per, "onset_id", "left").agg(F.count("*").alias("n"), F.count("on").alias("off"), F.count_if("on").alias("on"))
+    return r.select("n", F.round(F.col("off") / F.col("n"), 6).alias("recall_off"), F.round(F.col("on") / F.col("n"), 6).alias("recall_on"), F.round((F.col("off") - F.col("on")) * 100 / F.col("n"), 4).alias("delta_pp"))
+
+
+def gate_metrics(s, d):
+    """metric, value: what the gates are held against; tracks are users by remainder."""
+    j = ev(s, d).filter("event_type = 'error'").select(F.col("event_id").alias("onset_id"), (F.col("user_id") % 3).alias("track")).join(prediction_match(s, d), "onset_id", "left")
+    only = lambda k, c: c if k is None else F.when(F.col("track") == k, c)
+    names = {None: "", 0: "_unresponsiveness", 1: "_cross_domain"}
+    cols = {}
+    for k, n in names.items():
+        cols[f"recall{n}"] = F.round(F.count(only(k, F.col("lead_s"))) / F.nullif(F.count(only(k, F.lit(1))), F.lit(0)), 6)
+        cols[f"lead_time_median{n}_s"] = F.median(only(k, F.col("lead_s"))).cast("double")
+    rows = [j.agg(*[c.alias(n) for n, c in cols.items()])]
+    fpr = score_fpr(s, d).withColumn("hits", F.col("fpr") * F.col("n"))
+    rows.append(fpr.agg(*[F.round(F.sum(only(k, F.col("hits"))) / F.sum(only(k, F.col("n"))), 6).alias(f"fpr{n}") for k, n in names.items()]))
+    acc = score_attribution(s, d).withColumn("hits", F.col("accuracy") * F.col("n"))
+    rows.append(acc.agg(F.round(F.sum("hits") / F.sum("n"), 6).alias("domain_accuracy"), F.round(F.sum(only(2, F.col("hits"))) / F.sum(only(2, F.col("n"))), 6).alias("db_cascade_attribution_accuracy")))
+    rows.append(score_alert_reduction(s, d).select(F.col("reduction").alias("patching_alert_reduction")))
+    rows.append(suppression_ab(s, d).select(F.col("delta_pp").alias("suppression_recall_delta_pp")))
+    rows.append(score_collapse(s, d).agg(F.count_if(F.col("incidents") > 1).cast("double").alias("upstream_faults_with_multiple_incidents"), F.count("*").cast("double").alias("upstream_faults_alerted")))
+    rows.append(score_novel(s, d).agg(F.round(F.sum("n_novel") / F.sum("n"), 6).alias("novel_signature_flagged"), F.count_if(F.col("n_novel") > 0).cast("double").alias("novel_signature_absence_proofs")))
+    out = None
+    for r in rows:
+        long = r.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in r.columns])))
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 def gate_eval(s, d):
-    """A rule table joined to metric values; an undefined value is not a pass."""
-    recall = score_recall_leadtime(s, d).agg(F.lit("recall").alias("metric"), F.round(F.min("recall"), 6).alias("value"))
-    fpr = score_fpr(s, d).agg(F.lit("fpr").alias("metric"), F.round(F.max("fpr"), 6).alias("value"))
-    ratio = score_collapse(s, d).agg(F.lit("ratio").alias("metric"), F.round(F.max("ratio"), 6).alias("value"))
-    gates = s.createDataFrame(GATES, "metric string, op string, bound double")
-    j = gates.join(recall.unionByName(fpr).unionByName(ratio), "metric", "left")
-    ok = F.when(F.col("op") == ">=", F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound"))
-    return j.select("metric", "value", F.coalesce(ok, F.lit(False)).alias("passed"))
+    """All gates against the metrics; an undefined value is not a pass."""
+    return rules.judge_gates(gate_metrics(s, d))
+
+
+def result_digest(s, d):
+    """The digest of the predictions of each user: equal whatever order and partitions they were made in."""
+    return dt.digest(ev(s, d).select("user_id", "event_id", "event_type", "props"), ["user_id"])
 
 
 def train_window_select(s, d):
@@ -264,7 +304,7 @@ def hot_ratio(s, d):
 NAMES = [
     robust_z_score, severity_from_z, family_severity_max, hazard_confidence, contribution_share, causal_summary, time_to_limit, predicted_horizon, change_explained_fraction, suppression_judge,
     attribution_rank, incident_collapse, cascade_merge, semantic_fusion, remediation_advice, workflow_resolve, prediction_match, score_recall_leadtime, score_fpr, strict_window_semi_anti, score_attribution,
-    score_alert_reduction, score_collapse, score_novel, gate_eval, train_window_select, semantic_window_summary, incident_process, rca_prompt, generate_table, contract_validate, hot_ratio,
+    score_alert_reduction, score_collapse, score_novel, track_from_domain, suppression_ab, gate_metrics, gate_eval, result_digest, train_window_select, semantic_window_summary, incident_process, rca_prompt, generate_table, contract_validate, hot_ratio,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -291,6 +331,30 @@ _COL = f"WITH {_INC} SELECT cause, count(DISTINCT episode) AS incidents, count(D
 _TTL = f"""e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE - 1704067200.0::DOUBLE AS t, value FROM events), {theil_sen_sql("e", "user_id", 20 * 86400)},
 st AS (SELECT user_id, greatest(quantile_cont(value, 0.995), median(value) + 6 * stddev_pop(value)) AS level, arg_max(value, (t, value)) AS last FROM e GROUP BY ALL),
 ttl AS (SELECT user_id, level, CASE WHEN level - last <= 0 THEN 0 WHEN slope > 0 THEN (level - last) / slope END / 3600 AS hours FROM st JOIN slopes USING (user_id) WHERE n_points >= 6)"""
+_AB = f"""WITH {CHANGES_SQL}, p AS (SELECT user_id, ts, EXISTS (SELECT 1 FROM changes c WHERE c.entity = e.user_id AND e.ts BETWEEN start_ts AND end_ts) AS hushed FROM events e WHERE event_type = 'purchase'),
+o AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+m AS (SELECT o.event_id, bool_or(NOT p.hushed) AS on_ FROM o JOIN p ON p.user_id = o.user_id AND p.ts < o.ts AND epoch_us(o.ts) // 1000 - epoch_us(p.ts) // 1000 <= 172800000 GROUP BY ALL),
+c AS (SELECT count(*) AS n, count(on_) AS off, count(*) FILTER (WHERE on_) AS on_ FROM o LEFT JOIN m USING (event_id))
+SELECT n, round(off / n::DOUBLE, 6) AS recall_off, round(on_ / n::DOUBLE, 6) AS recall_on, round((off - on_) * 100 / n::DOUBLE, 4) AS delta_pp FROM c"""
+_NAMES = {"true": "", "track = 0": "_unresponsiveness", "track = 1": "_cross_domain"}
+_METRICS = f"""WITH {_PM}, j AS (SELECT event_id AS onset_id, user_id % 3 AS track FROM events WHERE event_type = 'error'), l AS (SELECT * FROM j LEFT JOIN pm USING (onset_id)),
+fp AS (SELECT *, fpr * n AS hits FROM ({_FPR})), ac AS (SELECT *, accuracy * n AS hits FROM (_ACC_)), rd AS (_RED_), ab AS ({_AB}), co AS ({_COL}), nv AS (SELECT event_type, count(*) FILTER (WHERE NOT (contains(props, '"k": 1') OR contains(props, '"k": 2'))) AS n_novel, count(*) AS n FROM events GROUP BY ALL)
+""" + " UNION ALL ".join(
+    [f"SELECT 'recall{n}' AS metric, round(count(lead_s) FILTER (WHERE {w}) / nullif(count(*) FILTER (WHERE {w}), 0)::DOUBLE, 6)::DOUBLE AS value FROM l" for w, n in _NAMES.items()]
+    + [f"SELECT 'lead_time_median{n}_s', (median(lead_s) FILTER (WHERE {w}))::DOUBLE FROM l" for w, n in _NAMES.items()]
+    + [f"SELECT 'fpr{n}', round(sum(hits) FILTER (WHERE {w}) / sum(n) FILTER (WHERE {w}), 6)::DOUBLE FROM fp" for w, n in _NAMES.items()]
+    + [
+        "SELECT 'domain_accuracy', round(sum(hits) / sum(n), 6)::DOUBLE FROM ac", "SELECT 'db_cascade_attribution_accuracy', round(sum(hits) FILTER (WHERE track = 2) / sum(n) FILTER (WHERE track = 2), 6)::DOUBLE FROM ac",
+        "SELECT 'patching_alert_reduction', reduction::DOUBLE FROM rd", "SELECT 'suppression_recall_delta_pp', delta_pp::DOUBLE FROM ab",
+        "SELECT 'upstream_faults_with_multiple_incidents', (count(*) FILTER (WHERE incidents > 1))::DOUBLE FROM co", "SELECT 'upstream_faults_alerted', count(*)::DOUBLE FROM co",
+        "SELECT 'novel_signature_flagged', round(sum(n_novel) / sum(n)::DOUBLE, 6)::DOUBLE FROM nv", "SELECT 'novel_signature_absence_proofs', (count(*) FILTER (WHERE n_novel > 0))::DOUBLE FROM nv",
+    ]
+)
+_ACC = f"""WITH {_R}, t AS (SELECT user_id, day, arg_max(family, (round(severity, 9), family)) AS p, max(round(severity, 9)) AS sev FROM r GROUP BY ALL)
+SELECT user_id % 3 AS track, round(count(*) FILTER (WHERE p = CASE WHEN user_id % 2 = 0 THEN 'saturation' ELSE 'errors' END) / count(*)::DOUBLE, 6) AS accuracy, count(*) AS n FROM t WHERE sev > 0 GROUP BY ALL"""
+_RED = f"""WITH {CHANGES_SQL}, i AS (SELECT DISTINCT event_id, event_type FROM events e JOIN changes c ON e.user_id = c.entity AND e.ts BETWEEN start_ts AND end_ts)
+SELECT count(*) FILTER (WHERE event_type = 'error') AS ours, count(*) FILTER (WHERE event_type = 'view') AS static, round(1 - count(*) FILTER (WHERE event_type = 'error') / nullif(count(*) FILTER (WHERE event_type = 'view'), 0)::DOUBLE, 6) AS reduction FROM i"""
+_METRICS = _METRICS.replace("_ACC_", _ACC).replace("_RED_", _RED)
 ORACLE = {
     "robust_z_score": f"WITH {_R} SELECT user_id, day, feature, round(z, 6) AS z FROM r",
     "severity_from_z": f"WITH {_R} SELECT user_id, day, feature, round(severity, 6) AS severity FROM r",
@@ -318,15 +382,22 @@ SELECT user_id, day, CASE WHEN sev = 0 THEN 'observe' WHEN family = 'errors' THE
     "score_fpr": _FPR,
     "strict_window_semi_anti": """WITH b AS (SELECT DISTINCT user_id, date_trunc('day', ts)::TIMESTAMP AS bin FROM events)
 SELECT user_id, bin FROM b WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.user_id = b.user_id AND o.event_type = 'error' AND date_trunc('day', o.ts) IN (bin, bin + INTERVAL 1 DAY)) AND EXISTS (SELECT 1 FROM events a WHERE a.user_id = b.user_id AND a.event_type = 'purchase' AND date_trunc('day', a.ts) = bin)""",
-    "score_attribution": f"""WITH {_R}, t AS (SELECT user_id, day, arg_max(family, (round(severity, 9), family)) AS p, max(round(severity, 9)) AS sev FROM r GROUP BY ALL)
-SELECT user_id % 3 AS track, round(count(*) FILTER (WHERE p = CASE WHEN user_id % 2 = 0 THEN 'saturation' ELSE 'errors' END) / count(*)::DOUBLE, 6) AS accuracy, count(*) AS n FROM t WHERE sev > 0 GROUP BY ALL""",
-    "score_alert_reduction": f"""WITH {CHANGES_SQL}, i AS (SELECT DISTINCT event_id, event_type FROM events e JOIN changes c ON e.user_id = c.entity AND e.ts BETWEEN start_ts AND end_ts)
-SELECT count(*) FILTER (WHERE event_type = 'error') AS ours, count(*) FILTER (WHERE event_type = 'view') AS static, round(1 - count(*) FILTER (WHERE event_type = 'error') / nullif(count(*) FILTER (WHERE event_type = 'view'), 0)::DOUBLE, 6) AS reduction FROM i""",
+    "score_attribution": _ACC,
+    "score_alert_reduction": _RED,
     "score_collapse": _COL,
     "score_novel": """SELECT event_type, count(*) FILTER (WHERE NOT (contains(props, '"k": 1') OR contains(props, '"k": 2'))) AS n_novel, count(*) AS n FROM events GROUP BY ALL""",
-    "gate_eval": f"""WITH m AS (SELECT 'recall' AS metric, min(recall) AS value FROM ({_REC}) UNION ALL SELECT 'fpr', max(fpr) FROM ({_FPR}) UNION ALL SELECT 'ratio', max(ratio) FROM ({_COL})),
-g AS (SELECT * FROM (VALUES ('recall', '>=', 0.2::DOUBLE), ('fpr', '<=', 0.1::DOUBLE), ('ratio', '<=', 0.9::DOUBLE), ('missing', '>=', 0.5::DOUBLE)) v(metric, op, bound))
-SELECT g.metric, value, coalesce(CASE WHEN op = '>=' THEN value >= bound ELSE value <= bound END, false) AS passed FROM g LEFT JOIN m USING (metric)""",
+    "track_from_domain": f"""WITH {_R}, t AS (SELECT user_id, day, arg_max(CASE family WHEN 'saturation' THEN 'application' WHEN 'errors' THEN 'database' ELSE 'network' END, (round(severity, 9), family)) AS domain FROM f WHERE severity > 0 GROUP BY ALL)
+SELECT user_id, day, domain, CASE domain WHEN 'application' THEN 'unresponsiveness' ELSE 'cross_domain' END AS track FROM t""",
+    "suppression_ab": f"SELECT * FROM ({_AB})",
+    "gate_metrics": f"SELECT * FROM ({_METRICS})",
+    "gate_eval": f"""WITH m AS ({_METRICS}), g(gate, metric, op, bound) AS (VALUES {", ".join(f"('{g}', '{m}', '{o}', {b}::DOUBLE)" for g, m, o, b in rules.GATES)})
+SELECT gate, g.metric, value, coalesce(CASE op WHEN '>=' THEN value >= bound WHEN '<=' THEN value <= bound WHEN '>' THEN value > bound ELSE value = bound END, false) AS passed FROM g LEFT JOIN m USING (metric)""",
+    "result_digest": """WITH c AS (SELECT user_id, concat_ws('|', event_id::VARCHAR, coalesce(event_type, ''), coalesce(props, '')) AS b, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, sum(n)::BIGINT AS n, bit_xor(('0x' || substr(sha256(b || '|' || n), 1, 15))::BIGINT) AS digest FROM c GROUP BY user_id""",
+    "cascade_merge": f"""WITH RECURSIVE {_INC}, i AS (SELECT cause, episode, min(ts) AS s, max(ts) AS z, count(*) AS n FROM ep GROUP BY cause, episode),
+p AS (SELECT a.cause, a.episode, arg_max({{'c': b.cause, 'e': b.episode}}, (a.cause - b.cause, -b.episode)) AS up FROM i a JOIN i b ON b.cause < a.cause AND a.cause // 3 = b.cause // 3 AND a.s <= b.z AND b.s <= a.z GROUP BY ALL),
+r(cause, episode, rc, re, hop) AS (SELECT cause, episode, cause, episode, 0 FROM i UNION ALL SELECT r.cause, r.episode, p.up.c, p.up.e, hop + 1 FROM r JOIN p ON p.cause = r.rc AND p.episode = r.re)
+SELECT r.cause, r.episode, arg_max(rc, hop) AS root_cause, arg_max(re, hop) AS root_episode, any_value(i.n) AS n FROM r JOIN i ON i.cause = r.cause AND i.episode = r.episode GROUP BY r.cause, r.episode""",
     "train_window_select": "WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, count(*) AS n, max(ts) AS until FROM x WHERE rn <= floor(n * 0.4::DOUBLE) GROUP BY ALL",
     "semantic_window_summary": "SELECT user_id, date_trunc('week', ts)::TIMESTAMP AS week, count(*) AS lines, max(value) AS max_score, round(avg(value), 6) AS mean_score, count(*) FILTER (WHERE value > 30) AS flagged, count(DISTINCT props) AS signatures, arg_max(event_type, (value, event_id)) AS top FROM events GROUP BY ALL",
     "incident_process": f"WITH {CHANGES_SQL} SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM changes c WHERE c.entity = e.user_id AND e.ts BETWEEN start_ts AND end_ts) THEN 'SUPPRESSED' WHEN 1 / (1 + exp(-(value / 10 - 3))) >= 0.5 THEN 'DISPATCHED' ELSE 'HELD' END AS status FROM events e WHERE event_type = 'error'",

@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from opsloom.functions.feature_catalog import derive
+from opsloom.functions.feature_catalog import FEATURES, derive, inputs, to_sql
 from opsloom.functions.scalar import logistic
 from opsloom.operators.aggregates import SIGMA_OF_MAD
 from opsloom.operators.joins import covered_join
@@ -56,11 +56,14 @@ def root_cause_classifier(s, d):
     return m.transform(f).groupBy("kind", "prediction").agg(F.count("*").alias("n"))
 
 
+PARTS = 20
+
+
 def derived_features(s, d):
-    """The feature catalogue over a wide frame made of daily event sums."""
-    kinds = {"r_tomcat_requests": "view", "r_tomcat_errors": "error", "threads_busy": "click", "threads_count": "purchase", "r_request_ms": "signup"}
-    wide = ev(s, d).groupBy(F.col("user_id").alias("entity"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(*[F.sum(F.when(F.col("event_type") == t, F.col("value"))).alias(c) for c, t in kinds.items()])
-    return derive(wide.withColumn("kind", F.lit("app_server"))).select("entity", "ts", "feature", F.round("value", 6).alias("value"))
+    """All features of the catalogue over a wide frame: an input is the sum of an event type's daily values in one of 20 parts of the ids."""
+    part = F.col("event_id") % PARTS
+    wide = ev(s, d).groupBy(F.col("event_type").alias("entity"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(*[F.sum(F.when(part == i % PARTS, F.col("value"))).alias(c) for i, c in enumerate(inputs())])
+    return derive(wide.withColumn("kind", F.lit("unknown"))).select("entity", "ts", "feature", F.round("value", 4).alias("value"))
 
 
 NAMES = [detect_anomalies, xreg_bands, logistic_classifier, root_cause_classifier, derived_features]
@@ -73,7 +76,6 @@ SELECT event_type, ts, p AS anomaly_probability, p > 0.95 AS is_anomaly FROM p""
     "xreg_bands": f"""WITH {CHANGES_SQL}, x AS (SELECT e.*, CASE WHEN EXISTS (SELECT 1 FROM changes c WHERE c.entity = e.user_id AND e.ts BETWEEN start_ts AND end_ts) THEN 1 ELSE 0 END AS m FROM events e),
 f AS (SELECT event_type, avg(value) FILTER (WHERE m = 0) AS base, avg(value) FILTER (WHERE m = 1) AS during FROM x GROUP BY ALL)
 SELECT event_type, round(any_value(base), 6) AS base, round(any_value(during - base), 6) AS effect, round(stddev_samp(value - CASE WHEN m = 1 THEN coalesce(during, base) ELSE base END), 6) AS sigma FROM x JOIN f USING (event_type) GROUP BY event_type""",
-    "derived_features": """WITH w AS (SELECT user_id AS entity, date_trunc('day', ts)::TIMESTAMP AS ts, sum(value) FILTER (WHERE event_type = 'view') AS req, sum(value) FILTER (WHERE event_type = 'error') AS err, sum(value) FILTER (WHERE event_type = 'click') AS busy, sum(value) FILTER (WHERE event_type = 'purchase') AS cnt, sum(value) FILTER (WHERE event_type = 'signup') AS ms FROM events GROUP BY ALL),
-x AS (SELECT entity, ts, unnest([{'feature': 'app.request_rate', 'value': req}, {'feature': 'app.error_ratio', 'value': CASE WHEN req > 0 THEN err / req END}, {'feature': 'app.mean_latency_seconds', 'value': CASE WHEN req > 0 THEN ms / req END / 1000}, {'feature': 'app.thread_busy_ratio', 'value': CASE WHEN cnt > 0 THEN busy / cnt END}, {'feature': 'app.work_per_busy_thread', 'value': CASE WHEN busy > 0 THEN req / busy END}], recursive := true) FROM w)
-SELECT entity, ts, feature, round(value, 6) AS value FROM x WHERE value IS NOT NULL""",
+    "derived_features": f"""WITH w AS (SELECT event_type AS entity, date_trunc('day', ts)::TIMESTAMP AS ts, {", ".join(f"sum(value) FILTER (WHERE event_id % {PARTS} = {i % PARTS}) AS {c}" for i, c in enumerate(inputs()))} FROM events GROUP BY ALL)
+""" + " UNION ALL ".join(f"SELECT entity, ts, '{n}' AS feature, round(({to_sql(f).replace('0.0D', '0.0::DOUBLE').replace('1.0D', '1.0::DOUBLE')})::DOUBLE, 4) AS value FROM w WHERE ({to_sql(f).replace('0.0D', '0.0::DOUBLE').replace('1.0D', '1.0::DOUBLE')}) IS NOT NULL" for n, _, f, *_ in FEATURES),
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from opsloom.functions.scalar import safe_ratio
+from opsloom.functions.scalar import safe_ratio, short_number
 from opsloom.operators import detect as dt
 from opsloom.operators import logs as lg
 from opsloom.plans.detection import _R, _readings
@@ -46,10 +46,16 @@ def attribution_evidence(s, d):
     return c.groupBy("user_id", "day").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "; ").alias("evidence"))
 
 
-QUERIES = {f.__name__: f for f in (log_jsonl_scan, exposition_render, baseline_signals, attribution_evidence)}
+def number_text(s, d):
+    """Event values as the shortest text, as they are and a hundred million times smaller."""
+    return ev(s, d).select("event_id", short_number(F.col("value")).alias("plain"), short_number(F.col("value") * 0 - F.round("value") / 1e8).alias("small"))
+
+
+QUERIES = {f.__name__: f for f in (number_text, log_jsonl_scan, exposition_render, baseline_signals, attribution_evidence)}
 ORACLE = {
+    "number_text": "SELECT event_id, regexp_replace(value::VARCHAR, '\\.0$', '') AS plain, regexp_replace((value * 0 - round(value) / 1e8::DOUBLE)::VARCHAR, '^-0\\.0$|^0\\.0$', '0') AS small FROM events",
     "log_jsonl_scan": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'user=' || user_id END AS message, false AS is_corrupt FROM events",
-    "exposition_render": """SELECT event_id, event_type || '_total{props="' || replace(props, '"', '\\"') || '",user="' || user_id || '"} ' || CAST(value AS VARCHAR) AS text FROM events""",
+    "exposition_render": """SELECT event_id, event_type || '_total{props="' || replace(props, '"', '\\"') || '",user="' || user_id || '"} ' || regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') AS text FROM events""",
     "baseline_signals": """WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, round(sum(value) FILTER (WHERE event_type = 'error'), 4) AS e, round(sum(value) FILTER (WHERE event_type = 'view'), 4) AS v FROM events GROUP BY ALL)
 SELECT ts, round(sum(e) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) AS errors_as_rate, round(e / 3600.0::DOUBLE, 6) AS errors_per_s, round(CASE WHEN v > 0 THEN e / v END, 6) AS error_ratio FROM h""",
     "attribution_evidence": f"""WITH {_R}, s AS (SELECT user_id, day, family, feature, round(severity / nullif(sum(severity) OVER (PARTITION BY user_id, day), 0), 4) AS share FROM f)
