@@ -57,13 +57,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
     per = per.withColumns({"_upto": F.sum("_n").over(w.orderBy("_b")), "_all": F.sum("_n").over(w)})
     wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(q)).alias("q")) for n, q in quantiles.items()]))
     per = per.withColumn("_w", wanted).withColumn("_p", F.col("_w.q") * (F.col("_all") - 1))
-    ends = F.array(F.struct(F.floor("_p").alias("k"), (F.floor("_p") + 1 - F.col("_p")).alias("share")), F.struct((F.floor("_p") + 1).alias("k"), (F.col("_p") - F.floor("_p")).alias("share")))
-    targets = per.select(*keys, "_b", F.col("_w.name").alias("_name"), (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.explode(F.filter(ends, lambda e: e["share"] > 0)).alias("_e"))
-    targets = targets.filter((F.col("_e.k") >= F.col("_before")) & (F.col("_e.k") < F.col("_upto"))).select(*keys, "_b", "_name", "_before", "_e.k", "_e.share")
+    ends = F.array(F.struct(F.floor("_p").alias("_k"), (F.floor("_p") + 1 - F.col("_p")).alias("_share")), F.struct((F.floor("_p") + 1).alias("_k"), (F.col("_p") - F.floor("_p")).alias("_share")))
+    targets = per.select(*keys, "_b", F.col("_w.name").alias("_name"), (F.col("_upto") - F.col("_n")).alias("_before"), "_upto", F.explode(F.filter(ends, lambda e: e["_share"] > 0)).alias("_e"))
+    targets = targets.filter((F.col("_e._k") >= F.col("_before")) & (F.col("_e._k") < F.col("_upto"))).select(*keys, "_b", "_name", "_before", "_e._k", "_e._share")
     counted = rows.join(targets.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"))
     counted = counted.withColumn("_run", F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v")))
-    hit = counted.join(targets, [*keys, "_b"]).filter((F.col("k") < F.col("_before") + F.col("_run")) & (F.col("k") >= F.col("_before") + F.col("_run") - F.col("_c")))
-    return hit.groupBy(*keys).agg(*[F.sum(F.when(F.col("_name") == n, F.col("_v") * F.col("share"))).alias(n) for n in quantiles])
+    hit = counted.join(targets, [*keys, "_b"]).filter((F.col("_k") < F.col("_before") + F.col("_run")) & (F.col("_k") >= F.col("_before") + F.col("_run") - F.col("_c")))
+    return hit.groupBy(*keys).agg(*[F.sum(F.when(F.col("_name") == n, F.col("_v") * F.col("_share"))).alias(n) for n in quantiles])
 
 
 def median_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:

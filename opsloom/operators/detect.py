@@ -13,6 +13,11 @@ from opsloom.shared import rounds
 
 ENTER_Z, FULL_Z = 1.6, 9.0  # fixed values: where severity starts and is full
 BIAS = -3.3  # fixed value of the hazard
+# What each family's severity weighs in the hazard.
+FAMILY_WEIGHTS = {
+    "descriptor_exhaustion": 3.5, "thread_starvation": 2.6, "cpu_without_throughput": 2.5, "memory_pressure": 3.5, "io_wait": 1.8, "disk_latency": 1.7, "kernel_pressure": 1.2, "service_health": 1.1,
+    "db_contention": 2.6, "db_session_pool": 2.2, "db_long_running_sql": 2.0, "db_throughput": 1.1, "net_port_errors": 2.6, "net_packet_loss": 2.5, "net_ospf_flap": 2.5, "net_congestion": 1.4,
+}
 
 
 def severity(z: Column, direction: Column) -> Column:

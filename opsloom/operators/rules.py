@@ -278,3 +278,30 @@ def judge_gates(metrics: DataFrame, gates=GATES) -> DataFrame:
     v, b = F.col("value"), F.col("bound")
     ok = F.when(F.col("op") == ">=", v >= b).when(F.col("op") == "<=", v <= b).when(F.col("op") == ">", v > b).otherwise(v == b)
     return table.join(metrics, "metric", "left").select("gate", "metric", "value", F.coalesce(ok, F.lit(False)).alias("passed"))
+
+
+# Families whose name does not say whether they are counters, and that say the wrong thing.
+COUNTERS = ("node_vmstat_pgmajfault", "node_vmstat_pgpgin", "node_vmstat_pgpgout", "container_memory_failcnt", "ifHCInOctets", "ifHCOutOctets", "ifHCInUcastPkts", "ifHCOutUcastPkts", "ifInErrors", "ifOutErrors", "ifInDiscards", "ifOutDiscards", "ospfNbrEvents")
+LEVELS = ("apache_duration_ms_total",)
+DISTRIBUTIONS = ("jvm_gc_collection_seconds",)
+
+
+def is_counter(metric: Column, counters=COUNTERS, levels=LEVELS, distributions=DISTRIBUTIONS) -> Column:
+    """Does a metric accumulate, so that its rate and not its level counts?
+
+    Known names decide; else ``_total``, ``_sum`` and ``_count`` are counters,
+    and ``_bucket`` is one of a known distribution.
+    """
+    base = F.regexp_replace(metric, "_(?:sum|count|bucket)$", "")
+    part = metric != base
+    of_known = F.when(base.isin(*distributions, *counters), F.lit(True)).when(base.isin(*levels), F.lit(False)).otherwise(~metric.endswith("_bucket"))
+    return F.when(metric.isin(*counters), F.lit(True)).when(metric.isin(*levels, *distributions), F.lit(False)).when(part, of_known).otherwise(metric.endswith("_total"))
+
+
+# Labels that may name an entity, in order.
+ENTITY_LABELS = ("entity_id", "entity", "instance_id", "instance", "node_name", "node", "host", "hostname", "server", "database_id", "device", "target", "pod_name", "container_name", "cluster_name")
+
+
+def first_label(labels: Column, keys=ENTITY_LABELS) -> Column:
+    """The first of the labels that is there and not blank, trimmed."""
+    return F.coalesce(*[F.nullif(F.trim(F.try_element_at(labels, F.lit(k))), F.lit("")) for k in keys])

@@ -55,6 +55,14 @@ def hazard_confidence(s, d):
     return dt.hazard(f, _weights(s), ["user_id", "day"]).select("user_id", "day", F.round("confidence", 6).alias("confidence"))
 
 
+def hazard_all_families(s, d):
+    """The hazard of every family's weight, families dealt to events by id."""
+    names = F.array(*[F.lit(n) for n in dt.FAMILY_WEIGHTS])
+    r = ev(s, d).select("user_id", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("week"), F.get(names, (F.col("event_id") % len(dt.FAMILY_WEIGHTS)).cast("int")).alias("family"), clamp(F.col("value") / 200).alias("severity"))
+    weights = s.createDataFrame(list(dt.FAMILY_WEIGHTS.items()), "family string, weight double")
+    return dt.hazard(dt.family_severity(r, ["user_id", "week"]), weights, ["user_id", "week"]).select("user_id", "week", F.round("confidence", 6).alias("confidence"))
+
+
 def contribution_share(s, d):
     return dt.contribution_share(_readings(s, d), ["user_id", "day"]).select("user_id", "day", "family", "feature", F.round("share", 6).alias("share"))
 
@@ -302,7 +310,7 @@ def hot_ratio(s, d):
 
 
 NAMES = [
-    robust_z_score, severity_from_z, family_severity_max, hazard_confidence, contribution_share, causal_summary, time_to_limit, predicted_horizon, change_explained_fraction, suppression_judge,
+    robust_z_score, severity_from_z, family_severity_max, hazard_confidence, hazard_all_families, contribution_share, causal_summary, time_to_limit, predicted_horizon, change_explained_fraction, suppression_judge,
     attribution_rank, incident_collapse, cascade_merge, semantic_fusion, remediation_advice, workflow_resolve, prediction_match, score_recall_leadtime, score_fpr, strict_window_semi_anti, score_attribution,
     score_alert_reduction, score_collapse, score_novel, track_from_domain, suppression_ab, gate_metrics, gate_eval, result_digest, train_window_select, semantic_window_summary, incident_process, rca_prompt, generate_table, contract_validate, hot_ratio,
 ]
@@ -386,6 +394,9 @@ SELECT user_id, bin FROM b WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.user
     "score_alert_reduction": _RED,
     "score_collapse": _COL,
     "score_novel": """SELECT event_type, count(*) FILTER (WHERE NOT (contains(props, '"k": 1') OR contains(props, '"k": 2'))) AS n_novel, count(*) AS n FROM events GROUP BY ALL""",
+    "hazard_all_families": f"""WITH w(k, family, weight) AS (VALUES {", ".join(f"({i}, '{n}', {x}::DOUBLE)" for i, (n, x) in enumerate(dt.FAMILY_WEIGHTS.items()))}),
+m AS (SELECT user_id, date_trunc('week', ts)::TIMESTAMP AS week, weight, max(greatest(0, least(1, value / 200))) AS s FROM events JOIN w ON w.k = event_id % 16 GROUP BY user_id, week, family, weight)
+SELECT user_id, week, round(1 / (1 + exp(-(-3.3::DOUBLE + sum(weight * s)))), 6) AS confidence FROM m GROUP BY user_id, week""",
     "track_from_domain": f"""WITH {_R}, t AS (SELECT user_id, day, arg_max(CASE family WHEN 'saturation' THEN 'application' WHEN 'errors' THEN 'database' ELSE 'network' END, (round(severity, 9), family)) AS domain FROM f WHERE severity > 0 GROUP BY ALL)
 SELECT user_id, day, domain, CASE domain WHEN 'application' THEN 'unresponsiveness' ELSE 'cross_domain' END AS track FROM t""",
     "suppression_ab": f"SELECT * FROM ({_AB})",

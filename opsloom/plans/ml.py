@@ -31,7 +31,7 @@ def xreg_bands(s, d):
     flagged = covered_join(e, c, ["user_id"], "ts", "start_ts", "end_ts", "left_semi", ["entity"]).select("event_id", F.lit(1.0).alias("m"))
     x = e.join(flagged, "event_id", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
     fit = x.groupBy("event_type").agg(F.avg(F.when(F.col("m") == 0, F.col("value"))).alias("base"), F.avg(F.when(F.col("m") == 1, F.col("value"))).alias("during"))
-    r = x.join(F.broadcast(fit), "event_type").withColumn("residual", F.col("value") - F.when(F.col("m") == 1, F.coalesce("during", "base")).otherwise(F.col("base")))
+    r = x.join(fit, "event_type").withColumn("residual", F.col("value") - F.when(F.col("m") == 1, F.coalesce("during", "base")).otherwise(F.col("base")))
     return r.groupBy("event_type").agg(F.round(F.first("base"), 6).alias("base"), F.round(F.first(F.col("during") - F.col("base")), 6).alias("effect"), F.round(F.stddev_samp("residual"), 6).alias("sigma"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from opsloom.functions.scalar import epoch_ms, trunc
 from opsloom.operators import aggregates as ag
-from opsloom.operators import joins
+from opsloom.operators import joins, rules
 from opsloom.tables import table
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -51,11 +51,14 @@ def edge_materialize(s, d):
     return pair.select(F.sha2(F.concat_ws("|", F.lit("supplies"), F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")), 256).alias("edge_id"), "l_suppkey", "l_partkey")
 
 
+METRICS = ("node_load1", "node_cpu_seconds_total", "ifInErrors", "ospfNbrEvents", "apache_duration_ms_total", "jvm_gc_collection_seconds_count", "jvm_gc_collection_seconds_bucket", "jvm_gc_collection_seconds", "own_sum", "own_bucket", "node_vmstat_pgpgin", "up")
+
+
 def metric_type_lookup(s, d):
-    """A small table of known families; else the suffix decides between counter and level."""
-    known = s.createDataFrame([("error", "counter"), ("view", "counter"), ("click", "gauge")], "event_type string, kind string")
-    fallback = F.when(F.col("event_type").rlike("(_total|_count|_sum|_bucket|up)$"), F.lit("counter")).otherwise(F.lit("gauge"))
-    return ev(s, d).join(F.broadcast(known), "event_type", "left").groupBy("event_type", F.coalesce("kind", fallback).alias("kind")).agg(F.count("*").alias("n"))
+    """Known families by name, others by suffix: is the metric a counter or a level?"""
+    name = F.get(F.array(*map(F.lit, METRICS)), (F.col("event_id") % len(METRICS)).cast("int"))
+    kind = F.when(rules.is_counter(name), F.lit("counter")).otherwise(F.lit("level"))
+    return ev(s, d).groupBy(name.alias("metric"), kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 def status_rule(s, d):
@@ -74,11 +77,13 @@ def suppress_left_join(s, d):
 
 
 def entity_resolve(s, d):
-    """The first non-empty of several candidate labels, else the alias of an opaque id."""
-    c = table(s, d, "customer")
+    """The first of fifteen labels that is not blank, else the alias of the customer's nation."""
+    keys, k = F.array(*map(F.lit, rules.ENTITY_LABELS)), (F.col("c_custkey") % 16).cast("int")
+    named = F.map_from_arrays(F.slice(keys, F.least(k, F.lit(14)) + 1, F.lit(15)), F.transform(F.slice(keys, F.least(k, F.lit(14)) + 1, F.lit(15)), lambda x: F.concat(F.lit(" "), x, F.lit("-"), F.col("c_custkey").cast("string"))))
+    blank = F.map_from_arrays(F.slice(keys, F.lit(1), F.least(k, F.lit(14))), F.transform(F.slice(keys, F.lit(1), F.least(k, F.lit(14))), lambda x: F.lit("  ")))
+    labels = F.when(k == 15, blank).otherwise(F.map_concat(blank, named))
     alias = table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("alias"))
-    first = F.coalesce(F.nullif(F.trim(F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment"))), F.lit("")), F.nullif(F.trim(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name"))), F.lit("")), F.col("alias"))
-    return c.join(F.broadcast(alias), "c_nationkey", "left").select("c_custkey", first.alias("entity"))
+    return table(s, d, "customer").join(alias, "c_nationkey", "left").select("c_custkey", F.coalesce(rules.first_label(labels), "alias").alias("entity"))
 
 
 def message_extract(s, d):
@@ -350,11 +355,12 @@ ORACLE = {
     "scan_filter_project": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderpriority IS NOT NULL",
     "log_sink_filter": """SELECT event_id, event_type, props FROM events WHERE event_type IN ('error', 'signup') AND NOT regexp_matches(props, '"k": (1|2)[0-9]?\\}')""",
     "edge_materialize": "SELECT sha256('supplies|' || l_suppkey || '|' || l_partkey) AS edge_id, l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)",
-    "metric_type_lookup": "SELECT event_type, CASE WHEN event_type IN ('error', 'view') THEN 'counter' WHEN event_type = 'click' THEN 'gauge' WHEN regexp_matches(event_type, '(_total|_count|_sum|_bucket|up)$') THEN 'counter' ELSE 'gauge' END AS kind, count(*) AS n FROM events GROUP BY ALL",
+    "metric_type_lookup": f"""WITH v(k, metric) AS (VALUES {", ".join(f"({i}, '{m}')" for i, m in enumerate(METRICS))})
+SELECT metric, CASE WHEN metric IN ('node_cpu_seconds_total', 'ifInErrors', 'ospfNbrEvents', 'jvm_gc_collection_seconds_count', 'jvm_gc_collection_seconds_bucket', 'own_sum', 'node_vmstat_pgpgin') THEN 'counter' ELSE 'level' END AS kind, count(*) AS n FROM events JOIN v ON v.k = event_id % {len(METRICS)} GROUP BY ALL""",
     "status_rule": "SELECT CASE WHEN l_quantity >= 48 OR l_discount >= 0.095 OR l_extendedprice >= 95000 THEN 'ANOMALY' ELSE 'HEALTHY' END AS status, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL",
     "suppress_left_join": f"""WITH {CHANGES_SQL}, x AS (SELECT e.event_id, e.value, count(change_id) AS n_changes, max(risk) AS risk FROM events e LEFT JOIN changes c ON e.user_id = c.entity AND e.ts BETWEEN start_ts AND end_ts WHERE event_type = 'error' GROUP BY ALL)
 SELECT event_id, n_changes, risk, CASE WHEN n_changes > 0 THEN 'NO_ACTION_SUPPRESSED' WHEN value >= 60 THEN 'AUTO_REMEDIATE' ELSE 'MANUAL_REVIEW' END AS action FROM x""",
-    "entity_resolve": "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, CASE WHEN c_custkey % 2 = 0 THEN c_name END, n_name) AS entity FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey",
+    "entity_resolve": f"""SELECT c_custkey, CASE WHEN c_custkey % 16 = 15 THEN n_name ELSE {list(rules.ENTITY_LABELS)}[c_custkey % 16 + 1] || '-' || c_custkey END AS entity FROM customer JOIN nation ON n_nationkey = c_nationkey""",
     "message_extract": """SELECT event_id, CASE WHEN event_type = 'view' THEN 'view' WHEN CAST(props->>'$.k' AS INT) % 2 = 0 THEN props->>'$.k' ELSE 'k=' || (props->>'$.k') END AS message FROM events""",
     "phase_classify": "WITH b AS (SELECT min(ts) AS m FROM events) SELECT CASE WHEN ts < m + INTERVAL 10 DAY THEN 'history' WHEN ts < m + INTERVAL 20 DAY THEN 'window' ELSE 'unknown' END AS phase, event_type, count(*) AS n FROM events, b GROUP BY ALL",
     "join_inner_equi": "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",

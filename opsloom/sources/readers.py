@@ -38,8 +38,8 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_targets(scrapes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Scrapes with their target's labels; the target table has a row an exporter and is small."""
-    return scrapes.join(F.broadcast(targets), ["job", "instance"], "left")
+    """Scrapes with their target's labels."""
+    return scrapes.join(targets, ["job", "instance"], "left")
 
 
 def read_topology(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -55,17 +55,28 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("change_id", "kind", F.explode_outer("entities").alias("entity"), F.try_to_timestamp("start").alias("start_ts"), F.try_to_timestamp("end").alias("end_ts"), "description")
 
 
-def append_new(batch: DataFrame, path: str, key: list[str], columns: list[str]) -> None:
-    """Appends rows whose key is not stored yet; unknown columns are refused."""
+def append_new(batch: DataFrame, path: str, key: list[str], columns: list[str], batch_id: str = "0") -> None:
+    """Stores the rows of a batch whose key no other batch holds; unknown columns are refused.
+
+    A batch has a folder of its own, which it overwrites, so one that is tried
+    again is stored once. Two batches that are written at one time may both
+    hold a key; ``read_once`` gives it once.
+    """
     unknown = set(batch.columns) - set(columns)
     if unknown:
         raise ValueError(f"unknown columns: {sorted(unknown)}")
     spark = batch.sparkSession
     new = batch.dropDuplicates(key)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
-    new.write.mode("append").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        others = spark.read.option("basePath", path).parquet(path).filter(F.col("batch").cast("string") != batch_id)
+        new = new.join(others.select(*key), key, "left_anti")
+    new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def read_once(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The rows stored by ``append_new``, each key once."""
+    return spark.read.option("basePath", path).parquet(path).drop("batch").dropDuplicates(key)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

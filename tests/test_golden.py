@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from opsloom.functions import feature_catalog as fc
 from opsloom.functions import scalar
+from opsloom.functions.scalar import short_number
 from opsloom.functions.embedding import embed_signatures
+from opsloom.operators import aggregates as ag
 from opsloom.operators import detect, folds, joins, logs, timeseries
+from opsloom.operators import vectors as v
 from opsloom.operators.vectors import vector_search
 from opsloom.sources import readers
 
@@ -137,12 +140,42 @@ def test_readers(spark, tmp_path):
 
 
 def test_append_is_idempotent(spark, tmp_path):
+    """A batch that is tried again is stored once, and so is a key that two batches hold."""
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id long, v string")
+    store = f"{tmp_path}/store"
     for _ in range(2):
-        readers.append_new(df, f"{tmp_path}/store", ["id"], ["id", "v"])
-    assert spark.read.parquet(f"{tmp_path}/store").count() == 2
+        readers.append_new(df, store, ["id"], ["id", "v"])
+    readers.append_new(spark.createDataFrame([(2, "b"), (3, "c")], "id long, v string"), store, ["id"], ["id", "v"], "1")
+    assert sorted(r.id for r in readers.read_once(spark, store, ["id"]).collect()) == [1, 2, 3] and spark.read.parquet(store).count() == 3
     with pytest.raises(ValueError):
-        readers.append_new(df.withColumn("x", F.lit(1)), f"{tmp_path}/store", ["id"], ["id", "v"])
+        readers.append_new(df.withColumn("x", F.lit(1)), store, ["id"], ["id", "v"])
+
+
+def test_number_text(spark):
+    cases = {0.0: "0", -0.0: "0", 1.0: "1", 12.5: "12.5", -3.25: "-3.25", 1e20: "100000000000000000000", 1e21: "1e+21", 1.5e300: "1.5e+300", 0.0001: "0.0001", 0.00001: "1e-05", 123456789.125: "123456789.125", float("inf"): "+Inf", float("-inf"): "-Inf"}
+    got = spark.createDataFrame([(float(k),) for k in cases], "v double").select("v", short_number(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == list(cases.values())
+
+
+def test_exact_quantiles_of_a_busy_key(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(0, 5, 500).tolist(), *[7.0] * 300, 0.0, -0.0, 1e-300, -1e300]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 1.0), ("c", None)], "k string, v double")
+    q = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q995": 0.995, "q1": 1.0}
+    got = {r.k: r for r in ag.exact_quantiles(df, ["k"], "v", q).collect()}
+    assert set(got) == {"a", "b"} and {got["b"][n] for n in q} == {1.0}
+    assert [got["a"][n] for n in q] == pytest.approx([np.quantile(values, x) for x in q.values()])
+
+
+def test_vector_index_recall(spark, sf):
+    rows, centers = v.cell_index(spark.read.parquet(f"{sf}/embeddings.parquet"), "embedding")
+    base = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = base.filter("vec_id % 50 = 0")
+    exact = {(r.query_id, r.base_id) for r in v.vector_search(base, queries, "vec_id", "vec_id", "embedding", 5).collect()}
+    found = {(r.query_id, r.base_id) for r in v.cell_search(rows, centers, queries, "vec_id", "vec_id", "embedding", 5).collect()}
+    assert rows.count() == base.count() and len(exact & found) >= 0.9 * len(exact)
 
 
 def test_overlap_join_counts_each_pair_once(spark):
