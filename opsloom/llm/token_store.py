@@ -160,11 +160,21 @@ def _encoder(path: str, end: int):
     return run
 
 
+PART_BYTES = 128 << 20
+UNKNOWN_SIZE = 1 << 60
+
+
+def number_of_parts(docs: DataFrame) -> int:
+    """As many parts as the shuffle has partitions, or as there are ``PART_BYTES`` in the input as Spark estimates it from the files, if those are more."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= UNKNOWN_SIZE else max(least, -(-size // PART_BYTES))
+
+
 def write_tokens(docs: DataFrame, space: Workspace, tokenizer: str | None = None, end: int = END, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the token files (``tokens``) and the table of their parts (``parts``)."""
-    spark = docs.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    n = parts or number_of_parts(rows)
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     space.save(rows.mapInArrow(_encoder(tokenizer or default_tokenizer(), end), SCHEMA), "tokens", **FORMAT)
     sums = space.read("tokens").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))

@@ -1,6 +1,7 @@
 """Every operator on odd rows and on empty tables; results as the docstrings define them."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,7 @@ def test_substring_dedup(odd_docs, no_docs):
 
 @pytest.mark.parametrize("k", range(5))
 def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path, k):
+    """The rows that each stage leaves of the odd documents, as the pipeline's docstring defines them."""
     spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog", None)], BENCH).write.parquet(f"{tmp_path}/benchmark.parquet")
     name, stage = corpus_pipeline.STAGES[k]
     for docs in (odd_docs, no_docs):
@@ -184,3 +186,57 @@ def test_pipeline_stages(spark, odd_docs, no_docs, tmp_path, k):
         got.write.parquet(f"{tmp_path}/{name}-{docs is odd_docs}")
         assert set(docs.columns) <= set(got.columns)
         assert (got.columns == docs.columns) or k == 4
+    assert spark.read.parquet(f"{tmp_path}/{name}-False").count() == 0
+    kept = [(r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/{name}-True").collect()]
+    every = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    base = next(t for i, t in every if i == 1)
+    ids = sorted(i if i is not None else -1 for i, _ in kept)
+    if name == "language_id":
+        assert set(kept) <= set(every) and not set(ids) & {2, 3, 4, 8} and (None, None) not in kept
+        assert kept.count((1, base)) in (0, 2)  # repeated rows are judged alike
+    elif name == "ngram_jaccard_join":
+        assert ids == [-1, -1, 1, 2, 3, 4, 5, 7, 8, 9]
+    elif name == "decontamination":
+        assert sorted(kept, key=repr) == sorted((x for x in every if not (x[1] or "").startswith(base)), key=repr)
+    elif name == "source_mixing":
+        assert not set(ids) & {2, 3, 4} and all(kept.count(x) <= 2 * every.count(x) for x in kept)
+    else:
+        assert sorted(kept, key=repr) == sorted(every, key=repr)
+
+
+def test_one_very_long_text(spark):
+    """Two megabytes in one row, with its copy and short rows beside it, through the operators that read whole texts."""
+    rng = np.random.default_rng(21)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(5000)])
+    text = " ".join(words[rng.integers(0, 5000, 345_000)])
+    rows = [(1, text, "en", "a"), (2, text, "en", "a"), (3, "a few words of another kind stand here by themselves today", "fr", "b"), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size = len(text.encode())
+    assert size > 2_000_000
+    comp = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, 4, 85, "vl9").collect()}
+    assert comp == {1: 1, 2: 1, 3: 3, 4: 4}
+    cut = {r.doc_id: (r.n_removed, r.n_spans, r.n_passage_words) for r in substring_dedup.remove_repeats(docs, 400, "vl10").collect()}
+    assert cut == {1: (size, 1, 345_000), 2: (size, 1, 345_000), 3: (0, 0, 0), 4: (0, 0, 0)}
+    space = Workspace(spark, "vl3")
+    token_store.write_tokens(docs, space)
+    n = {r.doc_id: r.n_tokens for r in token_store.read_tokens(space).select("doc_id", "n_tokens").collect()}
+    assert n[1] == n[2] > 345_000 and n[4] == 1
+    stats = {r.doc_id: r.n_words for r in quality_rules.judge(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), "vl5").collect()}
+    assert stats == {1: 345_000, 2: 345_000, 3: 11, 4: 0}
+    taken = {r.doc_id: r.taken for r in source_mixing.mix_plan(docs, "vl8").collect()}
+    assert taken[4] == 0 and all(taken[i] in (0, s, 2 * s) for i, s in ((1, 345_000), (2, 345_000), (3, 11)))
+    model = language_id.fit(*language_id.fit_sample(docs))
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}[1] == "en"
+
+
+def test_ties(spark):
+    """Equal scores, sizes and hashes: the same answer for the same row, and one that does not depend on partitions."""
+    docs = spark.createDataFrame([(i, "one two three four five six seven", "en" if i % 2 else "fr", "a") for i in range(12)], "doc_id long, text string, lang string, source string")
+    model = language_id.fit(*language_id.fit_sample(docs))
+    assert len({(r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}) == 1
+    plans = [{(r.doc_id, r.taken) for r in source_mixing.mix_plan(docs.repartition(n), f"tie{n}").collect()} for n in (1, 5)]
+    assert plans[0] == plans[1] and len(plans[0]) == 12
+    repeated = docs.unionByName(docs)
+    assert {n for n in repeated.groupBy("doc_id").count().toPandas()["count"]} == {2}
+    twice = source_mixing.mix_plan(repeated, "tie-r").groupBy("doc_id").agg(F.countDistinct("taken").alias("n"), F.count("*").alias("c")).collect()
+    assert {(r.n, r.c) for r in twice} == {(1, 2)}
