@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsloom.llm import text as T
+from opsloom.llm.filters import that_may_meet, with_may_meet
 from opsloom.llm.workspace import Workspace
 
 GRAM = {"bytes": 16, "words": 3}  # units under the rolling hash
@@ -241,15 +242,16 @@ def repeated(docs: DataFrame, length: int, space: Workspace, unit: str = "bytes"
         # A document may hold such a class more than once; all its occurrences are looked at.
         inside = phrases.join(classes.filter("not many").select("core", "context"), ["core", "context"]).select("core", F.lit(False).alias("many"), *ROW, "low", "high")
         listed = listed.filter("many").select(*inside.columns).unionByName(inside)
-    work = listed.select(*ROW, F.struct("core", "low", "high", "many").alias("p")).groupBy(*ROW).agg(F.collect_list("p").alias("phrases"))
-    # Of repeated rows one is enough: their phrases occur twice and are not edges.
-    bodies = docs.join(work, _same(docs, work)).select(docs["doc_id"], docs["version"], "body", "phrases")
+    work = space.save(listed.select(*ROW, F.struct("core", "low", "high", "many").alias("p")).groupBy(*ROW).agg(F.collect_list("p").alias("phrases")), t("work"))
+    # Of repeated rows one is enough: their phrases occur twice and are not edges. Texts without an edge do not move.
+    near = that_may_meet(docs, F.col("version"), work, F.col("version"))
+    bodies = near.join(work, _same(near, work)).select(near["doc_id"], near["version"], "body", "phrases")
     strings = space.save(bodies.mapInArrow(_edge_strings(length, unit), "doc_id long, version long, core long, string long, place long, many boolean"), t("strings"))
     known = F.max("many") | (~F.min(holder).eqNullSafe(F.max(holder)) if across else F.count("*") > 1)
     twice = space.save(strings.groupBy("core", "string").agg(known.alias("known")).filter("known").select("core", "string"), t("twice"))
     single = strings.filter("not many").join(twice, ["core", "string"]).select(*ROW, F.col("place").alias("low"), F.col("place").alias("high"))
     out = space.save(whole.unionByName(single).groupBy(*ROW).agg(F.collect_set(F.struct("low", "high")).alias("ranges")), t("ranges"))
-    space.drop(*map(t, ("candidates", "dictionary", "edges", "strings", "twice")))
+    space.drop(*map(t, ("candidates", "dictionary", "edges", "work", "strings", "twice")))
     return out
 
 
@@ -269,7 +271,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, name: str = "repeats", do
     ranges = repeated(docs, length, space)
     passages = repeated(docs, passage_words, space, "words", across=True).withColumnRenamed("ranges", "passages")
     found = ranges.join(passages, _same(ranges, passages), "full").select(*[F.coalesce(ranges[c], passages[c]).alias(c) for c in ROW], "ranges", "passages")
-    out = docs.join(found, _same(docs, found), "left").select(docs["doc_id"], "body", "ranges", "passages")
+    found = space.save(found, "found")
+    # Texts in which nothing was found stay where they are.
+    marked = with_may_meet(docs, F.col("version"), found, F.col("version"))
+    near = marked.filter("_may")
+    out = near.join(found, _same(near, found), "left").select(near["doc_id"], "body", "ranges", "passages")
+    out = out.unionByName(marked.filter("not _may").select("doc_id", "body"), allowMissingColumns=True)
     extra = ", kept binary, spans array<struct<start: long, end: long>>" if keep_text else ""
     return out.mapInArrow(_removal(length, passage_words, keep_text), RESULT + extra)
 
