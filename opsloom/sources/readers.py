@@ -26,10 +26,11 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumns({"ts": F.try_to_timestamp("timestamp"), "message": message, "is_corrupt": F.col("_corrupt").isNotNull()}).drop("_corrupt")
 
 
-def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
-    """Scrape files named ``<job>__<instance>.jsonl`` with job and instance from the name, in which other characters may be percent-encoded."""
+def read_scrapes(spark: SparkSession, path: str, phase: str | None = None) -> DataFrame:
+    """Scrape files named ``<job>__<instance>.jsonl`` with job and instance from the name, in which other characters may be percent-encoded; of one phase, if it is named."""
     rows = spark.read.schema(schemas.SCRAPE).json(allowed(path)).withColumn("_f", F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl$", 1))
     parts = F.split(F.url_decode(F.url_decode("_f")), "__")  # once for the path, once for the name
+    rows = rows.filter(F.col("phase") == phase) if phase else rows
     return rows.select(F.get(parts, F.lit(0)).alias("job"), F.get(parts, F.lit(1)).alias("instance"), F.try_to_timestamp("scrape_time").alias("ts"), "phase", "exposition")
 
 
