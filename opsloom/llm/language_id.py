@@ -240,9 +240,9 @@ def fit(texts: list[str], langs: list[str], corpus: Corpus | None = None, epochs
 def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, df = 0, np.zeros(1 << HASH_BITS, np.int64)
     for b in batches:
-        for text in b.column("text").to_pylist():
-            n += 1
-            df[slots_of(text)] += 1
+        n += b.num_rows
+        for text in b.column("text"):
+            df[slots_of(text.as_py())] += 1
     at = np.flatnonzero(df)
     # Slot -1 counts the texts.
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], names=["slot", "n"])

@@ -43,7 +43,7 @@ from opsloom.llm.workspace import Workspace
 
 GRAM = {"bytes": 16, "words": 3}  # units under the rolling hash
 PASSAGE_WORDS = 51  # "over 50 words"
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def sequences(texts: pa.Array, unit: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -56,7 +56,7 @@ def powers(n: int, which: str = "base") -> np.ndarray:
         p = np.full(size, one, np.uint64)
         p[0] = 1
         have = _POWERS[which] = np.cumprod(p, dtype=np.uint64)
-        if size > 1 << 24:
+        if size > 1 << 21:
             _POWERS.pop(which)  # do not keep a table sized by one huge text
     return have
 
@@ -96,7 +96,7 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, most: int = 1 << 22):
+def blocks(column: pa.Array, most: int = 1 << 20):
     """(first row, bytes, offsets) of runs of rows with about ``most`` bytes; a longer value stands alone."""
     data, offsets = utf8_parts(column)
     at, n = 0, len(offsets) - 1

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsloom.shared import shared_dir
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go when the job ends, and fewer rows than by default go to Python at once, since rows are whole texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 class Workspace:
@@ -28,13 +29,15 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         conf = self.spark.conf
-        before = conf.get(CLEANUP, "false")
-        conf.set(CLEANUP, "true")
+        before = {k: conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            conf.set(k, v)
         try:
             options = {"compression": "zstd"} | options
             df.write.options(**options).parquet(self.path(name))
         finally:
-            conf.set(CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def read(self, name: str) -> DataFrame:
