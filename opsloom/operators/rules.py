@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from opsloom.shared import rounds
+
 # Fixed values of the metrics text format.
 NAME = r"[a-zA-Z_][a-zA-Z0-9_]*"
 NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|NaN|[+-]Inf"
@@ -87,7 +89,8 @@ def exposition_rules(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """
     whole = docs.filter(F.col(text).contains("\r") | ((F.col(text) != "") & ~F.col(text).endswith("\n")))
     out = whole.select(*keep, F.lit("P01").alias("rule"), F.lit(None).cast("int").alias("line"))
-    lines = exposition_lines(docs, text, keep)
+    written = rounds(docs.sparkSession, "exposition")  # parsed once, read for each kind of rule
+    lines = written(exposition_lines(docs, text, keep), "lines")
     out = out.unionByName(lines.select(*keep, F.explode("_broken").alias("rule"), "line"))
     samples = lines.filter("kind = 'sample' and value is not null").select(*keep, "line", "name", "labels", "value")
     repeats = samples.withColumn("_n", F.row_number().over(Window.partitionBy(*keep, "name", "labels").orderBy("line"))).filter("_n > 1")
@@ -100,6 +103,8 @@ def exposition_rules(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     part = F.col("_whole").isNull() & F.col("_part").isNotNull()
     fam = by_part.select(*keep, "line", "name", "labels", "value", F.when(part, F.col("_p")).otherwise(F.col("name")).alias("family"), F.when(part, F.col("_part")).otherwise(F.col("_whole")).alias("type"))
 
+    fam = written(fam, "families")
+
     first = fam.groupBy(*keep, "family").agg(F.min("line").alias("_first"))
     notes = lines.filter("kind <> 'sample'").withColumn("_n", F.row_number().over(Window.partitionBy(*keep, "kind", "name").orderBy("line")))
     late = notes.join(first.withColumnRenamed("family", "name"), [*keep, "name"], "left").filter("_n > 1 or _first < line")
