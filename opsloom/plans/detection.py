@@ -273,7 +273,7 @@ def semantic_window_summary(s, d):
 
 
 def incident_process(s, d):
-    """Suppress, else dispatch or hold; every incident leaves an audit row."""
+    """Suppress inside a change window, else dispatch or hold: a row an incident."""
     e = ev(s, d).filter("event_type = 'error'")
     c = changes(s, d).select("entity", "start_ts", "end_ts")
     hit = covered_join(e, c, ["user_id"], "ts", "start_ts", "end_ts", "left_semi", ["entity"]).select("event_id", F.lit(True).alias("hit"))

@@ -46,7 +46,8 @@ def logistic_classifier(s, d):
     n = f.agg(F.avg("label").alias("p"))
     f = f.crossJoin(F.broadcast(n)).withColumn("w", F.when(F.col("label") == 1, 0.5 / F.col("p")).otherwise(0.5 / (1 - F.col("p"))))
     m = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=0.1, maxIter=50).fit(f)
-    return m.transform(f).select("o_orderkey", F.round(F.get(vector_to_array("probability"), F.lit(1)), 4).alias("probability"), "label")
+    scored = m.transform(f).withColumn("p_of", vector_to_array("probability"))
+    return scored.select("o_orderkey", F.round(F.get("p_of", F.lit(1)), 4).alias("probability"), F.transform("p_of", lambda p: F.round(p, 4)).alias("probabilities"), "label")
 
 
 def root_cause_classifier(s, d):
