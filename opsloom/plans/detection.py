@@ -171,7 +171,7 @@ def score_fpr(s, d):
 
 
 def strict_window_semi_anti(s, d):
-    """Six-hour bins of a user without an onset in the next day that still had an alert."""
+    """Days of a user without an onset that day or the next that still had an alert."""
     e = ev(s, d)
     bins = e.select("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bin")).distinct()
     on = e.filter("event_type = 'error'").select("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d"))

@@ -26,7 +26,7 @@ def stacktrace_coalesce(s, d):
 
 def log_normalize(s, d):
     """Simple rules only, on page addresses and event properties."""
-    raw = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" took "), F.col("value").cast("string"), F.lit("ms for "), F.col("props"))
+    raw = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" "), F.col("event_type"), F.lit(" took "), F.col("value").cast("string"), F.lit("ms for "), F.col("props"))
     return table(s, d, "events").select("event_id", lg.normalize(raw).alias("message"))
 
 
@@ -163,7 +163,7 @@ ORACLE = {
 c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND regexp_matches(string_split(text, chr(10))[1], '{lg.CONTINUATION}') AND NOT regexp_matches(string_split(text, chr(10))[1], '{lg.NEW_LINE}') THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM c)
 SELECT conv_id, block, string_agg(text, chr(10) ORDER BY turn) AS text, CASE WHEN bool_or(severity = 'ERROR') THEN 'ERROR' ELSE 'INFO' END AS severity, count(*) AS n_lines FROM b GROUP BY conv_id, block""",
-    "log_normalize": """SELECT event_id, 'user <NUM> took <DURATION> for {"k": <NUM>}' AS message FROM events""",
+    "log_normalize": """SELECT event_id, 'user <NUM> ' || event_type || ' took <DURATION> for {"k": <NUM>}' AS message FROM events""",
     "ngram_features": """WITH b AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), c AS (SELECT unnest(w) AS x FROM b),
 g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b) UNION ALL SELECT ('#' || x || '#')[i:i + 2] FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM c)) SELECT gram, count(*) AS n FROM g GROUP BY gram""",
     "sliding_count_chunks": """WITH r AS (SELECT user_id, row_number() OVER w AS rn, list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ids FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
