@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from opsloom.operators.logs import SEVERITY_RANK
-from opsloom.operators.timeseries import streaks
+from opsloom.operators.logs import SEVERITY_RANK, has_trace
 
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, tuple], list[tuple]], finish: Callable[[object], list[tuple]], schema: str) -> DataFrame:
@@ -28,7 +27,7 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
         for b in batches:
             out = []
             for row in b.itertuples(index=False, name=None):
-                k = tuple(row[i] for i in at)
+                k = tuple(None if row[i] != row[i] else row[i] for i in at)  # null keys come as NaN
                 if k != key:
                     if key is not None:
                         out += finish(state)
@@ -42,97 +41,109 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
     return rows.mapInPandas(run, schema)
 
 
-def fold_runs(df: DataFrame, keys: list[str], order: list[str], new_run: Column, start: Column, step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> DataFrame:
-    """Folds the rows of each run of a key with the built-in ``aggregate`` and returns the rows of the array that ``finish`` makes of the state.
-
-    ``new_run`` tells, with window functions over the row before, where earlier
-    rows no longer matter. A busy key is thus cut into many independent runs,
-    and only a run is held.
-    """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    values = [c for c in df.columns if c not in keys and c not in order]
-    runs = df.withColumn("_new", F.coalesce(new_run, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("_rows"))
-    return rows.select(*keys, F.inline(F.aggregate("_rows", start, step, finish)))
-
-
 def _seconds(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / 1e6
 
 
+def _missing(v: object) -> bool:
+    return v is None or v != v
+
+
 def refractory_fire(df: DataFrame, keys: list[str], ts: str, score: str, threshold: float = 0.48, dwell: int = 2, quiet_s: int = 1800, escalate: float = 0.20) -> DataFrame:
-    """Fires when ``dwell`` scores in a row reach the threshold, then not for ``quiet_s`` unless the score rises by ``escalate``; null scores break the run."""
-    high = (F.col(score) >= threshold) & ~F.isnan(score)
-    ready = streaks(df.select(*keys, ts, score), keys, [ts], high).filter(F.col("streak") >= dwell).select(*keys, ts, score)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    row = F.struct(F.col(ts), F.col(score))
-    kinds = {f.name: f.dataType.simpleString() for f in ready.select(row.alias("r")).schema["r"].dataType.fields}
-    fired = "array<struct<" + ", ".join(f"{k}: {v}" for k, v in kinds.items()) + ">>"
-    # Rows a quiet time apart fire whatever came before.
-    far = _seconds(F.col(ts)) - _seconds(F.lag(ts).over(w)) >= quiet_s
-
-    def step(s: Column, r: Column) -> Column:
-        last = F.get(s, F.size(s) - 1)
-        fires = (F.size(s) == 0) | (_seconds(r[ts]) - _seconds(last[ts]) >= quiet_s) | (r[score] >= last[score] + escalate)
-        return F.when(fires, F.concat(s, F.array(F.struct(r[ts].alias(ts), r[score].alias(score))))).otherwise(s)
-
-    return fold_runs(ready, keys, [ts], far, F.array().cast(fired), step, lambda s: s)
-
-
-def rate_limit(df: DataFrame, keys: list[str], epoch_s: str, cooldown_s: float = 900, cap: int = 3, cap_window_s: float = 3600) -> DataFrame:
-    """``decision`` for each call: TRIGGERED, SUPPRESSED_RATE_LIMIT within the cooldown of the last trigger, RATE_LIMITED_HOURLY_CAP beyond the cap."""
-    rows = df.select(*keys, F.col(epoch_s).cast("double").alias(epoch_s))
-    far = F.col(epoch_s) - F.lag(epoch_s).over(Window.partitionBy(*keys).orderBy(epoch_s)) > max(cap_window_s, cooldown_s)
-    start = F.struct(F.array().cast("array<double>").alias("hot"), F.array().cast(f"array<struct<{epoch_s}: double, decision: string>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        now = r[epoch_s]
-        hot = F.filter(s["hot"], lambda t: F.abs(now - t) <= cap_window_s)
-        cool = F.coalesce(F.array_min(F.transform(hot, lambda t: F.abs(now - t))) < cooldown_s, F.lit(False))
-        full = F.size(hot) >= cap
-        decision = F.when(cool, F.lit("SUPPRESSED_RATE_LIMIT")).when(full, F.lit("RATE_LIMITED_HOURLY_CAP")).otherwise(F.lit("TRIGGERED"))
-        kept = F.when(cool | full, hot).otherwise(F.concat(hot, F.array(now)))
-        return F.struct(kept.alias("hot"), F.concat(s["out"], F.array(F.struct(now.alias(epoch_s), decision.alias("decision")))).alias("out"))
-
-    return fold_runs(rows, keys, [epoch_s], far, start, step, lambda s: s["out"])
+    """Fires when ``dwell`` scores in a row reach the threshold, then not for ``quiet_s`` unless the score rises by ``escalate``; null scores break the run.
+
+    The state of a key is the length of its run and the last firing.
+    """
+    rows = df.select(*keys, ts, score, _seconds(F.col(ts)).alias("_at"))
+    n, types = len(keys), dict(rows.dtypes)
+
+    def step(s: dict, row: tuple) -> list[tuple]:
+        value, now = row[n + 1], row[n + 2]
+        if _missing(value) or value < threshold:
+            s["run"] = 0
+            return []
+        s["run"] += 1
+        if s["run"] < dwell or (s["at"] is not None and now - s["at"] < quiet_s and value < s["score"] + escalate):
+            return []
+        s["at"], s["score"] = now, value
+        return [row[: n + 2]]
+
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, ts, score))
+    return sorted_fold(rows, keys, [ts], lambda: {"run": 0, "at": None, "score": 0.0}, step, lambda s: [], schema)
+
+
+def rate_limit(df: DataFrame, keys: list[str], epoch_s: str, cooldown_s: float = 900, cap: int = 3, cap_window_s: float = 3600, arrival: list[str] | None = None) -> DataFrame:
+    """``decision`` for each call: TRIGGERED, SUPPRESSED_RATE_LIMIT nearer than the cooldown to a trigger, RATE_LIMITED_HOURLY_CAP beyond the cap.
+
+    Calls are decided in the order of ``arrival`` (by default of time) and may
+    come late; triggers count while they are less than ``cap_window_s`` away. The
+    state of a key is the triggers within that time of its latest one.
+    """
+    order = arrival or [epoch_s]
+    rows = df.select(*keys, F.col(epoch_s).cast("double").alias(epoch_s), *[c for c in order if c != epoch_s])
+    n, types = len(keys), dict(rows.dtypes)
+
+    def step(hot: list, row: tuple) -> list[tuple]:
+        now = row[n]
+        latest = max([now, *hot])
+        hot[:] = [t for t in hot if t > latest - cap_window_s]
+        if any(abs(now - t) < cooldown_s for t in hot):
+            decision = "SUPPRESSED_RATE_LIMIT"
+        elif sum(abs(now - t) < cap_window_s for t in hot) >= cap:
+            decision = "RATE_LIMITED_HOURLY_CAP"
+        else:
+            decision = "TRIGGERED"
+            hot.append(now)
+        return [(*row, decision)]
+
+    schema = ", ".join(f"{c} {types[c]}" for c in rows.columns)
+    return sorted_fold(rows, keys, order, list, step, lambda s: [], schema + ", decision string")
 
 
 def dwell_alerts(df: DataFrame, keys: list[str], ts: str, value: str, threshold: float, dwell_s: int = 300, repeat_s: int = 3600) -> DataFrame:
     """Static-threshold alerts: after ``dwell_s`` over the threshold, again every ``repeat_s``; a recovery resets both."""
-    over = streaks(df.select(*keys, ts, value), keys, [ts], (F.col(value) >= threshold) & ~F.isnan(value)).filter("streak > 0").select(*keys, ts, value, "island")
-    kinds = dict(over.dtypes)
-    start = F.struct(F.lit(None).cast(kinds[ts]).alias("since"), F.array().cast(f"array<struct<{ts}: {kinds[ts]}, {value}: {kinds[value]}>>").alias("fired"))
-    changed = F.col("island") != F.lag("island").over(Window.partitionBy(*keys).orderBy(ts))
+    rows = df.select(*keys, ts, value, _seconds(F.col(ts)).alias("_at"))
+    n, types = len(keys), dict(rows.dtypes)
 
-    def step(s: Column, r: Column) -> Column:
-        since = F.coalesce(s["since"], r[ts])
-        last = F.get(s["fired"], F.size(s["fired"]) - 1)
-        fires = (_seconds(r[ts]) - _seconds(since) >= dwell_s) & F.coalesce(_seconds(r[ts]) - _seconds(last[ts]) >= repeat_s, F.lit(True))
-        return F.struct(since.alias("since"), F.when(fires, F.concat(s["fired"], F.array(F.struct(r[ts].alias(ts), r[value].alias(value))))).otherwise(s["fired"]).alias("fired"))
+    def step(s: dict, row: tuple) -> list[tuple]:
+        level, now = row[n + 1], row[n + 2]
+        if _missing(level) or level < threshold:
+            s["since"] = s["fired"] = None
+            return []
+        s["since"] = now if s["since"] is None else s["since"]
+        if now - s["since"] < dwell_s or (s["fired"] is not None and now - s["fired"] < repeat_s):
+            return []
+        s["fired"] = now
+        return [row[: n + 2]]
 
-    return fold_runs(over, keys, [ts], changed, start, step, lambda s: s["fired"])
+    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, ts, value))
+    return sorted_fold(rows, keys, [ts], lambda: {"since": None, "fired": None}, step, lambda s: [], schema)
 
 
-def count_chunks(df: DataFrame, keys: list[str], epoch_s: str, log_id: str, severity: str, text: str, size: int = 5, stride: int = 2, gap_s: float = 30.0, limit: int = 6000) -> DataFrame:
+# How a chunk that is too long is cut.
+CHUNK_CUT, CHUNK_CUT_ROOM = "\n... [CHUNK TRUNCATED FOR TOKEN LIMIT] ...\n", 45
+
+
+def count_chunks(df: DataFrame, keys: list[str], epoch_s: str, log_id: str, severity: str, text: str, size: int = 5, stride: int = 2, gap_s: float = 30.0, limit: int = 6000, trace: str | None = None) -> DataFrame:
     """Sliding windows of ``size`` lines a key, moving by ``stride``.
 
-    A severe line or a gap to the window's first line flushes what is there;
-    what is left at the end is flushed too. chunk_id hashes key and first line.
+    A severe line, one with a stack trace (column ``trace``; by default the text
+    is looked at) or a gap to the window's first line flushes what is there; what
+    is left at the end is flushed too. chunk_id hashes key and first line.
     """
-    import hashlib
-
-    rows = df.select(*keys, epoch_s, log_id, severity, text)
+    has = has_trace(F.col(text)) if trace is None else F.coalesce(F.col(trace), F.lit(False))
+    rows = df.select(*keys, epoch_s, log_id, severity, text, has.alias("_trace"))
     n = len(keys)
 
     def chunk(w: list) -> tuple:
         first = w[0]
         body = "\n".join(str(r[n + 3]) for r in w)
         if len(body) > limit:
-            half = limit // 2
-            body = body[:half] + "\n[...]\n" + body[-half:]
+            half = (limit - CHUNK_CUT_ROOM) // 2
+            body = body[:half] + CHUNK_CUT + body[-half:]
         top = max(w, key=lambda r: SEVERITY_RANK.get(str(r[n + 2]).upper(), 20))[n + 2]
         ident = hashlib.sha256("|".join(map(str, first[: n + 2])).encode()).hexdigest()[:32]
-        return (*first[:n], ident, [str(r[n + 1]) for r in w], str(top).upper(), body)
+        return (*first[:n], ident, [str(r[n + 1]) for r in w], str(top).upper(), any(r[n + 4] for r in w), body)
 
     def step(s: list, row: tuple) -> list[tuple]:
         out = []
@@ -140,7 +151,7 @@ def count_chunks(df: DataFrame, keys: list[str], epoch_s: str, log_id: str, seve
             out.append(chunk(s))
             s.clear()
         s.append(row)
-        severe = str(row[n + 2]).upper() in ("ERROR", "CRITICAL", "FATAL")
+        severe = str(row[n + 2]).upper() in ("ERROR", "CRITICAL", "FATAL") or bool(row[n + 4])
         if len(s) >= size:
             out.append(chunk(s[:size]))
             del s[:stride]
@@ -150,5 +161,5 @@ def count_chunks(df: DataFrame, keys: list[str], epoch_s: str, log_id: str, seve
         return out
 
     types = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", chunk_id string, log_ids array<string>, severity string, chunk_text string"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", chunk_id string, log_ids array<string>, severity string, has_stack_trace boolean, chunk_text string"
     return sorted_fold(rows, keys, [epoch_s, log_id], list, step, lambda s: [chunk(s)] if s else [], schema)

@@ -14,7 +14,7 @@ from opsloom.tables import table
 
 
 def _turns(s, d):
-    sev = F.when(F.col("turn") % 3 == 2, F.lit("ERROR")).otherwise(F.lit("INFO"))
+    sev = F.get(F.array(*[F.lit(x) for x in lg.SEVERITY_RANK]), ((F.col("conv_id") + F.col("turn") * 3) % len(lg.SEVERITY_RANK)).cast("int"))
     text = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("  at "), F.col("text"))).otherwise(F.col("text"))
     return table(s, d, "conversations").select("conv_id", "turn", F.lit("svc").alias("service"), sev.alias("severity"), text.alias("text"))
 
@@ -50,10 +50,14 @@ def sliding_count_chunks(s, d):
 
 
 def flushed_count_chunks(s, d):
-    """The same windows with the flush rules."""
-    rows = table(s, d, "events").select(F.col("user_id"), (epoch_ms("ts") / 1000.0).alias("at"), F.col("event_id"), F.upper("event_type").alias("severity"), F.col("props").alias("text"))
-    out = folds.count_chunks(rows, ["user_id"], "at", "event_id", "severity", "text", gap_s=86400 * 3.0)
-    return out.select("user_id", "chunk_id", F.array_join("log_ids", ",").alias("ids"), "severity")
+    """The same windows with the flush rules, over every severity and some stack traces."""
+    e = table(s, d, "events")
+    sev = F.get(F.array(*[F.lit(x) for x in lg.SEVERITY_RANK]), (F.floor(F.col("event_id") / 7) % len(lg.SEVERITY_RANK)).cast("int"))
+    body = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit("Traceback (most recent call last):\n  "), F.col("props"))).otherwise(F.repeat(F.col("props"), (F.col("event_id") % 60).cast("int")))
+    line = lg.chunk_line(F.col("event_id").cast("string"), sev, F.col("event_type"), F.col("user_id").cast("string"), body)
+    rows = e.select("user_id", (epoch_ms("ts") / 1000.0).alias("at"), "event_id", sev.alias("severity"), line.alias("text"))
+    out = folds.count_chunks(rows, ["user_id"], "at", "event_id", "severity", "text", gap_s=86400 * 3.0, limit=1500)
+    return out.select("user_id", "chunk_id", F.array_join("log_ids", ",").alias("ids"), "severity", "has_stack_trace", "chunk_text")
 
 
 def hashed_embedding(s, d):
@@ -143,8 +147,10 @@ def refractory_fire(s, d):
 
 
 def rate_limit(s, d):
-    e = table(s, d, "events").filter("event_type = 'error'").groupBy("user_id", (epoch_ms("ts") / 1000.0).alias("at")).count().drop("count")
-    return folds.rate_limit(e, ["user_id"], "at", 43200, 3, 86400 * 3).groupBy("user_id", "decision").agg(F.count("*").alias("n"))
+    """Errors of a user as calls, every fifth of them arriving late; calls as old as the window to the second are among them."""
+    e = table(s, d, "events").filter("event_type = 'error'").select("user_id", "event_id", (F.floor(epoch_ms("ts") / 43_200_000) * 43200.0).alias("at"))
+    late = e.withColumn("arrival", F.col("event_id") + F.when(F.col("event_id") % 5 == 0, 1500).otherwise(0))
+    return folds.rate_limit(late, ["user_id"], "at", 43200, 3, 86400 * 3, ["arrival", "event_id"]).select("user_id", "event_id", "decision")
 
 
 def static_threshold_alerts(s, d):
@@ -158,11 +164,14 @@ def static_threshold_alerts(s, d):
 
 NAMES = [stacktrace_coalesce, log_normalize, log_signature, ngram_features, sliding_count_chunks, flushed_count_chunks, hashed_embedding, exposition_parse, exposition_rules, histogram_validate, log_validate, promql_matrix_pivot, envelope_decode, refractory_fire, rate_limit, static_threshold_alerts]
 QUERIES = {f.__name__: f for f in NAMES}
+SEVERITIES_SQL = ", ".join(f"({i}, '{n}', {r})" for i, (n, r) in enumerate(lg.SEVERITY_RANK.items()))
 ORACLE = {
-    "stacktrace_coalesce": f"""WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN turn % 2 = 1 THEN '  at ' || text ELSE text END AS text FROM conversations),
+    "stacktrace_coalesce": f"""WITH k(i, severity, r) AS (VALUES {SEVERITIES_SQL}),
+t AS (SELECT conv_id, turn, k.severity, k.r, CASE WHEN turn % 2 = 1 THEN '  at ' || text ELSE text END AS text FROM conversations JOIN k ON k.i = (conv_id + turn * 3) % 10),
 c AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND regexp_matches(string_split(text, chr(10))[1], '{lg.CONTINUATION}') AND NOT regexp_matches(string_split(text, chr(10))[1], '{lg.NEW_LINE}') THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM c)
-SELECT conv_id, block, string_agg(text, chr(10) ORDER BY turn) AS text, CASE WHEN bool_or(severity = 'ERROR') THEN 'ERROR' ELSE 'INFO' END AS severity, count(*) AS n_lines FROM b GROUP BY conv_id, block""",
+b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS block FROM c),
+m AS (SELECT *, max(r) OVER (PARTITION BY conv_id, block) AS top FROM b)
+SELECT conv_id, block, string_agg(text, chr(10) ORDER BY turn) AS text, max(severity) FILTER (r = top) AS severity, count(*) AS n_lines FROM m GROUP BY conv_id, block""",
     "log_normalize": """SELECT event_id, 'user <NUM> ' || event_type || ' took <DURATION> for {"k": <NUM>}' AS message FROM events""",
     "ngram_features": """WITH b AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), c AS (SELECT unnest(w) AS x FROM b),
 g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b) UNION ALL SELECT ('#' || x || '#')[i:i + 2] FROM (SELECT x, unnest(range(1, len(x) + 1)) AS i FROM c)) SELECT gram, count(*) AS n FROM g GROUP BY gram""",
@@ -181,14 +190,20 @@ x AS (SELECT signature, split_part(f, ':', 1) AS family, (('0x' || substr(h, 1,
 n AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY signature, family)) AS n FROM x),
 m AS (SELECT signature, slot, sum(CASE family WHEN 'token' THEN {WEIGHTS["token"]}::DOUBLE WHEN 'char' THEN {WEIGHTS["char"]}::DOUBLE ELSE {WEIGHTS["shape"]}::DOUBLE END * v / n) AS v FROM n WHERE n > 0 GROUP BY ALL)
 SELECT signature, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY signature)), 6) AS value FROM m""",
-    "flushed_count_chunks": """WITH RECURSIVE e AS (SELECT user_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0, event_id AS id, upper(event_type) AS sev, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) / 1000.0::DOUBLE, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    "flushed_count_chunks": f"""WITH RECURSIVE k(i, severity, r) AS (VALUES {SEVERITIES_SQL}),
+e AS (SELECT user_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0, event_id AS id, severity AS sev, r, event_id % 13 = 0 AS trace,
+  '[' || event_id || '] [' || severity || '] [' || event_type || '@' || user_id || '] ' || CASE WHEN event_id % 13 = 0 THEN 'Traceback (most recent call last):' || chr(10) || '  ' || props ELSE repeat(props, event_id % 60) END AS line,
+  row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) / 1000.0::DOUBLE, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events JOIN k ON k.i = event_id // 7 % 10),
 r(user_id, rn, n, w, o1, o2) AS (
-  SELECT DISTINCT user_id, 0::BIGINT, n, []::STRUCT(t0 DOUBLE, id BIGINT, sev VARCHAR)[], []::STRUCT(t0 DOUBLE, id BIGINT, sev VARCHAR)[], []::STRUCT(t0 DOUBLE, id BIGINT, sev VARCHAR)[] FROM e
-  UNION ALL SELECT user_id, rn, n, CASE WHEN len(x) >= 5 THEN x[3:] WHEN sev = 'ERROR' THEN (CASE WHEN len(x) > 2 THEN x[3:] ELSE [] END) ELSE x END, o1, CASE WHEN len(x) >= 5 THEN x[1:5] WHEN sev = 'ERROR' THEN x ELSE [] END FROM (
-    SELECT *, CASE WHEN gap THEN w ELSE [] END AS o1, list_append(CASE WHEN gap THEN [] ELSE w END, {'t0': t0, 'id': id, 'sev': sev}) AS x FROM (
-      SELECT e.user_id, e.rn, e.n, e.t0, e.id, e.sev, r.w, len(r.w) > 0 AND e.t0 - r.w[1].t0 > 259200 AS gap FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))),
-c AS (SELECT user_id, o1 AS w FROM r UNION ALL SELECT user_id, o2 FROM r UNION ALL SELECT user_id, w FROM r WHERE rn = n)
-SELECT user_id, sha256(user_id || '|' || w[1].t0 || '|' || w[1].id)[1:32] AS chunk_id, array_to_string(list_transform(w, lambda v: v.id), ',') AS ids, CASE WHEN len(list_filter(w, lambda v: v.sev = 'ERROR')) > 0 THEN 'ERROR' ELSE w[1].sev END AS severity FROM c WHERE len(w) > 0""",
+  SELECT DISTINCT user_id, 0::BIGINT, n, []::STRUCT(t0 DOUBLE, id BIGINT)[], []::STRUCT(t0 DOUBLE, id BIGINT)[], []::STRUCT(t0 DOUBLE, id BIGINT)[] FROM e
+  UNION ALL SELECT user_id, rn, n, CASE WHEN len(x) >= 5 THEN x[3:] WHEN flush THEN (CASE WHEN len(x) > 2 THEN x[3:] ELSE [] END) ELSE x END, o1, CASE WHEN len(x) >= 5 THEN x[1:5] WHEN flush THEN x ELSE [] END FROM (
+    SELECT *, CASE WHEN gap THEN w ELSE [] END AS o1, list_append(CASE WHEN gap THEN [] ELSE w END, {{'t0': t0, 'id': id}}) AS x FROM (
+      SELECT e.user_id, e.rn, e.n, e.t0, e.id, e.trace OR e.sev IN ('ERROR', 'CRITICAL', 'FATAL') AS flush, r.w, len(r.w) > 0 AND e.t0 - r.w[1].t0 > 259200 AS gap FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1))),
+c AS (SELECT row_number() OVER () AS c, * FROM (SELECT user_id, o1 AS w FROM r UNION ALL SELECT user_id, o2 FROM r UNION ALL SELECT user_id, w FROM r WHERE rn = n) WHERE len(w) > 0),
+l AS (SELECT c.c, any_value(c.user_id) AS user_id, any_value(w[1]) AS first, string_agg(e.id::VARCHAR, ',' ORDER BY e.rn) AS ids, arg_max(e.sev, e.r * 1000000 - e.rn) AS severity, bool_or(e.trace) AS trace, string_agg(e.line, chr(10) ORDER BY e.rn) AS body
+  FROM (SELECT c, user_id, w, unnest(w).id AS id FROM c) c JOIN e ON e.id = c.id GROUP BY c.c)
+SELECT user_id, sha256(user_id || '|' || first.t0 || '|' || first.id)[1:32] AS chunk_id, ids, severity, trace AS has_stack_trace,
+  CASE WHEN length(body) > 1500 THEN body[1:727] || chr(10) || '... [CHUNK TRUNCATED FOR TOKEN LIMIT] ...' || chr(10) || body[-727:] ELSE body END AS chunk_text FROM l""",
     "refractory_fire": """WITH RECURSIVE e AS (SELECT user_id, ts, max(value) / 60.0::DOUBLE AS score, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events GROUP BY user_id, ts),
 r(user_id, rn, ts, score, run, t0, last, fire) AS (
   SELECT DISTINCT user_id, 0::BIGINT, NULL::TIMESTAMP, NULL::DOUBLE, 0, NULL::TIMESTAMP, 0.0::DOUBLE, false FROM e
@@ -196,13 +211,13 @@ r(user_id, rn, ts, score, run, t0, last, fire) AS (
     SELECT *, run >= 2 AND (t0 IS NULL OR epoch_us(ts) - epoch_us(t0) >= 86400000000 OR score >= last + 0.2::DOUBLE) AS fire FROM (
       SELECT e.user_id, e.rn, e.ts, e.score, CASE WHEN e.score >= 0.3 THEN r.run + 1 ELSE 0 END AS run, r.t0, r.last FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
 SELECT user_id, ts, round(score, 6) AS score FROM r WHERE fire""",
-    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, t0, row_number() OVER (PARTITION BY user_id ORDER BY t0) AS rn FROM (SELECT DISTINCT user_id, (epoch_us(ts) // 1000) / 1000.0::DOUBLE AS t0 FROM events WHERE event_type = 'error')),
-r(user_id, rn, hot, decision) AS (
-  SELECT DISTINCT user_id, 0::BIGINT, []::DOUBLE[], NULL::VARCHAR FROM e
-  UNION ALL SELECT user_id, rn, CASE WHEN decision = 'TRIGGERED' THEN list_append(hot, t0) ELSE hot END, decision FROM (
-    SELECT *, CASE WHEN len(hot) > 0 AND t0 - list_max(hot) < 43200 THEN 'SUPPRESSED_RATE_LIMIT' WHEN len(hot) >= 3 THEN 'RATE_LIMITED_HOURLY_CAP' ELSE 'TRIGGERED' END AS decision FROM (
-      SELECT e.user_id, e.rn, e.t0, list_filter(r.hot, lambda t: e.t0 - t <= 259200) AS hot FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
-SELECT user_id, decision, count(*) AS n FROM r WHERE rn > 0 GROUP BY ALL""",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 43200000000 * 43200.0::DOUBLE AS t0, row_number() OVER (PARTITION BY user_id ORDER BY event_id + CASE WHEN event_id % 5 = 0 THEN 1500 ELSE 0 END, event_id) AS rn FROM events WHERE event_type = 'error'),
+r(user_id, rn, event_id, hot, decision) AS (
+  SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], NULL::VARCHAR FROM e
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN decision = 'TRIGGERED' THEN list_append(hot, t0) ELSE hot END, decision FROM (
+    SELECT *, CASE WHEN len(list_filter(hot, lambda t: abs(t0 - t) < 43200)) > 0 THEN 'SUPPRESSED_RATE_LIMIT' WHEN len(list_filter(hot, lambda t: abs(t0 - t) < 259200)) >= 3 THEN 'RATE_LIMITED_HOURLY_CAP' ELSE 'TRIGGERED' END AS decision FROM (
+      SELECT e.user_id, e.rn, e.event_id, e.t0, list_filter(r.hot, lambda t: t > greatest(e.t0, coalesce(list_max(r.hot), e.t0)) - 259200) AS hot FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
+SELECT user_id, event_id, decision FROM r WHERE rn > 0""",
     "promql_matrix_pivot": "SELECT user_id, epoch_us(ts) // 3600000000 * 3600 AS at, coalesce(max(value) FILTER (WHERE event_type = 'click'), 0.0) AS click, coalesce(max(value) FILTER (WHERE event_type = 'error'), 0.0) AS error, coalesce(max(value) FILTER (WHERE event_type = 'view'), 0.0) AS view FROM events GROUP BY ALL",
     "envelope_decode": "SELECT event_id, event_type, value FROM events",
     "static_threshold_alerts": f"""WITH RECURSIVE v(k, rule) AS (VALUES {", ".join(f"({i}, '{r[0]}')" for i, r in enumerate(rules.STATIC_RULES))}),
