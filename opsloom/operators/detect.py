@@ -49,15 +49,20 @@ def failure_level(center: Column, sigma: Column, p995: Column, direction: Column
 
 
 def time_to_limit(value: Column, slope: Column, level: Column, direction: Column) -> Column:
-    """Seconds until the level at this slope; 0 if it is reached, null if the slope leads away."""
+    """Seconds until the level at this slope; null if it is reached or the slope leads away."""
     gap = (level - value) * direction
     speed = slope * direction
-    return F.when(gap <= 0, F.lit(0.0)).when(speed > 0, gap / speed)
+    return F.when((gap > 0) & (speed > 0), gap / speed)
 
 
-def horizon(*candidates: Column, lo: float = 300.0, hi: float = 7200.0) -> Column:
-    """The soonest known candidate, clamped and rounded; ``hi`` where none is known."""
-    return F.round(clamp(F.coalesce(F.least(*candidates), F.lit(hi)), lo, hi)).cast("long")
+MIN_HORIZON_S, MAX_HORIZON_S = 300, 7200
+
+
+def horizon(*candidates: Column, elapsed: Column | None = None, lo: float = MIN_HORIZON_S, hi: float = MAX_HORIZON_S) -> Column:
+    """The soonest positive candidate, clamped and rounded; without one the time since the onset, and without that the shortest horizon."""
+    soonest = F.array_min(F.filter(F.array(*candidates), lambda c: (c > 0) & ~F.isnan(c) & (c < float("inf"))))
+    rest = F.lit(None).cast("double") if elapsed is None else F.when(elapsed > 0, elapsed.cast("double"))
+    return F.bround(clamp(F.coalesce(soonest, rest, F.lit(float(lo))), lo, hi)).cast("long")
 
 
 def explained_fraction(contributions: DataFrame, active: DataFrame, families: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsloom.operators.aggregates import MOST_PAIRS
 from opsloom.operators.logs import SEVERITY_RANK, has_trace
 
 
@@ -120,6 +122,47 @@ def dwell_alerts(df: DataFrame, keys: list[str], ts: str, value: str, threshold:
     return sorted_fold(rows, keys, [ts], lambda: {"since": None, "fired": None}, step, lambda s: [], schema)
 
 
+def slope_of(t: np.ndarray, v: np.ndarray) -> float:
+    """The median slope of all pairs of points in order of time; more than ``MOST_PAIRS`` pairs are made of evenly spaced points, ends included."""
+    n = len(t)
+    if n * (n - 1) // 2 > MOST_PAIRS:
+        keep = int((2 * MOST_PAIRS) ** 0.5)
+        at = np.unique(np.rint(np.arange(keep) * ((n - 1) / (keep - 1.0))).astype(np.int64))
+        t, v, n = t[at], v[at], len(at)
+    i, j = np.triu_indices(n, 1)
+    apart = t[j] - t[i]
+    ok = apart > 0
+    return float(np.median((v[j] - v[i])[ok] / apart[ok])) if ok.any() else 0.0
+
+
+def sliding_theil_sen(df: DataFrame, keys: list[str], order: list[str], value: str, window: float, least: int = 2) -> DataFrame:
+    """Every row with the Theil-Sen ``slope`` and ``n_points`` of its key's points in the last ``window`` up to it, itself included.
+
+    ``order`` is the time and what decides ties. The state of a key is the points
+    of one window; rows with an unknown value have no point, and a row whose
+    window has fewer than ``least`` points has no slope.
+    """
+    t = order[0]
+    types = dict(df.dtypes)
+    cols = df.columns
+    at, of = cols.index(t), cols.index(value)
+
+    def step(points: list, row: tuple) -> list[tuple]:
+        now = float(row[at])
+        if not _missing(row[of]):
+            points.append((now, float(row[of])))
+        gone = 0
+        while gone < len(points) and points[gone][0] < now - window:
+            gone += 1
+        del points[:gone]
+        n = len(points)
+        slope = slope_of(*np.array(points).T) if n >= max(least, 1) else None
+        return [(*row, slope, n)]
+
+    schema = ", ".join(f"{c} {types[c]}" for c in cols) + ", slope double, n_points long"
+    return sorted_fold(df, keys, order, list, step, lambda s: [], schema)
+
+
 # How a chunk that is too long is cut.
 CHUNK_CUT, CHUNK_CUT_ROOM = "\n... [CHUNK TRUNCATED FOR TOKEN LIMIT] ...\n", 45
 

@@ -12,10 +12,14 @@ from pyspark.sql.window import Window
 
 from opsloom.functions.scalar import clamp, logistic, robust_z
 from opsloom.operators import aggregates as ag
+from opsloom.operators import attribution as at
 from opsloom.operators import detect as dt
 from opsloom.operators import folds, rules
+from opsloom.operators import graph as g
 from opsloom.operators.joins import covered_join, interval_join
-from opsloom.plans.relational import CHANGES_SQL, changes, ev, theil_sen_sql
+from opsloom.operators.timeseries import streaks
+from opsloom.plans.relational import CHANGES_SQL, changes, ev
+from opsloom.shared import rounds
 from opsloom.tables import table
 
 SIG = ag.SIGMA_OF_MAD
@@ -25,13 +29,31 @@ EXPLAINS = [(0, "saturation"), (0, "latency"), (1, "errors"), (2, "saturation")]
 
 
 def _readings(s, d):
-    """user, day, feature, family, direction, value, z, severity."""
-    e = ev(s, d).groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.col("event_type").alias("feature")).agg(F.avg("value").alias("value"))
+    """user, day, feature, family, direction, value, z, severity; the daily means and the result are written, since most queries read them more than once."""
+    written = rounds(s, "readings")
+    e = written(ev(s, d).groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), F.col("event_type").alias("feature")).agg(F.avg("value").alias("value")), "means")
     base = ag.median_mad(e, ["feature"], "value")
     fam = F.create_map(*[F.lit(x) for kv in FAMILY.items() for x in kv])
-    r = e.join(base, "feature").withColumns({"family": F.element_at(fam, F.col("feature")), "direction": F.when(F.col("feature") == "purchase", -1).otherwise(1)})
+    r = e.join(F.broadcast(base), "feature")  # a row a feature
+    r = r.withColumns({"family": F.element_at(fam, F.col("feature")), "direction": F.when(F.col("feature") == "purchase", -1).otherwise(1)})
     r = r.withColumn("z", robust_z(F.col("value"), F.col("median"), F.col("robust_sigma"), 0.01))
-    return r.withColumn("severity", dt.severity(F.col("z"), F.col("direction")))
+    return written(r.withColumn("severity", dt.severity(F.col("z"), F.col("direction"))), "readings")
+
+
+def _evidence(s, d):
+    """entity, moment, causal, confidence of each day: purchases are symptoms and speak for no cause."""
+    r = _readings(s, d)
+    causal = r.groupBy("user_id", "day").agg(F.coalesce(F.max(F.when(F.col("feature") != "purchase", F.col("severity"))), F.lit(0.0)).alias("causal"))
+    hot = dt.hazard(dt.family_severity(r, ["user_id", "day"]), _weights(s), ["user_id", "day"])
+    both = causal.join(hot, ["user_id", "day"])
+    return r, both.select(F.col("user_id").alias("entity"), F.unix_seconds(F.col("day").cast("timestamp")).alias("moment"), "causal", F.round("confidence", 12).alias("confidence"))
+
+
+def _dependents(s, d):
+    """entity, cause: each user rests on the user of a third of its number, and so on up to 0."""
+    users = ev(s, d).select(F.col("user_id").alias("a")).distinct()
+    steps = users.select("a", F.floor(F.col("a") / 3).alias("b")).filter("a <> b")
+    return g.closure(s, steps, users, None).select(F.col("origin").alias("entity"), F.col("node").alias("cause"))
 
 
 def robust_z_score(s, d):
@@ -73,19 +95,38 @@ def causal_summary(s, d):
     return r.groupBy("user_id", "day").agg(F.max_by("feature", F.struct("sev", "feature")).alias("cause"))
 
 
+def _levels(s, d):
+    """The learned failure level of each user's values."""
+    e = ev(s, d)
+    q = ag.exact_quantiles(e, ["user_id"], "value", {"center": 0.5, "p995": 0.995})
+    stats = q.join(e.groupBy("user_id").agg(F.stddev_pop("value").alias("sigma")), "user_id")
+    return stats.select("user_id", dt.failure_level(F.col("center"), F.col("sigma"), F.col("p995"), F.lit(1), F.lit("learned")).alias("level"))
+
+
 def time_to_limit(s, d):
-    e = ev(s, d).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0).alias("t"), "value")
-    slope = ag.theil_sen(e, ["user_id"], "t", "value", 20 * 86400, least=6)
-    stats = e.groupBy("user_id").agg(F.median("value").alias("center"), F.percentile("value", 0.995).alias("p995"), F.stddev_pop("value").alias("sigma"), F.max_by("value", F.struct("t", "value")).alias("last"))
-    j = stats.join(slope, "user_id")
-    level = dt.failure_level(F.col("center"), F.col("sigma"), F.col("p995"), F.lit(1), F.lit("learned"))
-    ttl = dt.time_to_limit(F.col("last"), F.col("slope"), level, F.lit(1))
-    return j.select("user_id", F.round(level, 6).alias("level"), F.round(ttl / 3600, 3).alias("hours"))
+    """At every event the slope of its user's last five days, six points at least, and the hours until the learned level at that slope."""
+    e = ev(s, d).select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200.0).alias("t"), "value")
+    steps = folds.sliding_theil_sen(e, ["user_id"], ["t", "event_id"], "value", 5 * 86400.0, least=6)
+    ttl = dt.time_to_limit(F.col("value"), F.col("slope"), F.col("level"), F.lit(1))
+    return steps.join(_levels(s, d), "user_id").select("event_id", "n_points", F.round(F.col("slope") * 3600, 6).alias("slope_h"), F.round(ttl / 3600, 3).alias("hours"))
 
 
 def predicted_horizon(s, d):
-    t = time_to_limit(s, d)
-    return t.select("user_id", dt.horizon(F.col("hours") * 3600, F.lit(3600.0)).alias("horizon_s"))
+    """Seconds to failure of each user and day: the soonest of the trajectories of signals that contribute and of the hazard's own, else the time since the onset."""
+    r, hot = _evidence(s, d)
+    r = r.withColumn("t", F.unix_seconds(F.col("day").cast("timestamp")).cast("double"))
+    q = ag.exact_quantiles(r, ["feature"], "value", {"center": 0.5, "p995": 0.995}).join(r.groupBy("feature").agg(F.stddev_pop("value").alias("sigma")), "feature")
+    slopes = folds.sliding_theil_sen(r.select("user_id", "feature", "t", "value", "direction", "severity"), ["user_id", "feature"], ["t"], "value", 10 * 86400.0, least=4)
+    level = dt.failure_level(F.col("center"), F.col("sigma"), F.col("p995"), F.col("direction"), F.lit("learned"))
+    ttl = dt.time_to_limit(F.col("value"), F.col("slope"), level, F.col("direction"))
+    signal = slopes.join(F.broadcast(q), "feature").filter("severity > 0").groupBy("user_id", "t").agg(F.min(ttl).alias("signal"))
+    h = hot.select(F.col("entity").alias("user_id"), F.col("moment").cast("double").alias("t"), "confidence")
+    ramp = folds.sliding_theil_sen(h, ["user_id"], ["t"], "confidence", 10 * 86400.0, least=4)
+    runs = streaks(ramp, ["user_id"], ["t"], F.col("confidence") >= 0.05)
+    onset = F.when(F.col("streak") > 0, F.min(F.when(F.col("streak") == 1, F.col("t"))).over(Window.partitionBy("user_id", "island")))
+    j = runs.withColumn("onset", onset).join(signal, ["user_id", "t"], "left")
+    toward = F.when(F.col("slope") > 0, (1 - F.col("confidence")) / F.col("slope"))
+    return j.select("user_id", F.col("t").cast("long").alias("moment"), dt.horizon(F.col("signal"), toward, elapsed=F.col("t") - F.col("onset"), lo=3600, hi=20 * 86400).alias("horizon_s"))
 
 
 def change_explained_fraction(s, d):
@@ -103,14 +144,16 @@ def suppression_judge(s, d):
     return j.select("user_id", "day", dt.suppressed(F.round("confidence", 9), F.coalesce("fraction", F.lit(0.0)), F.lit(False), 0.1).alias("suppressed"))
 
 
+def _attributed(s, d):
+    up = rounds(s, "dependents")(_dependents(s, d), "pairs")
+    _, e = _evidence(s, d)
+    return at.attribute(e, up, up, 86400, lookback_s=7 * 86400, scale_s=3 * 86400.0, level=0.05)
+
+
 def attribution_rank(s, d):
-    """Candidates of a day by score: local severity, how much of the distress they cover, precedence."""
-    r = _readings(s, d).groupBy("day", "user_id").agg(F.max("severity").alias("local"), F.count_if(F.col("severity") > 0).alias("hit"), F.count("*").alias("n"))
-    day = Window.partitionBy("day")
-    r = r.withColumns({"coverage": F.col("hit") / F.nullif(F.sum("hit").over(day), F.lit(0)), "precision": F.col("hit") / F.col("n")})
-    score = dt.attribution_score(F.col("local"), F.coalesce("coverage", F.lit(0.0)), F.col("precision"), F.lit(0.5), F.lit(0.0))
-    r = r.withColumn("score", F.round(score, 6))
-    return r.withColumn("rank", F.row_number().over(day.orderBy(F.desc("score"), "user_id"))).filter("rank <= 3").select("day", "user_id", "rank", "score")
+    """The three best causes of each user in distress, of those it rests on and itself, with every term."""
+    terms = ["local", "coverage", "precision", "precedence", "correlation", "score"]
+    return _attributed(s, d).filter("rank <= 3").select("subject", "moment", "cause", "rank", *[F.round(c, 6).alias(c) for c in terms])
 
 
 def _alerts(s, d):
@@ -336,9 +379,39 @@ _PM = """pm AS (SELECT o.event_id AS onset_id, count(*) AS n, arg_min(p.event_id
 _REC = f"WITH {_PM}, o AS (SELECT event_id AS onset_id, user_id % 3 AS track FROM events WHERE event_type = 'error') SELECT track, round(count(lead_s) / count(*)::DOUBLE, 6) AS recall, median(lead_s) AS median_lead_s, count(*) FILTER (WHERE lead_s BETWEEN 900 AND 43200) AS in_band FROM o LEFT JOIN pm USING (onset_id) GROUP BY track"
 _FPR = "SELECT user_id % 3 AS track, count(*) AS n, round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM events a WHERE a.user_id = b.user_id AND a.event_type = 'error' AND b.ts <= a.ts AND epoch_us(a.ts) // 1000 - epoch_us(b.ts) // 1000 <= 21600000)) / count(*)::DOUBLE, 6) AS fpr FROM events b WHERE event_type = 'click' GROUP BY ALL"
 _COL = f"WITH {_INC} SELECT cause, count(DISTINCT episode) AS incidents, count(DISTINCT alert_id) AS alerts, round(count(DISTINCT episode) / count(DISTINCT alert_id)::DOUBLE, 6) AS ratio FROM ep GROUP BY cause"
-_TTL = f"""e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE - 1704067200.0::DOUBLE AS t, value FROM events), {theil_sen_sql("e", "user_id", 20 * 86400)},
-st AS (SELECT user_id, greatest(quantile_cont(value, 0.995), median(value) + 6 * stddev_pop(value)) AS level, arg_max(value, (t, value)) AS last FROM e GROUP BY ALL),
-ttl AS (SELECT user_id, level, CASE WHEN level - last <= 0 THEN 0 WHEN slope > 0 THEN (level - last) / slope END / 3600 AS hours FROM st JOIN slopes USING (user_id) WHERE n_points >= 6)"""
+_TTL = """e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE - 1704067200.0::DOUBLE AS t, value FROM events),
+pr AS (SELECT x.event_id, p.t AS pt, p.value AS pv, q.t AS qt, q.value AS qv FROM e x JOIN e p ON p.user_id = x.user_id AND p.t >= x.t - 432000 AND (p.t, p.event_id) <= (x.t, x.event_id) JOIN e q ON q.user_id = x.user_id AND (q.t, q.event_id) <= (x.t, x.event_id) AND q.t > p.t),
+cnt AS (SELECT x.event_id, count(*) AS n_points FROM e x JOIN e p ON p.user_id = x.user_id AND p.t >= x.t - 432000 AND (p.t, p.event_id) <= (x.t, x.event_id) GROUP BY ALL),
+sl AS (SELECT event_id, median((qv - pv) / (qt - pt)) AS slope FROM pr GROUP BY ALL),
+lv AS (SELECT user_id, greatest(quantile_cont(value, 0.995), median(value) + 6 * stddev_pop(value)) AS level FROM e GROUP BY ALL),
+ttl AS (SELECT e.event_id, n_points, CASE WHEN n_points >= 6 THEN coalesce(slope, 0.0) END AS slope, CASE WHEN n_points >= 6 AND slope > 0 AND level > value THEN (level - value) / slope / 3600 END AS hours FROM e JOIN cnt USING (event_id) LEFT JOIN sl USING (event_id) JOIN lv USING (user_id))"""
+_EV = f"""{_R}, {_H}, ev AS (SELECT user_id AS entity, epoch_us(day) // 1000000 AS moment, round(confidence, 12) AS confidence, causal FROM h JOIN (SELECT user_id, day, coalesce(max(severity) FILTER (feature <> 'purchase'), 0.0) AS causal FROM r GROUP BY ALL) USING (user_id, day))"""
+_UP = "up(entity, cause) AS (SELECT DISTINCT user_id, user_id // 3 FROM events WHERE user_id > 0 UNION SELECT entity, cause // 3 FROM up WHERE cause > 0)"
+_HORIZON = f"""{_EV}, ft AS (SELECT *, epoch_us(day) // 1000000 AS t FROM r),
+q AS (SELECT feature, greatest(quantile_cont(value, 0.995), median(value) + 6 * stddev_pop(value)) AS hi, median(value) * 0.1::DOUBLE AS lo FROM r GROUP BY ALL),
+fp AS (SELECT x.user_id, x.feature, x.t, median((b.value - a.value) / (b.t - a.t)) AS slope FROM ft x JOIN ft a ON a.user_id = x.user_id AND a.feature = x.feature AND a.t BETWEEN x.t - 864000 AND x.t JOIN ft b ON b.user_id = x.user_id AND b.feature = x.feature AND b.t <= x.t AND b.t > a.t GROUP BY ALL),
+fc AS (SELECT x.user_id, x.feature, x.t, count(*) AS n FROM ft x JOIN ft a ON a.user_id = x.user_id AND a.feature = x.feature AND a.t BETWEEN x.t - 864000 AND x.t GROUP BY ALL),
+sg AS (SELECT x.user_id, x.t, min(CASE WHEN n < 4 THEN NULL WHEN dir > 0 AND slope > 0 AND hi > value THEN (hi - value) / slope WHEN dir < 0 AND slope < 0 AND value > lo THEN (value - lo) / -slope END) AS signal FROM ft x JOIN fc USING (user_id, feature, t) LEFT JOIN fp USING (user_id, feature, t) JOIN q USING (feature) WHERE severity > 0 GROUP BY ALL),
+hp AS (SELECT x.entity, x.moment, median((b.confidence - a.confidence) / (b.moment - a.moment)) AS slope FROM ev x JOIN ev a ON a.entity = x.entity AND a.moment BETWEEN x.moment - 864000 AND x.moment JOIN ev b ON b.entity = x.entity AND b.moment <= x.moment AND b.moment > a.moment GROUP BY ALL),
+hc AS (SELECT x.entity, x.moment, count(*) AS n FROM ev x JOIN ev a ON a.entity = x.entity AND a.moment BETWEEN x.moment - 864000 AND x.moment GROUP BY ALL),
+st AS (SELECT *, sum(CASE WHEN confidence >= 0.05 THEN 0 ELSE 1 END) OVER (PARTITION BY entity ORDER BY moment) AS island FROM ev),
+os AS (SELECT *, CASE WHEN confidence >= 0.05 THEN min(CASE WHEN confidence >= 0.05 THEN moment END) OVER (PARTITION BY entity, island) END AS onset FROM st),
+al AS (SELECT os.entity AS user_id, os.moment, signal, CASE WHEN n >= 4 AND slope > 0 THEN (1 - confidence) / slope END AS ramp, nullif(os.moment - onset, 0)::DOUBLE AS elapsed FROM os JOIN hc USING (entity, moment) LEFT JOIN hp USING (entity, moment) LEFT JOIN sg ON sg.user_id = os.entity AND sg.t = os.moment)
+SELECT user_id, moment, round_even(least(greatest(coalesce(least(CASE WHEN signal > 0 THEN signal END, CASE WHEN ramp > 0 THEN ramp END), elapsed, 3600.0::DOUBLE), 3600), 1728000), 0)::BIGINT AS horizon_s FROM al"""
+_ATTRIBUTED = f"""{_EV}, {_UP},
+cz AS (SELECT x.entity AS subject, x.moment, x.entity AS cause FROM ev x WHERE confidence >= 0.05 UNION SELECT x.entity, x.moment, up.cause FROM ev x JOIN up ON up.entity = x.entity JOIN (SELECT DISTINCT entity FROM ev) k ON k.entity = up.cause WHERE confidence >= 0.05),
+pd AS (SELECT cause, entity FROM up WHERE entity IN (SELECT entity FROM ev) AND cause IN (SELECT entity FROM ev) UNION SELECT DISTINCT entity, entity FROM ev),
+np AS (SELECT cause, count(*) AS np FROM pd GROUP BY ALL), nh AS (SELECT moment, count(*) AS nh FROM ev WHERE confidence >= 0.05 GROUP BY ALL),
+mt AS (SELECT cause, moment, count(*) AS nm FROM pd JOIN ev USING (entity) WHERE confidence >= 0.05 GROUP BY ALL),
+tr AS (SELECT c.subject, c.moment, c.cause, s.moment AS step, x.causal AS x, y.confidence AS y FROM cz c JOIN (SELECT DISTINCT moment FROM ev) s ON s.moment BETWEEN c.moment - 604800 AND c.moment LEFT JOIN ev x ON x.entity = c.cause AND x.moment = s.moment LEFT JOIN ev y ON y.entity = c.subject AND y.moment = s.moment WHERE c.subject <> c.cause),
+ld AS (SELECT subject, moment, cause, min(step) FILTER (y >= 0.05) - min(step) FILTER (x > 0) AS lead FROM tr GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY subject, moment, cause ORDER BY x) + (count(*) OVER (PARTITION BY subject, moment, cause, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY subject, moment, cause ORDER BY y) + (count(*) OVER (PARTITION BY subject, moment, cause, y) - 1) / 2.0::DOUBLE AS ry FROM tr WHERE x IS NOT NULL AND y IS NOT NULL),
+rh AS (SELECT subject, moment, cause, CASE WHEN count(*) >= 4 AND var_pop(rx) > 0 AND var_pop(ry) > 0 THEN corr(rx, ry) END AS rho FROM rk GROUP BY ALL),
+tm AS (SELECT c.subject, c.moment, c.cause, CASE WHEN c.subject = c.cause THEN greatest(coalesce(e.causal, 0), 0.08::DOUBLE) ELSE coalesce(e.causal, 0) END AS local, coalesce(nm / np::DOUBLE, 0) AS coverage, coalesce(nm / nh::DOUBLE, 0) AS precision,
+  CASE WHEN lead IS NULL THEN 0 ELSE least(greatest(lead / 259200.0::DOUBLE, -1), 1) END AS precedence, coalesce(rho, 0) AS correlation
+  FROM cz c LEFT JOIN ev e ON e.entity = c.cause AND e.moment = c.moment LEFT JOIN mt ON mt.cause = c.cause AND mt.moment = c.moment LEFT JOIN np ON np.cause = c.cause LEFT JOIN nh ON nh.moment = c.moment LEFT JOIN ld ON ld.subject = c.subject AND ld.moment = c.moment AND ld.cause = c.cause LEFT JOIN rh ON rh.subject = c.subject AND rh.moment = c.moment AND rh.cause = c.cause),
+sc AS (SELECT *, round(local * greatest(0, 1 + 0.9::DOUBLE * CASE WHEN coverage + precision > 0 THEN 2 * coverage * precision / (coverage + precision) ELSE 0 END + 0.5::DOUBLE * precedence + 0.5::DOUBLE * greatest(0, correlation)), 9) AS score FROM tm),
+rn AS (SELECT *, row_number() OVER (PARTITION BY subject, moment ORDER BY score DESC, cause)::INT AS rank FROM sc)"""
 _AB = f"""WITH {CHANGES_SQL}, p AS (SELECT user_id, ts, EXISTS (SELECT 1 FROM changes c WHERE c.entity = e.user_id AND e.ts BETWEEN start_ts AND end_ts) AS hushed FROM events e WHERE event_type = 'purchase'),
 o AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
 m AS (SELECT o.event_id, bool_or(NOT p.hushed) AS on_ FROM o JOIN p ON p.user_id = o.user_id AND p.ts < o.ts AND epoch_us(o.ts) // 1000 - epoch_us(p.ts) // 1000 <= 172800000 GROUP BY ALL),
@@ -370,15 +443,12 @@ ORACLE = {
     "hazard_confidence": f"WITH {_R}, {_H} SELECT user_id, day, round(confidence, 6) AS confidence FROM h",
     "contribution_share": f"WITH {_R} SELECT user_id, day, family, feature, round(severity / nullif(sum(severity) OVER (PARTITION BY user_id, day), 0), 6) AS share FROM f",
     "causal_summary": f"WITH {_R} SELECT user_id, day, arg_max(feature, (round(severity, 9), feature)) AS cause FROM r WHERE feature <> 'purchase' GROUP BY ALL",
-    "time_to_limit": f"WITH {_TTL} SELECT user_id, round(level, 6) AS level, round(hours, 3) AS hours FROM ttl",
-    "predicted_horizon": f"WITH {_TTL} SELECT user_id, CAST(round(least(greatest(least(round(hours, 3) * 3600, 3600.0::DOUBLE), 300.0::DOUBLE), 7200.0::DOUBLE)) AS BIGINT) AS horizon_s FROM ttl",
+    "time_to_limit": f"WITH {_TTL} SELECT event_id, n_points, round(slope * 3600, 6) AS slope_h, round(hours, 3) AS hours FROM ttl",
+    "predicted_horizon": f"WITH {_HORIZON}",
     "change_explained_fraction": f"WITH {_R}, {_X} SELECT * FROM ex",
     "suppression_judge": f"""WITH {_R}, {_H}, {_X}, j AS (SELECT h.user_id, h.day, round(confidence, 9) AS c, coalesce(fraction, 0) AS f FROM h LEFT JOIN ex USING (user_id, day))
 SELECT user_id, day, f >= 0.05 AND (1 / (1 + exp(-(ln(c / (1 - c)) - 2.5::DOUBLE * f))) < 0.1 OR f >= 0.9) AS suppressed FROM j""",
-    "attribution_rank": f"""WITH {_R}, a AS (SELECT day, user_id, max(severity) AS local, count(*) FILTER (WHERE severity > 0) AS hit, count(*) AS n FROM r GROUP BY ALL),
-c AS (SELECT *, coalesce(hit / nullif(sum(hit) OVER (PARTITION BY day), 0)::DOUBLE, 0) AS cov, hit / n::DOUBLE AS prec FROM a),
-s AS (SELECT *, round(local * greatest(0, 1 + 0.9::DOUBLE * (CASE WHEN cov + prec > 0 THEN 2 * cov * prec / (cov + prec) ELSE 0 END) + 0.5::DOUBLE * 0.5::DOUBLE), 6) AS score FROM c)
-SELECT day, user_id, row_number() OVER (PARTITION BY day ORDER BY score DESC, user_id)::INT AS rank, score FROM s QUALIFY rank <= 3""",
+    "attribution_rank": f"WITH RECURSIVE {_ATTRIBUTED} SELECT subject, moment, cause, rank, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("local", "coverage", "precision", "precedence", "correlation", "score")) + " FROM rn WHERE rank <= 3",
     "incident_collapse": f"""WITH {_INC} SELECT cause, arg_max(alert_id, (confidence, -alert_id)) AS representative, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM ep GROUP BY cause, episode""",
     "semantic_fusion": """WITH c AS (SELECT g.event_id AS signal_id, arg_min(c.event_id, (abs(epoch_us(c.ts) // 1000 - epoch_us(g.ts) // 1000), c.event_id)) AS candidate_id FROM events g JOIN events c ON c.user_id = g.user_id AND c.event_type = 'error' AND abs(epoch_us(c.ts) // 1000 - epoch_us(g.ts) // 1000) <= 21600000 WHERE g.event_type = 'signup' GROUP BY ALL)
 SELECT event_id AS signal_id, candidate_id, candidate_id IS NULL AS created FROM events LEFT JOIN c ON signal_id = event_id WHERE event_type = 'signup'""",
