@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,25 +79,34 @@ def robust_z(value: Column, center: Column, sigma: Column, floor: float = 0.0, r
     return F.when(scale > 0, diff / scale).when(diff == 0, F.lit(0.0)).otherwise(inf)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _from_exponent(text: Column) -> Column:
+    """Digits and exponent of a text such as 1.25e-7, laid out anew."""
+
+    def parsed(t: Column) -> Column:
+        parts = F.split(t, "e")
+        whole, part = F.split_part(F.get(parts, F.lit(0)), F.lit("."), F.lit(1)), F.split_part(F.get(parts, F.lit(0)), F.lit("."), F.lit(2))
+        return F.struct(F.regexp_replace(F.concat(whole, part), "0+$", "").alias("digits"), F.get(parts, F.lit(1)).cast("int").alias("exponent"))
+
+    def laid_out(x: Column) -> Column:
+        digits, exponent = x["digits"], x["exponent"]
+        count, size = F.length(digits), F.abs(exponent).cast("string")
+        plain = F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)).when(count <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0"))).otherwise(F.concat(F.left(digits, exponent + 1), F.lit("."), F.substring(digits, exponent + 2, count)))
+        fraction = F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(F.lit(""))
+        short = F.concat(F.left(digits, F.lit(1)), fraction, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), F.when(F.length(size) < 2, F.concat(F.lit("0"), size)).otherwise(size))
+        return F.when((exponent < -4) | (exponent >= 21), short).otherwise(plain)
+
+    return let(let(text, parsed), laid_out)
+
+
 def short_number(value: Column) -> Column:
     """A double as the shortest decimal text: plain from 1e-4 to below 1e21, else with an exponent of two digits at least (+Inf, -Inf, NaN)."""
     text = F.lower(F.abs(value).cast("string"))
-    parts = F.split(text, "e")
-    mantissa, power = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)).cast("int"), F.lit(0))
-    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.regexp_replace(F.split_part(mantissa, F.lit("."), F.lit(2)), "0+$", "")
-    lead = F.length(F.regexp_extract(F.concat(whole, part), "^0*", 0))
-    digits = F.regexp_replace(F.regexp_replace(F.concat(whole, part), "^0+", ""), "0+$", "")
-    exponent = F.length(whole) + power - lead - 1  # of the first digit that is not 0
-    count = F.length(digits)
-    sure = lambda n: F.greatest(n, F.lit(0))
-    plain = (
-        F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), sure(-exponent - 1)), digits))
-        .when(count <= exponent + 1, F.concat(digits, F.repeat(F.lit("0"), sure(exponent + 1 - count))))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, count)))
-    )
-    fraction = F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(F.lit(""))
-    short = F.concat(F.substring(digits, 1, 1), fraction, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
-    number = F.when(digits == "", F.lit("0")).when((exponent < -4) | (exponent >= 21), short).otherwise(plain)
+    number = F.when(value == 0, F.lit("0")).when(F.contains(text, F.lit("e")), _from_exponent(text)).otherwise(F.regexp_replace(text, "[.]0$", ""))
     sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
     return F.when(F.isnan(value), F.lit("NaN")).when(value == float("inf"), F.lit("+Inf")).when(value == float("-inf"), F.lit("-Inf")).otherwise(F.concat(sign, number))
 

@@ -20,9 +20,11 @@ def string_agg_topn(df: DataFrame, keys: list[str], order: Column, text: Column,
     return best.groupBy(*keys).agg(F.array_join(F.transform(texts, lambda x: x["_t"]), sep).alias(out))
 
 
-def string_agg_distinct(text: Column, n: int, sep: str = " | ") -> Column:
-    """The ``n`` smallest distinct texts, joined."""
-    return F.array_join(F.slice(F.array_sort(F.collect_set(text)), 1, n), sep)
+def string_agg_distinct(df: DataFrame, keys: list[str], text: Column, n: int, out: str, sep: str = " | ") -> DataFrame:
+    """keys and the ``n`` smallest distinct texts, joined; a key without a text has an empty one. No more than ``n`` texts of a key leave a task."""
+    rows = df.select(*keys, text.alias("_t")).distinct()
+    best = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_t")))).filter(F.col("_k") <= n)
+    return best.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("_t")), sep).alias(out))
 
 
 def strict_sum(value: str) -> Column:

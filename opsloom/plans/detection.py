@@ -202,7 +202,9 @@ def prediction_match(s, d):
 def score_recall_leadtime(s, d):
     o = ev(s, d).filter("event_type = 'error'").select(F.col("event_id").alias("onset_id"), (F.col("user_id") % 3).alias("track"))
     j = o.join(prediction_match(s, d), "onset_id", "left")
-    return j.groupBy("track").agg(F.round(F.count("lead_s") / F.count("*"), 6).alias("recall"), F.median("lead_s").alias("median_lead_s"), F.count_if(F.col("lead_s").between(900, 43200)).alias("in_band"))
+    j = rounds(s, "leads")(j, "leads")
+    counts = j.groupBy("track").agg(F.round(F.count("lead_s") / F.count("*"), 6).alias("recall"), F.count_if(F.col("lead_s").between(900, 43200)).alias("in_band"))
+    return counts.join(ag.exact_quantiles(j, ["track"], "lead_s", {"median_lead_s": 0.5}), "track", "left")
 
 
 def score_fpr(s, d):

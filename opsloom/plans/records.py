@@ -57,8 +57,10 @@ def sql_functions(s, d):
     """The registered functions and views, called from SQL."""
     register_functions(s)
     register_tables(s, d, ["events"])
-    return s.sql("""WITH x AS (SELECT g.ts, e.event_id, e.value, ops_severity(ops_robust_z(e.value, 20, 2, 0.01)) AS severity
-      FROM ops_time_grid(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-02 00:00:00', INTERVAL '0 06:00:00' DAY TO SECOND) g LEFT JOIN events e ON e.ts >= g.ts AND e.ts < g.ts + INTERVAL 6 HOUR),
+    return s.sql("""WITH b AS (SELECT *, date_trunc('DAY', ts) + make_dt_interval(0, floor(hour(ts) / 6) * 6) AS six FROM events),
+    span AS (SELECT CAST(min(six) AS TIMESTAMP_NTZ) AS first, CAST(max(six) AS TIMESTAMP_NTZ) AS last FROM b),
+    x AS (SELECT g.ts, b.event_id, b.value, ops_severity(ops_robust_z(b.value, 20, 2, 0.01)) AS severity
+      FROM span, LATERAL ops_time_grid(span.first, span.last, INTERVAL '0 06:00:00' DAY TO SECOND) g LEFT JOIN b ON CAST(b.six AS TIMESTAMP_NTZ) = g.ts),
     y AS (SELECT ts, count(event_id) AS n, max(severity) AS severity, sum(value) AS total, max(value) AS peak FROM x GROUP BY ts),
     z AS (SELECT ts, n, severity, ops_safe_ratio(total, n) AS mean, ops_logistic(ops_clamp(peak / 100, 0, 2)) AS p FROM y)
     SELECT ts, n, round(severity, 6) AS severity, round(mean, 6) AS mean, round(p, 6) AS p FROM z""")
@@ -120,7 +122,7 @@ ORACLE = {
     "sink_append_once": "SELECT event_id, event_type, value FROM events",
     "head_tail_text": "SELECT item_id, CASE WHEN length(text) <= 60 THEN text ELSE text[1:27] || ' ... ' || right(text, 28) END AS text FROM benchmark",
     "sql_functions": """SELECT g.ts, count(e.event_id) AS n, round(max(greatest(0, least(1, ((e.value - 20) / 2 - 1.6::DOUBLE) / 7.4::DOUBLE))), 6) AS severity, round(avg(e.value), 6) AS mean, round(1 / (1 + exp(-least(greatest(max(e.value) / 100, 0), 2))), 6) AS p
-    FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 6 HOUR)) AS ts) g LEFT JOIN events e ON e.ts >= g.ts AND e.ts < g.ts + INTERVAL 6 HOUR GROUP BY g.ts""",
+    FROM (SELECT unnest(generate_series(time_bucket(INTERVAL 6 HOUR, min(ts)), time_bucket(INTERVAL 6 HOUR, max(ts)), INTERVAL 6 HOUR)) AS ts FROM events) g LEFT JOIN events e ON e.ts >= g.ts AND e.ts < g.ts + INTERVAL 6 HOUR GROUP BY g.ts""",
     "number_text": "SELECT event_id, regexp_replace(value::VARCHAR, '\\.0$', '') AS plain, regexp_replace((value * 0 - round(value) / 1e8::DOUBLE)::VARCHAR, '^-0\\.0$|^0\\.0$', '0') AS small FROM events",
     "log_jsonl_scan": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS severity, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'user=' || user_id END AS message, false AS is_corrupt FROM events",
     "exposition_render": """SELECT event_id, event_type || '_total{props="' || replace(props, '"', '\\"') || '",user="' || user_id || '"} ' || regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') AS text FROM events""",

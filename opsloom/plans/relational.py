@@ -211,7 +211,7 @@ def string_agg_topn(s, d):
 
 
 def string_agg_distinct(s, d):
-    return ev(s, d).groupBy("user_id").agg(ag.string_agg_distinct(F.col("event_type"), 3).alias("types"))
+    return ag.string_agg_distinct(ev(s, d), ["user_id"], F.col("event_type"), 3, "types")
 
 
 def hourly_xreg_features(s, d):
@@ -268,9 +268,12 @@ def pooled_ratios(s, d):
     return per.unionByName(pooled).select("seed", F.round(F.col("num") / F.nullif(F.col("den"), F.lit(0)), 6).alias("ratio"))
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def confusion_matrix(s, d):
     o = table(s, d, "orders")
-    return o.groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]).count().select("o_orderstatus", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias("p" + p[0]) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM")])
+    return o.groupBy("o_orderstatus").pivot("o_orderpriority", PRIORITIES).count().select("o_orderstatus", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias("p" + p[0]) for p in PRIORITIES])
 
 
 COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -323,7 +326,7 @@ def shared_dependency_intersect(s, d):
 
 
 def affected_except(s, d):
-    return table(s, d, "customer").select("c_custkey").subtract(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    return table(s, d, "customer").select("c_custkey").subtract(table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")))
 
 
 def epoch_unit_normalize(s, d):
@@ -399,7 +402,7 @@ r AS (SELECT user_id, rn, value AS e FROM o WHERE rn = 1 UNION ALL SELECT o.user
 SELECT user_id, round(arg_max(e, rn), 6) AS ewma FROM r GROUP BY user_id""",
     "pooled_ratios": """WITH p AS (SELECT user_id % 10 AS seed, count(*) FILTER (WHERE event_type = 'error') AS num, count(*) FILTER (WHERE event_type = 'view') AS den FROM events GROUP BY ALL)
 SELECT seed, round(num / nullif(den, 0)::DOUBLE, 6) AS ratio FROM (SELECT * FROM p UNION ALL SELECT -1, sum(num), sum(den) FROM p)""",
-    "confusion_matrix": "SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS p1, count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS p2, count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS p3 FROM orders GROUP BY ALL",
+    "confusion_matrix": "SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (WHERE o_orderpriority = '{p}') AS p{p[0]}" for p in PRIORITIES) + " FROM orders GROUP BY ALL",
     "table_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in COUNTED),
     "time_bounds": "SELECT least(min(ts), (SELECT min(o_orderdate) FROM orders)) AS first, greatest(max(ts), (SELECT max(o_orderdate) FROM orders)) AS last FROM events",
     "sort_multi_key": "SELECT event_type, user_id, event_id, value FROM events ORDER BY event_type, user_id DESC, event_id",
@@ -408,7 +411,7 @@ SELECT seed, round(num / nullif(den, 0)::DOUBLE, 6) AS ratio FROM (SELECT * FROM
     "unified_signals_union_all": "SELECT 'event' AS signal, count(*) AS n, count(DISTINCT user_id) AS entities, max(value) AS max_value FROM events UNION ALL SELECT 'order', count(*), count(DISTINCT o_custkey), max(o_totalprice) FROM orders",
     "observed_entities_union": "SELECT user_id AS entity FROM events UNION SELECT o_custkey FROM orders",
     "shared_dependency_intersect": "SELECT l_partkey FROM lineitem WHERE l_suppkey = 1 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey = 2",
-    "affected_except": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "affected_except": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "epoch_unit_normalize": f"SELECT event_id, CASE WHEN event_id % 3 = 2 THEN {T} // 1000 * 1000 ELSE {T} END AS ms FROM events",
     "bounded_history": "SELECT event_type, hour(ts) AS hour, count(*) AS n, median(value) AS median_value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, hour(ts) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 12 GROUP BY event_type, hour(ts)",
 }

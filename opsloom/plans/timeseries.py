@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from opsloom.functions.scalar import epoch_ms, safe_ratio, trunc
+from opsloom.operators import aggregates as ag
 from opsloom.operators import timeseries as ts
 from opsloom.tables import table
 
@@ -90,7 +91,10 @@ def feature_windows(spark, d):
 
 
 def series_generate(spark, d):
-    return spark.sql("SELECT explode(sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-02 00:00:00', INTERVAL 5 MINUTES)) AS ts")
+    """Every five minutes from the first event to the last, cut to the hour."""
+    hour = lambda c: F.date_trunc("hour", c).cast("timestamp_ntz")
+    span = _events(spark, d).agg(hour(F.min("ts")).alias("first"), hour(F.max("ts")).alias("last"))
+    return span.select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 5 MINUTES"))).alias("ts"))
 
 
 def counter_rate(spark, d):
@@ -131,7 +135,9 @@ def seasonal_baseline_score(spark, d):
 
 
 def seasonal_profile_168h(spark, d):
-    return _events(spark, d).groupBy("event_type", F.weekday("ts").cast("long").alias("dow"), F.hour("ts").cast("long").alias("hour")).agg(F.median("value").alias("median_value"), F.count("*").alias("n"))
+    cells = _events(spark, d).select("event_type", F.weekday("ts").cast("long").alias("dow"), F.hour("ts").cast("long").alias("hour"), "value")
+    keys = ["event_type", "dow", "hour"]
+    return ag.exact_quantiles(cells, keys, "value", {"median_value": 0.5}).join(cells.groupBy(*keys).agg(F.count("*").alias("n")), keys)
 
 
 def episode_sessionize(spark, d):
@@ -213,7 +219,7 @@ r AS (SELECT *, {_T} AS t, CAST(floor(({_T} - a) / {7 * HOUR}.0) AS BIGINT) * {7
 g AS (SELECT bucket_start, event_type, any_value(z) AS z, avg(value) AS mean, min(value) AS min, max(value) AS max, sum(value) AS sum, count(*) AS count, stddev_samp(value) AS stddev, min({{'t': t, 'v': value}}) AS f, max({{'t': t, 'v': value}}) AS l FROM r GROUP BY bucket_start, event_type)
 SELECT bucket_start, least(bucket_start + {7 * HOUR}, z) AS bucket_end, event_type, min, max, count, f.v AS first, l.v AS last, round(mean, 6) AS mean, round(sum, 6) AS sum, round(stddev, 6) AS stddev, round(l.v - f.v, 6) AS delta,
 round(CASE WHEN l.t > f.t THEN (l.v - f.v) / ((l.t - f.t) / 1000.0::DOUBLE) END, 6) AS rate_per_s FROM g""",
-    "series_generate": "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-02', INTERVAL 5 MINUTE)) AS ts",
+    "series_generate": "SELECT unnest(generate_series(date_trunc('hour', min(ts))::TIMESTAMP, date_trunc('hour', max(ts))::TIMESTAMP, INTERVAL 5 MINUTE)) AS ts FROM events",
     "counter_rate": f"""WITH c AS (SELECT *, round(sum(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS counter FROM events),
 x AS (SELECT *, ({_T} - lag({_T}) OVER w) / 1000.0::DOUBLE AS dt, counter - lag(counter) OVER w AS dv FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts))
 SELECT event_id, counter, round(CASE WHEN dv >= 0 AND dt > 0 THEN dv / dt END, 6) AS rate FROM x""",
