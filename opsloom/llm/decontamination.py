@@ -235,10 +235,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item."""
-    bad = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
+    bad = contaminated(docs, benchmark, threshold).select("doc_id", "version").distinct()
     # Written, its true size is known: Spark sends it to the documents if it is small and shuffles both if it is not.
     bad = Workspace(docs.sparkSession, "contaminated").save(bad, "rows")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left_anti")
+    # The row is one column here, so that none of its columns can clash with those of the join.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(bad, F.col("id").eqNullSafe(bad.doc_id) & (F.col("hash") == bad.version), "left_anti").select("row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -277,23 +277,22 @@ def fit_sample(docs: DataFrame, most: int = FIT_PER_LANGUAGE) -> tuple[list[str]
 
 
 def guessed(docs: DataFrame, model: Model, strange: bool = False) -> DataFrame:
-    """``docs`` with a struct ``_guess``: lang_pred, score and, if asked for, whether the text is too strange for any learned language."""
+    """``row``, each row of ``docs`` as a struct, and ``guess``: lang_pred, score and, if asked for, whether the text is too strange for any learned language."""
     # Fixed size: slots x languages.
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.rarity, model.cutoff))
 
     @F.pandas_udf("lang_pred string, score double, strange boolean")
-    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def told(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Model(*sent.value)
         for t in texts:
             yield pd.DataFrame([(*m.predict(x), strange and m.strangeness(x) > m.cutoff) for x in t], columns=["lang_pred", "score", "strange"])
 
-    return docs.withColumn("_guess", guess("text"))
+    return docs.select(F.struct("*").alias("row"), told("text").alias("guess"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
-    out = guessed(docs.drop("lang_pred", "score"), model)
-    return out.select(*[c for c in out.columns if c != "_guess"], "_guess.lang_pred", "_guess.score")
+    return guessed(docs.drop("lang_pred", "score"), model).select("row.*", "guess.lang_pred", "guess.score")
 
 
 def held_out(remainder: int, modulus: int):
@@ -305,7 +304,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     model = fit(*fit_sample(docs))
     if not model.languages:  # nothing to learn from: no ground to reject
         return docs
-    return guessed(docs, model, strange=True).filter((F.col("_guess.lang_pred") != UNKNOWN) & ~F.col("_guess.strange")).select(*docs.columns)
+    return guessed(docs, model, strange=True).filter((F.col("guess.lang_pred") != UNKNOWN) & ~F.col("guess.strange")).select("row.*")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ gives empty files. Extra columns of the input are not stored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -71,11 +72,21 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self._check()
         vocabulary = self.model.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
+    def _check(self) -> None:
+        """Chunks give the ids of whole texts only if blanks separate, case goes and words end with a mark of their own."""
+        whole = json.loads(self.model.to_str())
+        kinds = lambda part, inner: [x.get("type") for x in ((whole.get(part) or {}).get(inner) or [])]
+        split = ((whole.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        same = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        if not (same and split.get("behavior") == "Removed" and split.get("invert") and whole["model"].get("end_of_word_suffix") == "</w>"):
+            raise ValueError("a tokenizer that does not cut texts at blanks into lower-case words with an end mark; its ids are not those of chunks")
+
     def clear(self) -> None:
         self.chunks: dict[str, int] = {"": 0}
         self.pieces: dict[str, int] = {"": 0}

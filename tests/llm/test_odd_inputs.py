@@ -240,3 +240,19 @@ def test_ties(spark):
     assert {n for n in repeated.groupBy("doc_id").count().toPandas()["count"]} == {2}
     twice = source_mixing.mix_plan(repeated, "tie-r").groupBy("doc_id").agg(F.countDistinct("taken").alias("n"), F.count("*").alias("c")).collect()
     assert {(r.n, r.c) for r in twice} == {(1, 2)}
+
+
+def test_stages_keep_columns_named_like_their_own(spark, odd_docs):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs far away from the old house", None)], BENCH)
+    own = ["_id", "_version", "_guess", "row", "id", "guess", "version"]
+    for got in (decontamination.clean(odd_docs, bench), language_id.accepted(odd_docs)):
+        assert got.columns == odd_docs.columns and got.count() > 0
+        assert {tuple(r) for r in got.select(*own).distinct().collect()} == {("clash",) * 7}
+
+
+def test_a_tokenizer_of_another_kind_is_refused():
+    import public_tokenizers
+
+    token_store.ChunkEncoder(token_store.default_tokenizer())
+    with pytest.raises(ValueError):
+        token_store.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
