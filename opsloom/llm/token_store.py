@@ -172,7 +172,7 @@ def _encoder(path: str, end: int):
 
 
 PART_BYTES = 128 << 20
-UNKNOWN_SIZE = 1 << 60
+UNKNOWN_SIZE = 1 << 50  # where Spark knows no size it takes 2**63 bytes, and less for a part of the columns
 
 
 def number_of_parts(docs: DataFrame) -> int:
