@@ -35,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -277,7 +277,7 @@ def fit_sample(docs: DataFrame, most: int = FIT_PER_LANGUAGE) -> tuple[list[str]
 
 
 def guessed(docs: DataFrame, model: Model, strange: bool = False) -> DataFrame:
-    """``row``, each row of ``docs`` as a struct, and ``guess``: lang_pred, score and, if asked for, whether the text is too strange for any learned language."""
+    """The columns of ``docs`` under numbers of their own (see ``_named``) and ``guess``: lang_pred, score and, if asked for, whether the text is too strange for any learned language."""
     # Fixed size: slots x languages.
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table, model.bias, model.temperature, model.rarity, model.cutoff))
 
@@ -287,12 +287,18 @@ def guessed(docs: DataFrame, model: Model, strange: bool = False) -> DataFrame:
         for t in texts:
             yield pd.DataFrame([(*m.predict(x), strange and m.strangeness(x) > m.cutoff) for x in t], columns=["lang_pred", "score", "strange"])
 
-    return docs.select(F.struct("*").alias("row"), told("text").alias("guess"))
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("guess", told(f"c{docs.columns.index('text')}"))
+
+
+def _named(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` again, whatever their names."""
+    return [F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
-    return guessed(docs.drop("lang_pred", "score"), model).select("row.*", "guess.lang_pred", "guess.score")
+    docs = docs.drop("lang_pred", "score")
+    return guessed(docs, model).select(*_named(docs), "guess.lang_pred", "guess.score")
 
 
 def held_out(remainder: int, modulus: int):
@@ -304,7 +310,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     model = fit(*fit_sample(docs))
     if not model.languages:  # nothing to learn from: no ground to reject
         return docs
-    return guessed(docs, model, strange=True).filter((F.col("guess.lang_pred") != UNKNOWN) & ~F.col("guess.strange")).select("row.*")
+    return guessed(docs, model, strange=True).filter((F.col("guess.lang_pred") != UNKNOWN) & ~F.col("guess.strange")).select(*_named(docs))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

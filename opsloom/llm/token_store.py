@@ -59,6 +59,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def check_tokenizer(path: str) -> None:
+    """Chunks give the ids of whole texts only if blanks separate, case goes and words end with a mark of their own."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    kinds = lambda part, inner: [x.get("type") for x in ((whole.get(part) or {}).get(inner) or [])]
+    split = ((whole.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    same = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+    if not (same and split.get("behavior") == "Removed" and split.get("invert") and whole["model"].get("end_of_word_suffix") == "</w>"):
+        raise ValueError("a tokenizer that does not cut texts at blanks into lower-case words with an end mark; its ids are not those of chunks")
+
+
 class ChunkEncoder:
     """Encodes texts by their chunks between blanks, each distinct piece once.
 
@@ -72,21 +83,11 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self._check()
         vocabulary = self.model.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
-    def _check(self) -> None:
-        """Chunks give the ids of whole texts only if blanks separate, case goes and words end with a mark of their own."""
-        whole = json.loads(self.model.to_str())
-        kinds = lambda part, inner: [x.get("type") for x in ((whole.get(part) or {}).get(inner) or [])]
-        split = ((whole.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        same = kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
-        if not (same and split.get("behavior") == "Removed" and split.get("invert") and whole["model"].get("end_of_word_suffix") == "</w>"):
-            raise ValueError("a tokenizer that does not cut texts at blanks into lower-case words with an end mark; its ids are not those of chunks")
-
     def clear(self) -> None:
         self.chunks: dict[str, int] = {"": 0}
         self.pieces: dict[str, int] = {"": 0}
@@ -184,6 +185,7 @@ def number_of_parts(docs: DataFrame) -> int:
 
 def write_tokens(docs: DataFrame, space: Workspace, tokenizer: str | None = None, end: int = END, parts: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the token files (``tokens``) and the table of their parts (``parts``)."""
+    check_tokenizer(tokenizer or default_tokenizer())  # once, on the driver
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = parts or number_of_parts(rows)
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())

@@ -250,9 +250,9 @@ def test_stages_keep_columns_named_like_their_own(spark, odd_docs):
         assert {tuple(r) for r in got.select(*own).distinct().collect()} == {("clash",) * 7}
 
 
-def test_a_tokenizer_of_another_kind_is_refused():
+def test_a_tokenizer_of_another_kind_is_refused(spark, odd_docs):
     import public_tokenizers
 
-    token_store.ChunkEncoder(token_store.default_tokenizer())
+    token_store.check_tokenizer(token_store.default_tokenizer())
     with pytest.raises(ValueError):
-        token_store.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+        token_store.write_tokens(odd_docs, Workspace(spark, "t3k"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
