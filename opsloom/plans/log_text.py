@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +12,8 @@ from opsloom.functions.scalar import epoch_ms
 from opsloom.operators import folds
 from opsloom.operators import logs as lg
 from opsloom.operators import rules
+from opsloom.shared import shared_dir
+from opsloom.sources import readers
 from opsloom.tables import table
 
 
@@ -122,15 +126,22 @@ def log_validate(s, d):
     return rules.log_entry_rules(table(s, d, "events").select("event_id", raw.alias("raw")), "raw", ["event_id"])
 
 
+METRICS = ["click", "error", "purchase", "signup", "view"]
+
+
 def promql_matrix_pivot(s, d):
-    """A query_range matrix as JSON, pivoted to one row per user and hour; unparsable values become 0."""
-    hour = F.floor(epoch_ms("ts") / 3600000) * 3600
-    e = table(s, d, "events").groupBy("user_id", "event_type", hour.alias("at")).agg(F.max("value").alias("v"))
-    series = e.groupBy("user_id", "event_type").agg(F.to_json(F.collect_list(F.struct(F.col("at").cast("string").alias("at"), F.col("v").cast("string").alias("v")))).alias("values"))
-    rows = series.select("user_id", "event_type", F.explode(F.from_json("values", "array<struct<at:string,v:string>>")).alias("x"))
-    value = F.coalesce(F.when(~F.lower("x.v").isin("nan", "inf", "+inf", "-inf"), F.col("x.v").try_cast("double")), F.lit(0.0))
-    p = rows.select("user_id", F.col("x.at").cast("long").alias("at"), "event_type", value.alias("v")).groupBy("user_id", "at").pivot("event_type", ["click", "error", "view"]).agg(F.max("v"))
-    return p.select("user_id", "at", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("click", "error", "view")])
+    """Answers of a range query, a document for each user, metric and day, written by day and read back as one row per user and hour."""
+    at = F.floor(epoch_ms("ts") / 3600000) * 3600
+    e = table(s, d, "events").groupBy("user_id", "event_type", at.alias("at")).agg(F.max("value").alias("v"))
+    point = F.concat(F.lit("["), F.col("at").cast("string"), F.lit(',"'), F.col("v").cast("string"), F.lit('"]'))
+    day = F.timestamp_seconds("at").cast("date").cast("string").alias("day")
+    values = e.groupBy("user_id", "event_type", day).agg(F.array_join(F.collect_list(point), ",").alias("points"))  # 24 points at most
+    metric = F.to_json(F.struct(F.col("event_type").alias("__name__"), F.col("user_id").cast("string").alias("instance")))
+    doc = F.concat(F.lit('{"status":"success","data":{"resultType":"matrix","result":[{"metric":'), metric, F.lit(',"values":['), "points", F.lit("]}]}}"))
+    path = f"{shared_dir(s)}/query-range-{uuid.uuid4().hex}"
+    values.select("day", doc.alias("value")).repartition("day").write.partitionBy("day").text(path)
+    wide = readers.pivot_metrics(readers.read_query_range(s, path), METRICS)
+    return wide.select(F.col("host").cast("long").alias("user_id"), "at", *METRICS)
 
 
 def envelope_decode(s, d):
@@ -218,7 +229,7 @@ r(user_id, rn, event_id, hot, decision) AS (
     SELECT *, CASE WHEN len(list_filter(hot, lambda t: abs(t0 - t) < 43200)) > 0 THEN 'SUPPRESSED_RATE_LIMIT' WHEN len(list_filter(hot, lambda t: abs(t0 - t) < 259200)) >= 3 THEN 'RATE_LIMITED_HOURLY_CAP' ELSE 'TRIGGERED' END AS decision FROM (
       SELECT e.user_id, e.rn, e.event_id, e.t0, list_filter(r.hot, lambda t: t > greatest(e.t0, coalesce(list_max(r.hot), e.t0)) - 259200) AS hot FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
 SELECT user_id, event_id, decision FROM r WHERE rn > 0""",
-    "promql_matrix_pivot": "SELECT user_id, epoch_us(ts) // 3600000000 * 3600 AS at, coalesce(max(value) FILTER (WHERE event_type = 'click'), 0.0) AS click, coalesce(max(value) FILTER (WHERE event_type = 'error'), 0.0) AS error, coalesce(max(value) FILTER (WHERE event_type = 'view'), 0.0) AS view FROM events GROUP BY ALL",
+    "promql_matrix_pivot": f"""SELECT user_id, epoch_us(ts) // 3600000000 * 3600 AS at, {", ".join(f"coalesce(max(value) FILTER (WHERE event_type = '{m}'), 0.0) AS {m}" for m in METRICS)} FROM events GROUP BY ALL""",
     "envelope_decode": "SELECT event_id, event_type, value FROM events",
     "static_threshold_alerts": f"""WITH RECURSIVE v(k, rule) AS (VALUES {", ".join(f"({i}, '{r[0]}')" for i, r in enumerate(rules.STATIC_RULES))}),
 a AS (SELECT rule, date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) / 20 AS v FROM events JOIN v ON v.k = event_id % {len(rules.STATIC_RULES)} GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY ts) AS rn FROM a),

@@ -7,3 +7,4 @@ TARGETS = "targets array<struct<project_id: string, location: string, cluster: s
 TOPOLOGY = """entities array<struct<entity_id: string, kind: string, log_resource: struct<type: string, labels: map<string, string>>>>, edges array<array<string>>"""
 CALENDAR = "changes array<struct<change_id: string, kind: string, entities: array<string>, start: string, end: string, description: string>>"
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+QUERY_RANGE = "status string, data struct<resultType: string, result: array<struct<metric: map<string, string>, values: array<array<string>>, value: array<string>>>>"

@@ -56,6 +56,37 @@ def read_calendar(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("change_id", "kind", F.explode_outer("entities").alias("entity"), F.try_to_timestamp("start").alias("start_ts"), F.try_to_timestamp("end").alias("end_ts"), "description")
 
 
+def read_query_range(spark: SparkSession, path: str, start_s: int | None = None, end_s: int | None = None, pretty: bool = False) -> DataFrame:
+    """Answers of range and instant queries, a document a line (``pretty``: a document a file), as (host, metric, at, value) rows.
+
+    ``at`` is whole epoch seconds; points without a readable time or without a
+    value are left out. Values that are no finite number are 0. The host is the
+    label host_name, hostname or instance, else ``unknown_host``. Where folders
+    are split by ``day``, only those of the range from ``start_s`` to before
+    ``end_s`` are read. Lines that are not JSON give no rows.
+    """
+    docs = spark.read.schema(schemas.QUERY_RANGE).option("multiLine", pretty).json(allowed(path))
+    if "day" in docs.columns:
+        day = F.col("day").cast("date")
+        docs = docs.filter(day >= F.timestamp_seconds(F.lit(start_s)).cast("date")) if start_s is not None else docs
+        docs = docs.filter(day <= F.timestamp_seconds(F.lit(end_s - 1)).cast("date")) if end_s is not None else docs
+    series = docs.select(F.explode("data.result").alias("s")).select("s.metric", F.explode(F.coalesce("s.values", F.array("s.value"))).alias("p")).filter(F.size("p") >= 2)
+    label = lambda name: F.nullif(F.try_element_at("metric", F.lit(name)), F.lit(""))
+    number = F.get("p", 1).try_cast("double")
+    finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    at = F.floor(F.get("p", 0).try_cast("double")).cast("long")
+    host = F.coalesce(label("host_name"), label("hostname"), label("instance"), F.lit("unknown_host"))
+    rows = series.select(host.alias("host"), label("__name__").alias("metric"), at.alias("at"), F.coalesce(finite, F.lit(0.0)).alias("value")).filter(F.col("at").isNotNull())
+    rows = rows.filter(F.col("at") >= start_s) if start_s is not None else rows
+    return rows.filter(F.col("at") < end_s) if end_s is not None else rows
+
+
+def pivot_metrics(points: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each host and time with a column for each named metric; the greatest of repeated points, 0 where there is none."""
+    wide = points.groupBy("host", "at").pivot("metric", names).agg(F.max("value"))
+    return wide.select("host", "at", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
+
+
 def append_new(batch: DataFrame, path: str, key: list[str], columns: list[str], batch_id: str = "0") -> None:
     """Stores the rows of a batch whose key no other batch holds; unknown columns are refused.
 

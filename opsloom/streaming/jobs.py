@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from opsloom import schemas
+from opsloom.operators.counters import StreamCounters, mark_stream
 from opsloom.shared import shared_dir
+from opsloom.streaming import routing
+from opsloom.tables import table
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,19 +94,26 @@ def count_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HISTORY_S = 1800
+#: Rows that arrive later than this behind the newest row are dropped; a user silent for ``TTL_MS`` behind that leaves the state.
+DELAY = "7 days"
+TTL_MS = 30 * 86_400_000
 
 
-def detector_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detector(e: DataFrame) -> DataFrame:
     """Per-user state across batches: rows seen, rows over the threshold, the streak of such rows, alerts fired, late rows.
 
     A streak of two fires, and not again within a day. The state also holds the
     last ``HISTORY_S`` seconds of values; ``recent`` is their number. Rows older
-    than a day behind the latest seen before are late: counted, not judged.
+    than a day behind the latest seen before are late: counted, not judged. A user
+    without rows for ``TTL_MS`` of event time leaves the state and starts anew.
     """
     schema = "user_id long, n long, over long, streak long, fired long, recent long, late long"
     held = "n long, over long, streak long, fired long, late long, last_fired double, last double, history array<double>"
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, over, streak, fired, late, last_fired, last, history = state.get if state.exists else (0, 0, 0, 0, 0, -1e18, -1e18, [])
         history, seen = list(history), last
         b = pd.concat(list(rows)).sort_values(["at", "event_id"])
@@ -121,15 +131,73 @@ def detector_state(spark: SparkSession, sf_dir: str) -> DataFrame:
             history.append(at)
         history = [t for t in history if t > last - HISTORY_S]
         state.update((n, int(over), int(streak), fired, late, last_fired, last, history))
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + TTL_MS)
         yield pd.DataFrame([[key[0], n, int(over), int(streak), fired, len(history), late]], columns=["user_id", "n", "over", "streak", "fired", "recent", "late"])
 
+    return e.withWatermark("at", DELAY).groupBy("user_id").applyInPandasWithState(step, schema, held, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def detector_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_stream(spark, sf_dir).select("user_id", "at", "event_id", "value")
-    s = e.groupBy("user_id").applyInPandasWithState(step, schema, held, "update", GroupStateTimeout.NoTimeout)
-    return latest(run_now(s, "update", "detector"), ["user_id"])
+    return latest(run_now(detector(e), "update", "detector"), ["user_id"])
 
 
-QUERIES = {"stream_tumbling": tumbling_counts, "stream_dedupe": dedupe, "stream_sessions": session_episodes, "stream_count_windows": count_chunks, "stream_detector": detector_state}
+ATTEMPTS = 3
+
+
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON texts in three deliveries with a restart between them; some come late, some are cut short, some have no type.
+
+    The mend closes what was cut; what has no type is dead after the last attempt.
+    """
+    e = table(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    span = e.agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    third = F.least(F.lit(2), F.expr("(us - lo) * 3 div (hi - lo + 1)"))
+    wave = F.when((third == 0) & (F.col("event_id") % 11 == 0), 2).otherwise(third)
+    text = F.to_json(F.struct("event_id", F.col("us").alias("at_us"), F.when(F.col("event_id") % 19 != 0, F.col("event_type")).alias("event_type")))
+    cut = F.when(F.col("event_id") % 17 == 0, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    texts = e.crossJoin(F.broadcast(span)).select("event_id", wave.alias("wave"), text.alias("text")).select("wave", cut.alias("value"))  # the span is one row
+    root = f"{shared_dir(spark)}/routing-{uuid.uuid4().hex}"
+    x = F.from_json("raw", "event_id long, at_us long, event_type string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    at = F.timestamp_micros(x["at_us"])
+    rules = {"not JSON": x["_bad"].isNotNull(), "no time": x["at_us"].isNull(), "no event_type": x["event_type"].isNull()}
+    for n in range(3):
+        texts.filter(F.col("wave") == n).select("value").write.mode("append").text(f"{root}/in")
+        raw = spark.readStream.text(f"{root}/in").withColumnRenamed("value", "raw")
+        routed = raw.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        routed.foreachBatch(lambda b, i: routing.route_batch(b, i, root, at, rules)).start().awaitTermination()
+    for n in range(2, ATTEMPTS + 1):
+        routing.replay(spark, root, n, lambda raw: F.when(raw.endswith("}"), raw).otherwise(F.concat(raw, F.lit("}"))), at, rules)
+    ident = F.regexp_extract("raw", r'"event_id":(\d+)', 1).cast("long")
+    return routing.outcomes(spark, root, ATTEMPTS).select(ident.alias("event_id"), "outcome", "reason", "attempt", F.col("origin").alias("batch"))
+
+
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that pass each stage of a stream: read, those of a value, alerts among them; counted by a listener."""
+    root = f"{shared_dir(spark)}/counted-{uuid.uuid4().hex}"
+    read = mark_stream(event_stream(spark, sf_dir), "read")
+    valued = mark_stream(read.filter("value >= 5"), "valued")
+    alerts = mark_stream(valued.filter("event_type = 'error'"), "alerts")
+    counters = StreamCounters()
+    spark.streams.addListener(counters)
+    try:
+        w = alerts.select("event_id").writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        query = w.format("parquet").option("path", f"{root}/out").start()
+        query.awaitTermination()
+        return counters.table(spark, query)
+    finally:
+        spark.streams.removeListener(counters)
+
+
+QUERIES = {"stream_tumbling": tumbling_counts, "stream_dedupe": dedupe, "stream_sessions": session_episodes, "stream_count_windows": count_chunks, "stream_detector": detector_state, "stream_dead_letters": dead_letters, "stream_stage_counts": stage_counts}
 ORACLE = {
+    "stream_stage_counts": "SELECT * FROM (VALUES ('read', (SELECT count(*) FROM events)), ('valued', (SELECT count(*) FROM events WHERE value >= 5)), ('alerts', (SELECT count(*) FROM events WHERE value >= 5 AND event_type = 'error'))) t(stage, n)",
+    "stream_dead_letters": """WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+t AS (SELECT event_id, ts, least(2, (epoch_us(ts) - lo) * 3 // (hi - lo + 1)) AS third FROM events, b),
+w AS (SELECT event_id, ts, CASE WHEN third = 0 AND event_id % 11 = 0 THEN 2 ELSE third END AS batch FROM t),
+c AS (SELECT k AS batch, max(ts) AS newest FROM range(3) r(k) LEFT JOIN w ON w.batch < k AND event_id % 17 <> 0 AND event_id % 19 <> 0 GROUP BY k)
+SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'dead' WHEN event_id % 17 = 0 THEN 'good' WHEN ts < newest - INTERVAL 1 DAY THEN 'late' ELSE 'good' END AS outcome,
+CASE WHEN event_id % 19 = 0 THEN 'no event_type' END AS reason, CASE WHEN event_id % 19 = 0 THEN 3 WHEN event_id % 17 = 0 THEN 2 ELSE 1 END AS attempt, w.batch FROM w JOIN c USING (batch)""",
     "stream_tumbling": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY ALL",
     "stream_dedupe": "SELECT event_id, event_type FROM events",
     "stream_sessions": """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WHERE event_type = 'error'),
