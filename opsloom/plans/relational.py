@@ -120,7 +120,9 @@ def correlated_distinct(s, d):
     a = ev(s, d).filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
     b = ev(s, d).filter("event_type = 'error'").select("user_id", F.col("ts").alias("log_ts"), "props")
     met = joins.left_interval_join(a, b, ["user_id"], "ts", "log_ts", 6 * HOUR)
-    return met.groupBy("user_id").agg(F.max("value").alias("max_value"), F.count("log_ts").alias("n"), ag.string_agg_distinct(F.col("props"), 3).alias("messages"))
+    texts = ag.string_agg_distinct(met, ["user_id"], F.col("props"), 3, "messages").withColumnRenamed("user_id", "_u")
+    per = met.groupBy("user_id").agg(F.max("value").alias("max_value"), F.count("log_ts").alias("n"))
+    return per.join(texts, F.col("user_id").eqNullSafe(F.col("_u"))).drop("_u")
 
 
 def maintenance_regressor(s, d):
