@@ -232,6 +232,7 @@ def log_entry_rules(entries: DataFrame, raw: str, keep: list[str], batch: list[s
         "L18": F.col("_v").isNotNull() & (F.coalesce(text("insertId"), F.lit("")) == ""),
     }
     marked = rows.select(*dict.fromkeys([*keep, *batch]), broken(rules).alias("_broken"), text("insertId").alias("_id"))
+    marked = rounds(entries.sparkSession, "entries")(marked, "marked")  # judged once; the filter that explode implies would copy all rules down to the scan, and again into each other
     again = marked.filter("_id <> ''").groupBy(*batch, "_id").agg(F.count("*").alias("_n")).filter("_n > 1")
     repeated = marked.join(again, [*batch, "_id"]).select(*keep, F.lit("L18").alias("rule"))
     return marked.select(*keep, F.explode("_broken").alias("rule")).unionByName(repeated).distinct()

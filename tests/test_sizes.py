@@ -20,3 +20,8 @@ def test_correlated_distinct_with_unknown_users_and_messages(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, t string, user_id long, event_type string, value double, props string").withColumn("ts", F.expr("to_timestamp_ntz('2024-01-01 ' || t)"))
     got = catalog.QUERIES["correlated_distinct"](spark, folder(tmp_path, events=events)).collect()
     assert {tuple(r) for r in got} == {(7, 5.0, 4, "a | b"), (None, 3.0, 0, ""), (8, 2.0, 0, "")}
+
+
+def test_log_rules_are_judged_in_one_place(spark, sf):
+    plan = catalog.QUERIES["log_validate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000  # 1.5 million characters when a filter copied the rules down to the scan
