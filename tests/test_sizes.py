@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom import catalog
+from opsloom.operators import vectors as v
 
 
 def folder(tmp_path, **tables):
@@ -25,3 +26,42 @@ def test_correlated_distinct_with_unknown_users_and_messages(spark, tmp_path):
 def test_log_rules_are_judged_in_one_place(spark, sf):
     plan = catalog.QUERIES["log_validate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000  # 1.5 million characters when a filter copied the rules down to the scan
+
+
+def test_search_of_many_queries_and_of_copies(spark):
+    """More queries than one block holds, and a vector that half of the rows share."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(5000, 8)).astype(np.float32)
+    m[1000:3500] = m[0]
+    base = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, v array<float>")
+    got = {}
+    for r in v.vector_search(base, base, "id", "id", "v", 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.base_id, r.distance))
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    for q in [*range(0, 5000, 97), 1000, 3499]:
+        d = np.maximum(np.round(1 - u @ u[q], 6), 0)
+        want = [i for i in np.lexsort([np.arange(5000), d]) if i != q][:3]
+        assert [b for b, _ in got[q]] == want and [x for _, x in got[q]] == pytest.approx(d[want], abs=1e-9)
+    assert len(got) == 5000
+
+
+def test_search_and_distances_take_over_10_000_queries(spark):
+    rows = spark.range(10_200).select("id", F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("v"))
+    few = rows.filter("id < 3")
+    assert v.vector_search(few, rows, "id", "id", "v", 1).count() == 10_200
+    assert v.distances(few, rows, "id", "id", "v").count() == 3 * 10_200 - 3
+
+
+def test_distances_with_unknown_vectors(spark):
+    base = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0])], "id long, v array<float>")
+    got = {(r.query_id, r.base_id): r.distance for r in v.distances(base, base.filter("id in (1, 3)"), "id", "id", "v").collect()}
+    assert got == {(1, 2): 1.0, (1, 3): 0.0, (1, 4): 1.0, (3, 1): 0.0, (3, 2): 0.0, (3, 4): 0.0}
+
+
+def test_index_reads_a_fixed_number_of_rows_and_finds_nine_of_ten(spark):
+    m = np.random.default_rng(6).normal(size=(20_000, 16)).astype(np.float32)
+    base = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, v array<float>")
+    books, q = v.fit_codebooks(base, "v", parts=8, codes=256, most_sample=4000, rounds=5), base.filter("id % 500 = 0")
+    found = {(r.query_id, r.base_id) for r in v.coded_search(v.coded(base, books, "id", "v"), base, books, q, "id", "id", "v", 5, 200).collect()}
+    exact = {(r.query_id, r.base_id) for r in v.vector_search(base, q, "id", "id", "v", 5).collect()}
+    assert len(exact) == 200 and len(found & exact) >= 180
