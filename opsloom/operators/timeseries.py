@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from opsloom.functions.scalar import SIGMA_OF_MAD, epoch_ms, trunc
@@ -114,28 +117,63 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], flag: Column, out:
     return marked.withColumn(out, F.sum("_f").over(inside)).drop("_f")
 
 
-def _median_of(a: Column) -> Column:
-    s = F.array_sort(a)
-    n = F.size(s)
-    lo, hi = F.get(s, ((n - 1) / 2).cast("int")), F.get(s, (n / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / 2)
-
-
-def prequential_baseline(df: DataFrame, levels: dict[str, list[str]], ts: str, value: str, history: int = 512) -> DataFrame:
+def _middle(a: np.ndarray) -> float:
+    a = np.sort(a)
+    return (a[(len(a) - 1) // 2] + a[len(a) // 2]) / 2
+
+
+def _frames(values: np.ndarray, known: np.ndarray, first: int, history: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count, median and MAD of the ``history`` known values at most before each row from ``first`` on; NaN without one."""
+    n, med, mad = np.zeros(len(values), np.int32), np.full(len(values), np.nan), np.full(len(values), np.nan)
+    whole = first if known.all() else len(values)  # rows with a full frame of known values are done at once
+    whole = max(whole, history)
+    for i in range(first, min(whole, len(values))):
+        a = values[max(0, i - history) : i][known[max(0, i - history) : i]]
+        if len(a):
+            n[i], med[i] = len(a), _middle(a)
+            mad[i] = _middle(np.abs(a - med[i]))
+    for at in range(whole, len(values), 512):
+        frame = np.lib.stride_tricks.sliding_window_view(values, history)[at - history : min(at + 512, len(values)) - history]
+        ends = [(history - 1) // 2, history // 2]
+        m = np.partition(frame, ends, axis=1)[:, ends].sum(1) / 2
+        rows = slice(at, at + len(m))
+        n[rows], med[rows] = history, m
+        mad[rows] = np.partition(np.abs(frame - m[:, None]), ends, axis=1)[:, ends].sum(1) / 2
+    return n, med, mad
+
+
+def prequential_baseline(df: DataFrame, levels: dict[str, list[str]], ts: str, value: str, history: int = 512, chunk: int = 4096) -> DataFrame:
     """For every row and level the count, median and MAD of the rows before it (``history`` at most) with the same level keys.
 
-    A level's rows are bounded, so each frame holds ``history`` values at most.
+    A key's rows are numbered and cut into chunks; each also gets the
+    ``history`` rows before it, so a busy key is dealt out and no task holds more than a chunk.
     """
+
+    def judged(names: tuple[str, str, str]):
+        def run(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("_i")
+            own = rows.column("_own").to_numpy(zero_copy_only=False)
+            if not own.any():  # the rows before a chunk that has none of its own
+                rows = rows.slice(0, 0)
+            column = rows.column(value).cast(pa.float64())
+            made = _frames(column.to_numpy(zero_copy_only=False), ~column.is_null().to_numpy(zero_copy_only=False), int(np.argmax(own)), history)
+            for k, v in zip(names, made, strict=True):
+                rows = rows.append_column(k, pa.array(v) if k == names[0] else pa.array(v, mask=made[0] == 0))
+            return rows.filter(rows.column("_own")).drop_columns(["_i", "_c", "_own"])
+
+        return run
+
     out = df
     for name, keys in levels.items():
-        w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(-history, -1)
-        out = out.withColumn(f"_{name}", F.collect_list(value).over(w))
-    for name in levels:
-        out = out.withColumns({f"n_{name}": F.size(f"_{name}"), f"med_{name}": _median_of(F.col(f"_{name}"))})
-        med = F.col(f"med_{name}")
-        out = out.withColumn(f"_d{name}", F.transform(f"_{name}", lambda x: F.abs(x - med)))  # noqa: B023
-        out = out.withColumn(f"mad_{name}", _median_of(F.col(f"_d{name}")))
-    return out.drop(*[f"_{n}" for n in levels], *[f"_d{n}" for n in levels])
+        n, med, mad = f"n_{name}", f"med_{name}", f"mad_{name}"
+
+        numbered = out.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1)
+        c = F.floor(F.col("_i") / chunk)
+        both = F.when(F.col("_i") % chunk >= chunk - history, F.array(c, c + 1)).otherwise(F.array(c))
+        dealt = numbered.withColumn("_c", F.explode(both)).withColumn("_own", F.col("_c") == c)
+        schema = StructType([*out.schema.fields, StructField(n, IntegerType()), StructField(med, DoubleType()), StructField(mad, DoubleType())])
+        out = dealt.groupBy(*keys, "_c").applyInArrow(judged((n, med, mad)), schema)
+    return out
 
 
 def shrink(n: Column, inner: Column, outer: Column, strength: float = 20.0) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsloom import catalog
+from opsloom.operators import joins, timeseries
 from opsloom.operators import vectors as v
 
 
@@ -65,3 +66,18 @@ def test_index_reads_a_fixed_number_of_rows_and_finds_nine_of_ten(spark):
     found = {(r.query_id, r.base_id) for r in v.coded_search(v.coded(base, books, "id", "v"), base, books, q, "id", "id", "v", 5, 200).collect()}
     exact = {(r.query_id, r.base_id) for r in v.vector_search(base, q, "id", "id", "v", 5).collect()}
     assert len(exact) == 200 and len(found & exact) >= 180
+
+
+def test_baseline_of_a_busy_key_over_chunks(spark):
+    rng = np.random.default_rng(8)
+    values = [None if i % 67 == 5 else float(x) for i, x in enumerate(rng.normal(size=400))]
+    df = spark.createDataFrame([("a", i, x, i % 3) for i, x in enumerate(values)], "k string, t long, v double, h long").repartition(5)
+    got = {r.t: r for r in timeseries.prequential_baseline(df, {"all": ["k"], "h": ["k", "h"]}, "t", "v", history=20, chunk=32).collect()}
+    assert len(got) == 400
+    for i, r in got.items():
+        for level, past in (("all", values[max(0, i - 20) : i]), ("h", values[i % 3 : i : 3][-20:])):
+            past = [x for x in past if x is not None]
+            assert r[f"n_{level}"] == len(past)
+            med = float(np.median(past)) if past else None
+            assert r[f"med_{level}"] == (pytest.approx(med) if past else None)
+            assert r[f"mad_{level}"] == (pytest.approx(float(np.median(np.abs(np.array(past) - med)))) if past else None)
