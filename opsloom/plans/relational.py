@@ -154,8 +154,9 @@ def attach_target_labels(s, d):
 def change_window_overlap(s, d):
     e = ev(s, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"), F.count("*").alias("n")).filter("n > 1")
     c = changes(s, d).withColumn("entity", F.when(F.col("change_id") % 97 != 0, F.col("entity")))
+    c = c.groupBy("entity", "start_ts", "end_ts").agg(F.count("*").alias("_c"), F.max("risk").alias("risk"))  # equal spans meet a row once
     out = joins.overlap_join(e, c, "user_id", "entity", "s", "e", "start_ts", "end_ts")
-    return out.groupBy("user_id", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n_changes"), F.max("risk").alias("max_risk"))
+    return out.groupBy("user_id", F.col("day").cast("string").alias("day")).agg(F.sum("_c").alias("n_changes"), F.max("risk").alias("max_risk"))
 
 
 def asof_backward(s, d):

@@ -1,7 +1,6 @@
 """What the queries must hold at sizes and on rows that the test tables lack."""
 
-import math
-
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +8,7 @@ from pyspark.sql import functions as F
 from opsloom import catalog
 from opsloom.operators import joins, timeseries
 from opsloom.operators import vectors as v
+from tests.parity import compare
 
 
 def folder(tmp_path, **tables):
@@ -81,3 +81,24 @@ def test_baseline_of_a_busy_key_over_chunks(spark):
             med = float(np.median(past)) if past else None
             assert r[f"med_{level}"] == (pytest.approx(med) if past else None)
             assert r[f"mad_{level}"] == (pytest.approx(float(np.median(np.abs(np.array(past) - med)))) if past else None)
+
+
+def test_meetings_make_each_pair_once(spark):
+    from opsloom.operators import graph as g
+
+    nodes = lambda ids, k: spark.createDataFrame([(i,) for i in ids], f"{k} long")
+    edges = spark.createDataFrame([(1, 10, 1.0), (2, 10, 2.0), (3, 10, 3.0), (9, 10, 4.0), (1, 11, 5.0), (2, 99, 6.0), (1, 99, 7.0)], "s long, t long, w double")
+    m = g.PropertyGraph().node("S", nodes([1, 2, 3], "s_key"), "s_key").node("P", nodes([10, 11], "p_key"), "p_key").edge("E", edges, "s", "t").meetings("S", "E", "P")
+    assert sorted((r.a_s_key, r.b_s_key, r.t, r.w) for r in m.collect()) == [(1, 2, 10, 1.0), (1, 3, 10, 1.0), (2, 3, 10, 2.0)]
+
+
+def test_equal_change_spans_meet_a_row_once(spark, sf, tmp_path):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    wide = e.filter("event_type = 'signup'").limit(1).crossJoin(spark.range(300).withColumnRenamed("id", "_i")).withColumn("event_id", F.col("_i") * 97 + 970_000).drop("_i")
+    d = folder(tmp_path, events=e.unionByName(wide))
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    df = catalog.QUERIES["change_window_overlap"](spark, d)
+    compare(df, con, catalog.ORACLE["change_window_overlap"])
+    assert "sum(_c" in df._jdf.queryExecution().optimizedPlan().toString()
