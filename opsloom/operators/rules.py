@@ -43,29 +43,30 @@ def _plain(value: Column) -> Column:
 
 def exposition_lines(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """A row a line that is not blank: kind (sample, help, type), its parts, and the rules that the line breaks by itself."""
-    lines = docs.select(*keep, F.posexplode(F.split(F.regexp_replace(text, "\r", ""), "\n")).alias("_i", "_l"))
-    lines = lines.select(*keep, (F.col("_i") + 1).alias("line"), F.regexp_replace("_l", r"^[ \t]+", "").alias("_l")).filter("_l <> ''")
+    lines = docs.select(*keep, F.posexplode(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")).alias("_i", "_l"))
+    lines = lines.select(*keep, (F.col("_i") + 1).alias("line"), F.ltrim(F.col("_l"), F.lit(" \t")).alias("_l")).filter("_l <> ''")
     note = r"^#[ \t]*(HELP|TYPE)[ \t]+"
-    kind = F.when(F.col("_l").rlike(note), F.lower(F.regexp_extract("_l", note, 1))).when(~F.col("_l").startswith("#"), F.lit("sample"))
+    kind = F.when(~F.col("_l").startswith("#"), F.lit("sample")).when(F.col("_l").rlike(note), F.lower(F.regexp_extract("_l", note, 1)))
     lines = lines.withColumn("kind", kind).filter("kind is not null")
     lines = lines.withColumn("_b", F.when(F.col("kind") == "sample", F.col("_l")).otherwise(F.regexp_replace("_l", note, "")))
     lines = lines.withColumn("name", F.regexp_extract("_b", f"^({NAME})", 1)).withColumn("_r", F.expr("substring(_b, length(name) + 1)"))
     sample, typed, helped = (F.col("kind") == k for k in ("sample", "type", "help"))
     labelled = F.col("_r").startswith("{")
     block = F.regexp_extract("_r", f"^({_SET})", 1)
-    lines = lines.withColumns({"_s": F.when(sample & labelled, block).otherwise(F.lit("")), "_open": sample & labelled & (block == "")})
-    lines = lines.withColumn("_rest", F.when(sample, F.expr("substring(_r, length(_s) + 1)")).otherwise(F.col("_r")))
+    lines = lines.withColumns({"_s": F.when(sample & labelled, block).otherwise(F.lit("")), "_named": (F.col("name") != "") & (F.substring("_r", 1, 1).isin("", " ", "\t", "{") | F.col("_r").rlike(r"^(?:[ \t{]|$)"))})
+    lines = lines.withColumn("_open", sample & labelled & (F.col("_s") == "")).withColumn("_rest", F.when(sample, F.expr("substring(_r, length(_s) + 1)")).otherwise(F.col("_r")))
     pairs = F.regexp_extract_all("_s", F.lit(_PAIR), F.lit(1)), F.regexp_extract_all("_s", F.lit(_PAIR), F.lit(2))
     lines = lines.withColumns({"_k": pairs[0], "_v": pairs[1], "_t": F.filter(F.split("_rest", r"[ \t]+"), lambda x: x != "")})
     token = lambda i: F.get("_t", F.lit(i))
-    named = (F.col("name") != "") & F.col("_r").rlike(r"^(?:[ \t{]|$)")
+    named = F.col("_named")
     good = sample & named & ~F.col("_open")
+    lines = lines.withColumn("_x", F.when(good, _number(token(0))))
     rules = {
         "P02": ~named,
         "P03": F.exists("_k", lambda k: ~k.rlike(f"^{NAME}$") | k.startswith("__")),
         "P04": F.col("_open") & named,
         "P05": F.exists("_v", lambda v: F.replace(v, F.lit("\\\\"), F.lit("")).rlike(r'\\[^n"]')) | (helped & F.replace("_r", F.lit("\\\\"), F.lit("")).rlike(r"\\(?:[^n]|$)")),
-        "P06": good & (token(0).isNull() | ~F.col("_rest").rlike(r"^[ \t]") | _number(token(0)).isNull()),
+        "P06": good & (token(0).isNull() | ~F.substring("_rest", 1, 1).isin(" ", "\t") | F.col("_x").isNull()),
         "P07": good & token(1).isNotNull() & ~token(1).rlike(r"^[+-]?[0-9]+$"),
         "P08": typed & named & ~F.coalesce(token(0).isin(*TYPES), F.lit(False)),
         "P10": F.size(F.array_distinct("_k")) < F.size("_k"),
@@ -74,7 +75,7 @@ def exposition_lines(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         "P19": (good & token(2).isNotNull()) | (typed & named & token(1).isNotNull()),
     }
     labels = F.array_sort(F.transform(F.arrays_zip("_k", "_v"), lambda p: F.struct(p["_k"].alias("k"), _plain(p["_v"]).alias("v"))))
-    return lines.select(*keep, "line", "kind", "name", F.when(good, labels).alias("labels"), F.when(good, _number(token(0))).alias("value"), F.when(typed, token(0)).alias("type"), broken(rules).alias("_broken"))
+    return lines.select(*keep, "line", "kind", "name", F.when(good, labels).alias("labels"), F.col("_x").alias("value"), F.when(typed, token(0)).alias("type"), broken(rules).alias("_broken"))
 
 
 def _label(key: str) -> Column:
@@ -88,46 +89,49 @@ def exposition_rules(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     the labels other than ``le``.
     """
     whole = docs.filter(F.col(text).contains("\r") | ((F.col(text) != "") & ~F.col(text).endswith("\n")))
-    out = whole.select(*keep, F.lit("P01").alias("rule"), F.lit(None).cast("int").alias("line"))
-    written = rounds(docs.sparkSession, "exposition")  # parsed once, read for each kind of rule
-    lines = written(exposition_lines(docs, text, keep), "lines")
-    out = out.unionByName(lines.select(*keep, F.explode("_broken").alias("rule"), "line"))
-    samples = lines.filter("kind = 'sample' and value is not null").select(*keep, "line", "name", "labels", "value")
-    repeats = samples.withColumn("_n", F.row_number().over(Window.partitionBy(*keep, "name", "labels").orderBy("line"))).filter("_n > 1")
-    out = out.unionByName(repeats.select(*keep, F.lit("P11").alias("rule"), "line"))
-
-    types = lines.filter("kind = 'type'").groupBy(*keep, F.col("name").alias("family")).agg(F.min_by("type", "line").alias("type"))
+    whole = whole.select(*keep, F.lit("P01").alias("rule"), F.lit(None).cast("int").alias("line")).distinct()
+    # The only shuffle of lines: documents are dealt before they are parsed, and all windows stay within a document. The number is named, since AQE would
+    # deal by the size of the texts, and their lines are many times as large.
+    dealt = docs.select(*keep, text).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keep)
+    lines = exposition_lines(dealt, text, keep)
+    within = lambda *columns: Window.partitionBy(*keep, *columns)
+
+    lines = lines.withColumn("_ok", (F.col("kind") == "sample") & F.col("value").isNotNull())
+    same = ["name", "kind", "_ok", "labels"]
+    lines = lines.sortWithinPartitions(*keep, *same, "line").withColumn("_n", F.row_number().over(within(*same).orderBy("line")))
+    declared = (F.col("kind") == "type") & (F.col("_n") == 1)
     bare = F.regexp_replace("name", "_(?:bucket|sum|count)$", "")
-    by_name = samples.join(types.withColumnsRenamed({"family": "_f", "type": "_whole"}).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keep)}), [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keep)] + [F.col("name") == F.col("_f")], "left").drop("_f", *[f"_k{i}" for i in range(len(keep))])
-    by_part = by_name.withColumn("_p", bare).join(types.withColumnsRenamed({"family": "_f", "type": "_part"}).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keep)}), [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keep)] + [F.col("_p") == F.col("_f"), F.col("_part").isin("histogram", "summary")], "left").drop("_f", *[f"_k{i}" for i in range(len(keep))])
-    part = F.col("_whole").isNull() & F.col("_part").isNotNull()
-    fam = by_part.select(*keep, "line", "name", "labels", "value", F.when(part, F.col("_p")).otherwise(F.col("name")).alias("family"), F.when(part, F.col("_part")).otherwise(F.col("_whole")).alias("type"))
+    lines = lines.withColumn("_whole", F.max(F.when(declared, F.col("type"))).over(within("name"))).withColumn("_p", F.when(F.col("_ok"), bare).otherwise(F.col("name")))
+    lines = lines.withColumn("_part", F.max(F.when(declared & F.col("type").isin("histogram", "summary"), F.col("type"))).over(within("_p")))
+    part = F.col("_ok") & F.col("_whole").isNull() & F.col("_part").isNotNull()
+    lines = lines.select(*keep, "line", "kind", "name", "labels", "value", "_broken", "_ok", "_n", F.when(part, F.col("_p")).otherwise(F.col("name")).alias("family"), F.when(part, F.col("_part")).otherwise(F.col("_whole")).alias("type"))
 
-    fam = written(fam, "families")
-
-    first = fam.groupBy(*keep, "family").agg(F.min("line").alias("_first"))
-    notes = lines.filter("kind <> 'sample'").withColumn("_n", F.row_number().over(Window.partitionBy(*keep, "kind", "name").orderBy("line")))
-    late = notes.join(first.withColumnRenamed("family", "name"), [*keep, "name"], "left").filter("_n > 1 or _first < line")
-    out = out.unionByName(late.select(*keep, F.lit("P09").alias("rule"), "line"))
-
-    le, quantile = _label("le"), _label("quantile")
-    histogram, summary = F.col("type") == "histogram", F.col("type") == "summary"
+    ok, histogram, summary = F.col("_ok"), F.col("type") == "histogram", F.col("type") == "summary"
     bucket, total = F.col("name") == F.concat("family", F.lit("_bucket")), F.col("name").isin(F.concat(F.col("family"), F.lit("_sum")), F.concat(F.col("family"), F.lit("_count")))
+    counted = F.coalesce(ok & histogram & (bucket | (F.col("name") == F.concat("family", F.lit("_count")))), F.lit(False))
+    lines = lines.withColumns({"_le": F.when(ok, _label("le")), "_quantile": F.when(ok, _label("quantile")), "_bucket": bucket, "_counted": counted})
+    lines = lines.withColumns({"group": F.when(F.col("_counted"), F.filter("labels", lambda p: p["k"] != "le")), "bound": F.when(F.col("_counted") & F.col("_bucket"), _number(F.col("_le")))})
+    lines = lines.sortWithinPartitions(*keep, "family", "group", "bound", "line").withColumn("_first", F.min(F.when(ok, F.col("line"))).over(within("family")))
+    run, group = within("family", "group").orderBy("bound", "line"), within("family", "group")
+    height = F.when(F.col("_counted") & F.col("_bucket"), F.col("value"))
+    lines = lines.withColumns({"_fall": F.coalesce(height < F.max(height).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)), "_g": F.row_number().over(run)})
+    lines = lines.withColumns({
+        "inf": F.max(F.when(F.col("bound") == float("inf"), F.col("value"))).over(group),
+        "count": F.max(F.when(F.col("_counted") & ~F.col("_bucket"), F.col("value"))).over(group),
+        "fall": F.max("_fall").over(group),
+    })
+    le, quantile = F.col("_le"), F.col("_quantile")
     one = {
-        "P12": histogram & bucket & le.isNull(),
-        "P15": ((histogram | summary) & total & (le.isNotNull() | quantile.isNotNull())) | (~F.coalesce(histogram | summary, F.lit(False)) & le.isNotNull()),
-        "P16": (histogram & bucket & le.isNotNull() & _number(le).isNull()) | (summary & quantile.isNotNull() & ~F.coalesce(_number(quantile).between(0, 1), F.lit(False))),
+        "P09": (F.col("kind") != "sample") & ((F.col("_n") > 1) | F.coalesce(F.col("_first") < F.col("line"), F.lit(False))),
+        "P11": ok & (F.col("_n") > 1),
+        "P12": ok & histogram & bucket & le.isNull(),
+        "P15": ok & (((histogram | summary) & total & (le.isNotNull() | quantile.isNotNull())) | (~F.coalesce(histogram | summary, F.lit(False)) & le.isNotNull())),
+        "P16": ok & ((histogram & bucket & le.isNotNull() & _number(le).isNull()) | (summary & quantile.isNotNull() & ~F.coalesce(_number(quantile).between(0, 1), F.lit(False)))),
     }
-    out = out.unionByName(fam.select(*keep, F.explode(broken(one)).alias("rule"), "line"))
-    group = F.filter("labels", lambda p: p["k"] != "le")
-    h = fam.filter(histogram & (bucket | (F.col("name") == F.concat("family", F.lit("_count"))))).select(*keep, "family", group.alias("group"), F.when(bucket, _number(le)).alias("bound"), bucket.alias("bucket"), "value")
-    run = Window.partitionBy(*keep, "family", "group").orderBy("bound")
-    h = h.withColumn("_fall", F.coalesce(F.col("bucket") & (F.col("value") < F.max(F.when(F.col("bucket"), F.col("value"))).over(run.rowsBetween(Window.unboundedPreceding, -1))), F.lit(False)))
-    inf = F.max(F.when(F.col("bound") == float("inf"), F.col("value")))
-    per = h.groupBy(*keep, "family", "group").agg(inf.alias("inf"), F.max(F.when(~F.col("bucket"), F.col("value"))).alias("count"), F.max("_fall").alias("fall"))
-    several = {"P12": F.col("inf").isNull(), "P13": F.col("inf").isNotNull() & ~F.coalesce(F.col("inf") == F.col("count"), F.lit(False)), "P14": F.col("fall")}
-    out = out.unionByName(per.select(*keep, F.explode(broken(several)).alias("rule"), F.lit(None).cast("int").alias("line")))
-    return out.distinct()
+    once = F.col("_counted") & (F.col("_g") == 1)  # a group of a histogram speaks through one of its rows
+    several = {"P12": once & F.col("inf").isNull(), "P13": once & F.col("inf").isNotNull() & ~F.coalesce(F.col("inf") == F.col("count"), F.lit(False)), "P14": once & F.col("fall")}
+    found = F.concat(F.transform(F.concat("_broken", broken(one)), lambda r: F.struct(r.alias("rule"), F.col("line").alias("line"))), F.transform(broken(several), lambda r: F.struct(r.alias("rule"), F.lit(None).cast("int").alias("line"))))
+    return lines.select(*keep, F.explode(found).alias("_f")).select(*keep, "_f.rule", "_f.line").distinct().unionByName(whole)
 
 
 # Fixed values of the log entry format: fields and their kinds.

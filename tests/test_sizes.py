@@ -102,3 +102,16 @@ def test_equal_change_spans_meet_a_row_once(spark, sf, tmp_path):
     df = catalog.QUERIES["change_window_overlap"](spark, d)
     compare(df, con, catalog.ORACLE["change_window_overlap"])
     assert "sum(_c" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_metrics_rules_keep_to_one_shuffle_of_lines(spark):
+    from opsloom.operators import rules
+
+    buckets = '# TYPE h histogram\nh_bucket{le="1"} 5\nh_bucket{le="2"} 3\nh_bucket{le="+Inf"} 5\nh_count 5\nh_bucket{a="b",le="1"} 1\nh_bucket{a="c",le="+Inf"} 1\n'
+    texts = ["m 1\r\nm 2\n# HELP m late\n", buckets + "# TYPE h counter\n", " \n#x\n", "", "x_sum{le=\"1\"} 1\n# TYPE x_sum gauge\nx_sum one\nx_sum one\n", "a-b 1\n# TYPE s\n# TYPE s summary\ns{quantile=\"2\"} 1", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, t string")
+    df = rules.exposition_rules(docs, "t", ["d"])
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # the documents, and the keys of those that break P01
+    want = {(0, "P01", None), (0, "P11", 2), (0, "P09", 3), (1, "P14", None), (1, "P12", None), (1, "P13", None), (1, "P09", 8), (4, "P15", 1), (4, "P09", 2), (4, "P06", 3), (4, "P06", 4), (5, "P01", None), (5, "P02", 1), (5, "P08", 2), (5, "P09", 3)}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
