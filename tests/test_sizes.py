@@ -115,3 +115,19 @@ def test_metrics_rules_keep_to_one_shuffle_of_lines(spark):
     want = {(0, "P01", None), (0, "P11", 2), (0, "P09", 3), (1, "P14", None), (1, "P12", None), (1, "P13", None), (1, "P09", 8), (4, "P15", 1), (4, "P09", 2), (4, "P06", 3), (4, "P06", 4), (5, "P01", None), (5, "P02", 1), (5, "P08", 2), (5, "P09", 3)}
     got = [tuple(r) for r in df.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_of_meetings_are_grouped_where_they_are_made(spark, sf):
+    """Only lists of sources move; sources of several blocks, equal edges and unknown ends are kept apart as in brute force."""
+    from opsloom.operators import graph as g
+
+    rng = np.random.default_rng(11)
+    edges = [(int(a), int(t), float(i)) for i, (a, t) in enumerate(zip(rng.integers(0, 330, 900), rng.integers(0, 60, 900), strict=True))] + [(5, 3, 1000.0), (5, 3, 1001.0), (None, 3, 1002.0), (7, None, 1003.0)]
+    nodes = lambda ids, k: spark.createDataFrame([(i,) for i in ids], f"{k} long")
+    m = g.PropertyGraph().node("S", nodes(range(300), "s_key"), "s_key").node("P", nodes(range(55), "p_key"), "p_key").edge("E", spark.createDataFrame(edges, "s long, t long, w double"), "s", "t").meetings("S", "E", "P")
+    rows = m.collect()
+    known = [e for e in edges if e[0] is not None and e[0] < 300 and e[1] is not None and e[1] < 55]
+    assert sorted((r.a_s_key, r.b_s_key, r.t, r.w) for r in rows) == sorted((a, b, t, w) for a, t, w in known for b, u, _ in known if t == u and a < b)
+    assert len({r.block for r in rows}) == 3 and all(len({r.block for r in rows if r.a_s_key == a}) <= 1 for a in range(300))
+    plan = catalog.QUERIES["gql_host_flows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(slice") < plan.index("Exchange")
