@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from opsloom.functions.scalar import epoch_ms, trunc
 from opsloom.operators import aggregates as ag
 from opsloom.operators import joins, rules
+from opsloom.operators.spans import overlap_totals
+from opsloom.shared import rounds
 from opsloom.tables import table
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -152,10 +154,14 @@ def attach_target_labels(s, d):
 
 
 def change_window_overlap(s, d):
+    """A user's days with the changes that overlap them: their own by a join, those of the whole estate as totals."""
     e = ev(s, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"), F.count("*").alias("n")).filter("n > 1")
+    e = rounds(s, "days")(e.drop("n"), "days")
     c = changes(s, d).withColumn("entity", F.when(F.col("change_id") % 97 != 0, F.col("entity")))
     c = c.groupBy("entity", "start_ts", "end_ts").agg(F.count("*").alias("_c"), F.max("risk").alias("risk"))  # equal spans meet a row once
-    out = joins.overlap_join(e, c, "user_id", "entity", "s", "e", "start_ts", "end_ts")
+    own = joins.overlap_join(e, c.filter("entity is not null"), "user_id", "entity", "s", "e", "start_ts", "end_ts")
+    wide = overlap_totals(e, c.filter("entity is null"), "s", "e", "start_ts", "end_ts", "_c", "risk")
+    out = own.select("user_id", "day", "_c", "risk").unionByName(wide.select("user_id", "day", "_c", "risk"))
     return out.groupBy("user_id", F.col("day").cast("string").alias("day")).agg(F.sum("_c").alias("n_changes"), F.max("risk").alias("max_risk"))
 
 

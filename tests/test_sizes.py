@@ -131,3 +131,39 @@ def test_pairs_of_meetings_are_grouped_where_they_are_made(spark, sf):
     assert len({r.block for r in rows}) == 3 and all(len({r.block for r in rows if r.a_s_key == a}) <= 1 for a in range(300))
     plan = catalog.QUERIES["gql_host_flows"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(slice") < plan.index("Exchange")
+
+
+def test_overlap_totals_equal_the_pairs_over_several_blocks(spark):
+    """Totals without pairs: touching ends, spans and rows without length, unknown times, values and keys; a row comes out once a block."""
+    from opsloom.operators.spans import overlap_totals
+
+    rng = np.random.default_rng(12)
+    at = lambda c: F.expr(f"timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {c} / 1000.0)")
+    a, w = rng.integers(0, 400, 150).tolist(), rng.integers(0, 60, 150).tolist()
+    rows = [(i if i % 7 else None, x, x + y * (i % 3 > 0)) for i, (x, y) in enumerate(zip(a, w, strict=True))] + [(900, None, 5), (901, 5, None)]
+    b, u, risk = rng.integers(0, 400, 90).tolist(), rng.integers(0, 40, 90).tolist(), rng.integers(0, 9, 90).tolist()
+    spans = [(x, x + y * (i % 4 > 0), i % 3 + 1, None if r == 0 else float("nan") if r == 1 else r / 2) for i, (x, y, r) in enumerate(zip(b, u, risk, strict=True))] + [(None, 3, 1, 9.0), (3, None, 1, 9.0), (10_000, 10_001, 1, 9.0)]
+    left = spark.createDataFrame(rows, "k int, a int, z int").select("k", F.col("a").alias("_a"), F.col("z").alias("_z"), at("a").alias("a"), at("z").alias("z"))
+    right = spark.createDataFrame(spans, "b int, y int, c int, v double").select(at("b").alias("b"), at("y").alias("y"), "c", "v")
+    parts = overlap_totals(left, right, "a", "z", "b", "y", "c", "v", most=16)
+    assert parts.schema["c"].dataType.simpleString() == "bigint" and 0 < parts.groupBy("_a", "_z", "k").count().agg(F.max("count")).first()[0] <= 7
+    got = sorted((repr((r.k, r._a, r._z)), r.c, repr(r.v)) for r in parts.groupBy("k", "_a", "_z").agg(F.sum("c").alias("c"), F.max("v").alias("v")).collect())
+    met = left.join(right, (F.col("b") < F.col("z")) & (F.col("y") > F.col("a"))).groupBy("k", "_a", "_z").agg(F.sum("c").alias("c"), F.max("v").alias("v"))
+    assert len(got) > 100 and got == sorted((repr((r.k, r._a, r._z)), r.c, repr(r.v)) for r in met.collect())
+    assert overlap_totals(left, right.filter("false"), "a", "z", "b", "y", "c", "v").count() == 0
+
+
+def test_estate_wide_changes_meet_no_row_pair_by_pair(spark, tmp_path, monkeypatch):
+    """4,000 changes at different times of a day, each for all users, and 500 users who are there all day: 2 million pairs, none of which is made."""
+    pairs, join = [], joins.overlap_join
+    monkeypatch.setattr(joins, "overlap_join", lambda *a, **k: pairs.append(join(*a, **k)) or pairs[-1])
+    day = F.timestamp_add("second", F.col("id") * 20, F.lit("2024-01-05").cast("timestamp_ntz"))
+    wide = spark.range(4000).select((F.col("id") * 97).alias("event_id"), day.alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("signup").alias("event_type"), (F.col("id") % 50).cast("double").alias("value"))
+    stays = spark.range(1000).select((F.col("id") + 1_000_000).alias("event_id"), F.when(F.col("id") % 2 == 0, F.lit("2024-01-05 00:00:01")).otherwise(F.lit("2024-01-05 23:59:59")).cast("timestamp_ntz").alias("ts"), F.floor(F.col("id") / 2).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    d = folder(tmp_path, events=wide.unionByName(stays))
+    df = catalog.QUERIES["change_window_overlap"](spark, d)
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    assert compare(df, con, catalog.ORACLE["change_window_overlap"]) == 500
+    assert sum(p.count() for p in pairs) < 10_000
