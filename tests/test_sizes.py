@@ -167,3 +167,16 @@ def test_estate_wide_changes_meet_no_row_pair_by_pair(spark, tmp_path, monkeypat
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
     assert compare(df, con, catalog.ORACLE["change_window_overlap"]) == 500
     assert sum(p.count() for p in pairs) < 10_000
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "1k"])
+def test_pairs_of_vectors_are_dealt_to_many_tasks(spark, broadcast):
+    """Vectors are of one size, and queries fill one block: no task makes more than a fourth of the pairs, whether or not a side could be broadcast."""
+    rows = spark.range(8000).select("id", F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        made = [r["count"] for r in v.distances(rows, rows.filter("id % 50 = 0"), "id", "id", "v").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(made) == 160 * 7999 and max(made) * 4 <= sum(made)
